@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelmill.llm import packing
+from pixelmill.llm import packing, quality_rules
 from pixelmill.llm.common import table
 
 
@@ -20,8 +20,14 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_rules.train(docs, table(spark, sf_dir, "labels"))
+    return quality_rules.judge(docs, model)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_packing,)}
+    return {f.__name__: f for f in (op8_packing, op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
