@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelmill.llm import minhash, packing, quality_rules
+from pixelmill.llm import line_dedup, minhash, packing, quality_rules
 from pixelmill.llm.common import table
 
 
@@ -16,6 +16,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each line that takes part: where the line that stays for it stands, and whether it is this one."""
+    return line_dedup.line_components(table(spark, sf_dir, "documents")).select("doc_id", "line_no", "kept_doc_id", "kept_line_no", "kept")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -31,7 +36,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_packing, op9_quality_rules, op10_minhash)}
+    return {f.__name__: f for f in (op7_line_dedup, op8_packing, op9_quality_rules, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
