@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pixelmill.llm.common import short_batches, small, written
@@ -148,3 +149,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordi
     found = rows.join(comps, "fp", "left")
     component = F.coalesce("comp", "doc_id")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def without_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each component; of rows that share a doc_id one stays, the first by text hash."""
+    found = written(near_duplicates(docs, shingle, percent).select("doc_id", "kept"), "kept")
+    gone = small(written(found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone"))
+    left = docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    if again.isEmpty():
+        return left
+    first = W.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    return left.withColumn("_nth", F.when(F.col("doc_id").isNull(), 1).otherwise(F.row_number().over(first))).where("_nth = 1").drop("_nth")

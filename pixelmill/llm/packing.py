@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,7 +126,17 @@ def pack(docs: DataFrame, tokenizer_path: str, group: Column | None = None, capa
         out: list[tuple] = []
         for k, start, n, seq, offset in plan([len(ids[i]) for i in order], capacity):
             i = order[k]
-            out.append((names[i], start, n, zlib.crc32(ids[i][start : start + n].astype("<u4").tobytes()), len(ids[i]), (key[0].as_py() << 32) + seq, offset))
+            out.append((names[i], start, n, zlib.crc32(ids[i][start : start + n].astype("<u4").tobytes()), len(ids[i]), (key[0].as_py() << 24) + seq, offset))
         return pa.table({c: pa.array([r[k] for r in out], pa.int64()) for k, c in enumerate(PIECES.replace(" long", "").split(", "))})
 
     return tokenised(docs, tokenizer_path, group, end_id).groupBy("grp").applyInArrow(pack_group, PIECES)
+
+
+def reading_order(docs: DataFrame, group_docs: int = 1024) -> Column | None:
+    """Packing groups of neighbours in the files that docs is read from (parts of a written table); None for other rows."""
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:
+        return None
+    part = F.coalesce(F.nullif(F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1), F.lit("")).cast("long"), F.lit(0))
+    return part * (1 << 16) + F.expr(f"_metadata.row_index div {group_docs}")

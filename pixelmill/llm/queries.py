@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pixelmill.llm import line_dedup, minhash, packing, quality_rules
+from pixelmill.llm import line_dedup, minhash, mixing, packing, quality_rules
 from pixelmill.llm.common import table
 
 
@@ -16,6 +17,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's place in the mix of all sources: slot, and place in the slot's block."""
+    found = mixing.mix_order(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "source", F.col("_mix_block").alias("block"), F.col("_mix_slot").alias("slot"), F.col("_mix_in_block").alias("in_block"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each line that takes part: where the line that stays for it stands, and whether it is this one."""
     return line_dedup.line_components(table(spark, sf_dir, "documents")).select("doc_id", "line_no", "kept_doc_id", "kept_line_no", "kept")
@@ -36,7 +43,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_line_dedup, op8_packing, op9_quality_rules, op10_minhash)}
+    return {f.__name__: f for f in (op3_mixing, op7_line_dedup, op8_packing, op9_quality_rules, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
