@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelmill.llm import line_dedup, minhash, mixing, packing, quality_rules
+from pixelmill.llm import line_dedup, minhash, mixing, packing, quality_rules, secrets
 from pixelmill.llm.common import table
 
 
@@ -23,6 +23,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "source", F.col("_mix_block").alias("block"), F.col("_mix_slot").alias("slot"), F.col("_mix_in_block").alias("in_block"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.train(secrets.samples(docs)))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each line that takes part: where the line that stays for it stands, and whether it is this one."""
     return line_dedup.line_components(table(spark, sf_dir, "documents")).select("doc_id", "line_no", "kept_doc_id", "kept_line_no", "kept")
@@ -43,7 +48,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_mixing, op7_line_dedup, op8_packing, op9_quality_rules, op10_minhash)}
+    return {f.__name__: f for f in (op3_mixing, op6_secrets, op7_line_dedup, op8_packing, op9_quality_rules, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
