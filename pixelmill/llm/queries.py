@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelmill.llm import line_dedup, minhash, mixing, packing, quality_rules, rule_ensemble, secrets
-from pixelmill.llm.common import table
+from pixelmill.llm import line_dedup, minhash, mixing, packing, quality_rules, rule_ensemble, secrets, topk
+from pixelmill.llm.common import table, written
 
 
 def tokenizer_path() -> str:
@@ -28,6 +28,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "source", F.col("_mix_block").alias("block"), F.col("_mix_slot").alias("slot"), F.col("_mix_in_block").alias("in_block"))
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = written(topk.quantised(table(spark, sf_dir, "embeddings")), "vectors")
+    return topk.search(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return secrets.scan(docs, secrets.train(secrets.samples(docs)))
@@ -52,9 +57,23 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
 
 
+OP5_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as e from embeddings
+  where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select q.vec_id as query_id, c.vec_id as vec_id, cast(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) as bigint) as score
+  from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 100 = 0
+), r as (
+  select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s
+)
+select query_id, rank, vec_id, score from r where rank <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_rule_ensemble, op3_mixing, op6_secrets, op7_line_dedup, op8_packing, op9_quality_rules, op10_minhash)}
+    return {f.__name__: f for f in (op1_rule_ensemble, op3_mixing, op5_topk, op6_secrets, op7_line_dedup, op8_packing, op9_quality_rules, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_topk": OP5_SQL}
