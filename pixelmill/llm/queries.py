@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelmill.llm import line_dedup, minhash, mixing, packing, quality_rules, rule_ensemble, secrets, topk
-from pixelmill.llm.common import table, written
+from pixelmill.llm import archives, line_dedup, minhash, mixing, packing, quality_rules, rule_ensemble, secrets, topk
+from pixelmill.llm.common import table, work_dir, written
 
 
 def tokenizer_path() -> str:
@@ -28,6 +28,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "source", F.col("_mix_block").alias("block"), F.col("_mix_slot").alias("slot"), F.col("_mix_in_block").alias("in_block"))
 
 
+def op4_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = archives.write_archives(table(spark, sf_dir, "pages"), work_dir(spark, "archives"))
+    return archives.read_archives(manifest).drop("url", "payload")
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = written(topk.quantised(table(spark, sf_dir, "embeddings")), "vectors")
     return topk.search(vectors, vectors.where("vec_id % 100 = 0"))
@@ -57,6 +62,17 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
 
 
+OP4_SQL = """
+with p as (
+  select page_id, cast(octet_length(encode(coalesce(html, ''))) as bigint) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages
+), r as (
+  select *, max(page_id) over (partition by payload_digest) as response from p
+)
+select page_id, payload_bytes, payload_digest, case when payload_bytes >= 1000 and page_id < response then 'revisit' else 'response' end as record_type,
+  case when payload_bytes >= 1000 and page_id < response then response end as refers_to, true as digest_ok
+from r
+"""
+
 OP5_SQL = """
 with v as (
   select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as e from embeddings
@@ -72,8 +88,8 @@ select query_id, rank, vec_id, score from r where rank <= 10
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_rule_ensemble, op3_mixing, op5_topk, op6_secrets, op7_line_dedup, op8_packing, op9_quality_rules, op10_minhash)}
+    return {f.__name__: f for f in (op1_rule_ensemble, op3_mixing, op4_archives, op5_topk, op6_secrets, op7_line_dedup, op8_packing, op9_quality_rules, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_topk": OP5_SQL}
+    return {"op4_archives": OP4_SQL, "op5_topk": OP5_SQL}
