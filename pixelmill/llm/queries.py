@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelmill.llm import archives, line_dedup, minhash, mixing, packing, quality_rules, rule_ensemble, secrets, topk
+from pixelmill.llm import archives, line_dedup, minhash, mixing, packing, quality_rules, rule_ensemble, secrets, topk, url_templates
 from pixelmill.llm.common import table, work_dir, written
 
 
@@ -22,6 +22,22 @@ def op1_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ensemble.classify(docs, rule_ensemble.train(docs, table(spark, sf_dir, "labels")))
 
 
+#: Fixed values of the contract.
+URL_RULES = [
+    url_templates.Rule("block", "com", "/en/"),
+    url_templates.Rule("allow", "example.com", "/en/7"),
+    url_templates.Rule("allow", "net", "/de/"),
+    url_templates.Rule("block", "example.net", "/de/8"),
+    url_templates.Rule("block", "org", "/es/"),
+]
+
+
+def op2_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages are labelled by the labels of the documents of the same number."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (1.0 - F.col("quality")).alias("bad")).where("page_id is not null and bad is not null")
+    return url_templates.judge(table(spark, sf_dir, "pages"), labels, URL_RULES)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's place in the mix of all sources: slot, and place in the slot's block."""
     found = mixing.mix_order(table(spark, sf_dir, "documents"))
@@ -88,7 +104,7 @@ select query_id, rank, vec_id, score from r where rank <= 10
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_rule_ensemble, op3_mixing, op4_archives, op5_topk, op6_secrets, op7_line_dedup, op8_packing, op9_quality_rules, op10_minhash)}
+    return {f.__name__: f for f in (op1_rule_ensemble, op2_url_templates, op3_mixing, op4_archives, op5_topk, op6_secrets, op7_line_dedup, op8_packing, op9_quality_rules, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
