@@ -13,6 +13,7 @@ one by one; an empty table gives no rows; further columns are ignored.
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,7 +30,7 @@ CAPACITY = 4096
 GROUP_BYTES = 16 << 20
 END_ID = 2
 #: Words whose ids a worker remembers; the memory is emptied when full.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 500_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -42,33 +43,66 @@ class WordIds(dict):
     """The ids of a white-space-delimited word as little-endian bytes.
 
     The tokenizer's pre-tokenizer never joins characters across white space, so the ids of a text are those of its
-    words in turn. Only ASCII white space delimits here; every other character reaches the tokenizer.
+    words in turn. Only ASCII white space delimits here; every other character reaches the tokenizer. Where the
+    tokenizer is known to lower-case words and to split them into letters and other marks, a plain word (Latin-1
+    letters, then marks) takes a short way: its letters go to the model as they are, for all else the whole
+    tokenizer is asked.
     """
 
+    PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,!?:|$%&#*]*)")
+
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = id_type(self.tokenizer.get_vocab_size())
+        self.letters: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]  # of byte-level BPE: these bytes stand for themselves
+        others = iter(range(256, 512))
+        self.bytes_as = {x: x if x in printable else next(others) for x in range(256)}
+        self.short_way = all(self.ask(x) == self.model_ids(y) for x, y in (("Bright", "bright"), ("\u00c9t\u00e9", "\u00e9t\u00e9"), ("stra\u00dfe", "stra\u00dfe"))) and self.ask("one,two") == self.ask("one , two")
+
+    def ask(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def model_ids(self, letters: str) -> bytes:
+        seen = letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.bytes_as)
+        return np.array([t.id for t in self.tokenizer.model.tokenize(seen)], self.kind).tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        found = np.array(ids, self.kind).tobytes()
-        if len(word) <= 64:
-            if len(self) >= CACHED_WORDS:
-                self.clear()
-            self[word] = found
-        return found
+        text = word.decode("utf-8", "replace")
+        if self.short_way and (m := self.PLAIN.fullmatch(text)):
+            letters, marks = m[1].lower(), m[2]
+            if (first := self.letters.get(letters)) is None:
+                first = self.kept(self.letters, letters, self.model_ids(letters))
+            if (last := self.marks.get(marks)) is None:
+                last = self.kept(self.marks, marks, self.ask(marks))
+            return self.kept(self, word, first + last)
+        return self.kept(self, word, self.ask(text))
+
+    @staticmethod
+    def kept(memory: dict, key: bytes | str, ids: bytes) -> bytes:
+        if len(key) <= 64:
+            if len(memory) >= CACHED_WORDS:
+                memory.clear()
+            memory[key] = ids
+        return ids
 
     def text(self, data: bytes | None, end_id: int) -> bytes:
         return b"".join(map(self.__getitem__, (data or b"").split())) + np.array([end_id], self.kind).tobytes()
 
 
+#: A worker's memory of words, by tokenizer; it outlives a task.
+KNOWN: dict[str, WordIds] = {}
+
+
 def tokenised(docs: DataFrame, tokenizer_path: str, group: Column, end_id: int = END_ID) -> DataFrame:
     """(doc_id, grp, wide, ids): the ids as bytes, wide a piece, the end id last."""
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer_path)
+        words = KNOWN.setdefault(tokenizer_path, None) or WordIds(tokenizer_path)
+        KNOWN[tokenizer_path] = words
         for b in batches:
             ids = [words.text(x, end_id) for x in b["text"].cast(pa.binary()).to_pylist()]
             wide = pa.array([int(words.kind[-1])] * len(ids), pa.int32())
