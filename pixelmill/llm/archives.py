@@ -148,7 +148,7 @@ def directory(read, size: int) -> list[Member]:  # noqa: ANN001
     tail_at = max(0, size - 65_557)  # the end record and the longest comment
     tail = read(tail_at, size - tail_at)
     at = tail.rfind(END)
-    while at >= 0 and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
+    while at >= 0 and (at + 22 > len(tail) or at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail)):
         at = tail.rfind(END, 0, at)
     if at < 0:
         raise ValueError("no end of central directory")
