@@ -25,109 +25,159 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelmill.llm.common import short_batches, written
+from pixelmill.llm.common import short_batches, small, written
 from pixelmill.llm.linking import linked
-from pixelmill.llm.minhash import mixed, signatures
+from pixelmill.llm.minhash import mixed, permutations
 
-BANDS = 8
-ROWS = 3
-CHARS = 5
+BANDS = 10
+ROWS = 4
+#: Characters (bytes) of a shingle: 8 fill a machine word, and lines of one language share few of them by chance.
+CHARS = 8
 MIN_WORDS = 5
 PERCENT = 80
 
 
-def normal(line: bytes) -> bytes:
-    return b" ".join(line.lower().split())
+def windows(data: bytes) -> np.ndarray:
+    """The CHARS bytes from every position on as one number each."""
+    x = np.frombuffer(data, np.uint8).astype(np.uint64)
+    for k in (1, 2, 4):
+        x = (x[:-k] << np.uint64(8 * k)) | x[k:]
+    return x
 
 
-def char_shingles(line: bytes, n: int) -> np.ndarray:
-    """Sorted distinct fingerprints of the n-byte shingles (one shingle, the line itself, where it is shorter)."""
-    x = np.frombuffer(line, np.uint8).astype(np.uint64)
-    n = min(n, len(x))
-    out = np.zeros(len(x) - n + 1, np.uint64)
-    for k in range(n):
-        out = (out << np.uint64(8)) | x[k : k + len(out)]
-    return np.unique(mixed(out))
+def char_shingles(line: bytes) -> np.ndarray:
+    """Sorted distinct shingles; one, the line itself, where it is no longer."""
+    return np.unique(windows(line.ljust(CHARS, b"\0")))
 
 
-def line_rows(docs: DataFrame, min_words: int, chars: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, version, line_no, line_id, n, keys) of the lines that take part, the distinct ones of a batch sketched once."""
+def line_signatures(lines: list[bytes], count: int) -> np.ndarray:
+    """MinHash signatures of all lines at once: minima over each line's stretch of the joined text."""
+    out = np.empty((len(lines), count), np.uint32)
+    if lines:
+        padded = [x.ljust(CHARS, b"\0") for x in lines]
+        sizes = np.array([len(x) for x in padded])
+        starts = np.cumsum(sizes) - sizes
+        cuts = np.stack([starts, starts + sizes - CHARS + 1], 1).ravel()[:-1]  # a line's shingles, then those across its end
+        h = (mixed(windows(b"".join(padded))) >> np.uint64(32)).astype(np.uint32)
+        a, b = permutations(count)
+        for k in range(count):
+            out[:, k] = np.minimum.reduceat(h * a[k] + b[k], cuts)[::2]
+    return out
+
+
+def eligible(data: bytes | None, min_words: int) -> Iterator[tuple[int, bytes]]:
+    """Numbers and normal forms of a text's lines that take part."""
+    for no, line in enumerate((data or b"").split(b"\n")):
+        words = line.lower().split()
+        if len(words) >= min_words:
+            yield no, b" ".join(words)
+
+
+def sources(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), version(docs).alias("version"), F.col("text").cast("string").alias("text"))
+
+
+def places(docs: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, version, line_no, line_id) of the lines that take part."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, nos, ids, new = [], [], [], {}
+            rows = [(i, no, xxhash.xxh3_128_digest(x)) for i, data in enumerate(b["text"].cast(pa.binary()).to_pylist()) for no, x in eligible(data, min_words)]
+            at = pa.array([r[0] for r in rows], pa.int64())
+            yield pa.RecordBatch.from_arrays([b["doc_id"].take(at), b["version"].take(at), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["doc_id", "version", "line_no", "line_id"])
+
+    return sources(docs).mapInArrow(read, "doc_id long, version long, line_no int, line_id binary")
+
+
+def sketches(docs: DataFrame, min_words: int, bands: int, rows: int) -> DataFrame:
+    """(line_id, doc_id, version, line_no, times, keys) of each batch's distinct lines, with the first place and the number of places."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            first, times = {}, {}
+            docs_, versions = b["doc_id"].to_pylist(), b["version"].to_pylist()
+            order = lambda p: (docs_[p[0]] is not None, docs_[p[0]] or 0, versions[p[0]] is not None, versions[p[0]] or 0, p[1])
             for i, data in enumerate(b["text"].cast(pa.binary()).to_pylist()):
-                for no, line in enumerate((data or b"").split(b"\n")):
-                    words = line.lower().split()
-                    if len(words) >= min_words:
-                        line = b" ".join(words)
-                        at.append(i)
-                        nos.append(no)
-                        ids.append(new.setdefault(line, len(new)))
-            sets = [char_shingles(x, chars) for x in new]
-            sizes = np.array([len(x) for x in sets], np.int64)
-            sig = signatures(sets, bands * rows)
-            keys = np.zeros((len(sets), bands), np.uint64)
+                for no, line in eligible(data, min_words):
+                    times[line] = times.get(line, 0) + 1
+                    if line not in first or order((i, no)) < order(first[line]):
+                        first[line] = (i, no)
+            sig = line_signatures(list(first), bands * rows)
+            keys = np.zeros((len(first), bands), np.uint64)
             for k in range(rows):
                 keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + sig[:, k::rows] + np.arange(1, bands + 1, dtype=np.uint64))
-            names = pa.array([xxhash.xxh3_128_digest(x) for x in new], pa.binary())
-            take = pa.array(ids, pa.int64())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(sets) + 1) * bands, bands), pa.int32()), pa.array(keys.view(np.int64).ravel(), pa.int64()))
-            at = pa.array(at, pa.int64())
+            at = pa.array([i for i, _ in first.values()], pa.int64())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(first) + 1) * bands, bands), pa.int32()), pa.array(keys.view(np.int64).ravel(), pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [b["doc_id"].take(at), b["version"].take(at), pa.array(nos, pa.int32()), names.take(take), pa.array(sizes, pa.int64()).take(take), lists.take(take)],
-                ["doc_id", "version", "line_no", "line_id", "n", "keys"],
+                [pa.array([xxhash.xxh3_128_digest(x) for x in first], pa.binary()), b["doc_id"].take(at), b["version"].take(at), pa.array([no for _, no in first.values()], pa.int32()), pa.array(times.values(), pa.int64()), lists],
+                ["line_id", "doc_id", "version", "line_no", "times", "keys"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), version(docs).alias("version"), F.col("text").cast("string").alias("text")).mapInArrow(read, "doc_id long, version long, line_no int, line_id binary, n long, keys array<long>")
+    return sources(docs).mapInArrow(sketch, "line_id binary, doc_id long, version long, line_no int, times long, keys array<long>")
+
+
+def line_texts(docs: DataFrame, ids: DataFrame, min_words: int) -> DataFrame:
+    """(v, line) of the wanted lines (a written table of line_id, v), each once."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lines = list({x: None for data in b["text"].cast(pa.binary()).to_pylist() for _, x in eligible(data, min_words)})
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x) for x in lines], pa.binary()), pa.array(lines, pa.binary())], ["line_id", "line"])
+
+    texts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(read, "line_id binary, line binary")
+    return texts.join(small(ids), "line_id").groupBy("v").agg(F.first("line").alias("line"))
 
 
 def version(docs: DataFrame) -> Column:
     return F.xxhash64(F.col("text").cast("string"))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, distinct: DataFrame, chars: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of line ids whose exact Jaccard similarity reaches the threshold.
+def shingle_sets(lines: DataFrame) -> DataFrame:
+    """(v, s) of (v, line)."""
 
-    The lines of the pairs are read again from the documents in which they occur first.
-    """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("line_id")).distinct()
-    wanted = written(distinct.join(ids, "line_id", "left_semi").groupBy("first.doc_id", "first.version").agg(F.collect_set(F.struct("first.line_no", "line_id")).alias("lines")), "wanted")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), version(docs).alias("version"), F.col("text").cast("string").alias("text"))
-    same = texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["version"] == wanted["version"])
-    of = texts.join(wanted, same).select(F.explode("lines").alias("line"), F.split("text", "\n", -1).alias("all"))
-    lines = written(of.select("line.line_id", F.get("all", "line.line_no").alias("line")).dropDuplicates(["line_id"]), "lines")
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b["v"], pa.array([char_shingles(x).tobytes() for x in b["line"].to_pylist()], pa.binary())], ["v", "s"])
+
+    return lines.select("v", "line").mapInArrow(read, "v long, s binary")
+
+
+def confirmed(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose lines' exact Jaccard similarity reaches the threshold; lines: (v, line)."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
-            for x, y in zip(b["x"].cast(pa.binary()).to_pylist(), b["y"].cast(pa.binary()).to_pylist(), strict=True):
-                x, y = char_shingles(normal(x), chars), char_shingles(normal(y), chars)
+            for x, y in zip(b["x"].to_pylist(), b["y"].to_pylist(), strict=True):
+                x, y = char_shingles(x), char_shingles(y)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(lines.toDF("a", "x"), "a").join(lines.toDF("b", "y"), "b")
-    return both.mapInArrow(compare, "a binary, b binary").distinct()
+    return both.mapInArrow(compare, "a long, b long").distinct()
 
 
-def line_components(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = PERCENT, chars: int = CHARS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def line_components(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, version, line_no, line_id, kept_doc_id, kept_line_no, kept) of every line that takes part.
 
     kept_*: the occurrence that stays for the line's component.
     """
     short_batches(docs.sparkSession)
-    lines = written(line_rows(docs, min_words, chars, bands, rows), "lines")
     place = F.struct("doc_id", "version", "line_no")
-    distinct = written(lines.groupBy("line_id").agg(F.min(place).alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys")), "distinct")
-    postings = distinct.select(F.col("line_id").alias("v"), "n", F.explode("keys").alias("key"))
-    met = postings.groupBy("key").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo <> hi").select("key")
-    postings = written(postings.join(met, "key"), "postings")
-    like = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
-    comps = written(linked(postings, lambda pairs: confirmed(pairs, docs, distinct, chars, percent), like), "linked")
-    of = distinct.select("line_id", "first").join(comps.withColumnRenamed("v", "line_id"), "line_id", "left").withColumn("comp", F.coalesce("comp", "line_id"))
+    distinct = sketches(docs, min_words, bands, rows).groupBy("line_id").agg(F.min(place).alias("first"), F.sum("times").alias("times"), F.first("keys").alias("keys"))
+    distinct = written(distinct.withColumn("v", F.monotonically_increasing_id()), "distinct")  # short numbers, fixed by the written table
+    postings = distinct.select("v", F.lit(0).alias("n"), F.explode("keys").alias("key"))
+    met = postings.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    met = written(postings.join(met, "key"), "met")
+    postings = written(met.join(met.groupBy("v").agg(F.sum(F.log2("df")).alias("w")), "v").select("key", "v", "n", "w"), "postings")
+    ids = written(distinct.select("line_id", "v").join(postings.select("v").distinct(), "v", "left_semi"), "ids")
+    lines = written(line_texts(docs, ids, min_words), "lines")
+    comps = written(linked(postings, lambda pairs: confirmed(pairs, lines, percent), lambda wanted: shingle_sets(lines.join(wanted, "v", "left_semi")), percent, sized=False), "linked")
+    # only lines that stand more than once, or are linked, can give way to another
+    of = distinct.select("line_id", "first", "times", "v").join(comps, "v", "left").where("times > 1 or comp is not null").withColumn("comp", F.coalesce("comp", "v"))
     best = of.join(of.groupBy("comp").agg(F.min("first").alias("kept_at")), "comp").select("line_id", "kept_at")
-    found = lines.select("doc_id", "version", "line_no", "line_id").join(best, "line_id")
+    found = places(docs, min_words).join(written(best, "best"), "line_id", "left").withColumn("kept_at", F.coalesce("kept_at", place))
     return found.select("doc_id", "version", "line_no", "line_id", F.col("kept_at.doc_id").alias("kept_doc_id"), F.col("kept_at.line_no").alias("kept_line_no"), place.eqNullSafe(F.col("kept_at")).alias("kept"))
 
 

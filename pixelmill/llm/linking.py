@@ -3,18 +3,27 @@
 Vertices are posted under keys such that vertices which have to be compared share a key. Only the components of the
 true links matter, so within a key it is enough to find links that join what is not joined yet:
 
-1. every vertex of a key is compared with two leaders, the smallest and the largest vertex there (pairs grow in
-   proportion to the postings, however large a key is);
+1. every vertex of a key is compared with two leaders, the most central vertex and the smallest one there (pairs grow
+   in proportion to the postings, however large a key is). A vertex is central if many others share its keys, as the
+   text does that a group of near copies was made from (of equals the smallest is taken), so the keys of a group have
+   one leader;
 2. components are taken of the links found;
-3. in keys that still hold several components, each vertex outside the key's largest component is compared with the
-   vertices of other components, but for the pairs of step 1. No pair of different components is left out, so no
-   link is lost; pairs inside a component can't change the result.
+3. in short keys that still hold several components, each vertex outside the key's largest component is compared with
+   the vertices of other components, but for the pairs of step 1;
+4. in long keys, where that would grow with the square of the key, vertices are told apart by how their sets differ
+   from the leader's. Two sets are as far apart as their differences are, and of two vertices in different components
+   at least one isn't linked with the leader, so its difference is large; the other's has to share elements with it.
+   A prefix filter over the differences, rarest elements first, gives the pairs that can be links at all.
+
+No pair of different components is left out, so no link is lost; pairs inside a component can't change the result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,26 +31,76 @@ from pixelmill.llm.common import written
 from pixelmill.llm.components import components
 
 
-def linked(postings: DataFrame, confirm: Callable[[DataFrame], DataFrame], like: Callable[[Column, Column], Column]) -> DataFrame:
-    """(v, comp) of the vertices with links.
+#: Vertices of a key that are compared pair by pair.
+SHORT = 8
+
+
+def linked(postings: DataFrame, confirm: Callable[[DataFrame], DataFrame], elements: Callable[[DataFrame], DataFrame], percent: int, sized: bool = True) -> DataFrame:
+    """(v, comp) of the vertices with links: those whose sets have a Jaccard similarity of percent or more.
 
-    postings: (key, v, n); n is the size of v's set. confirm: the true links among pairs (a, b), a < b. like: whether
-    two sizes allow a link.
+    postings: (key, v, n, w), v long; n is the size of v's set, or anything where not sized, w how central it is. confirm: the true links
+    among pairs (a, b), a < b. elements: the sets (v, s) of a table of v, s being sorted unsigned 64-bit numbers as
+    bytes.
     """
-    ends = postings.groupBy("key").agg(F.min(F.struct("v", "n")).alias("lo"), F.max(F.struct("v", "n")).alias("hi"))
-    lead = ends.select("key", F.col("lo.v").alias("lo"), F.col("hi.v").alias("hi"), F.col("lo.n").alias("lo_n"), F.col("hi.n").alias("hi_n")).where("lo <> hi")
-    lead = written(lead, "leaders")
+    like = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent if sized else F.lit(True)
+    ends = postings.groupBy("key").agg(F.max(F.struct(F.round("w", 3), -F.col("v"), "v", "n")).alias("hi"), F.min(F.struct("v", "n")).alias("lo"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    lead = written(ends.select("key", F.col("lo.v").alias("lo"), F.col("lo.n").alias("lo_n"), F.col("hi.v").alias("hi"), F.col("hi.n").alias("hi_n")), "leaders")
     near = postings.join(lead, "key")
-    with_lo = near.where(F.col("v") != F.col("lo")).where(like(F.col("n"), F.col("lo_n"))).select(F.col("lo").alias("a"), F.col("v").alias("b"))
-    with_hi = near.where((F.col("v") != F.col("hi")) & (F.col("v") != F.col("lo"))).where(like(F.col("n"), F.col("hi_n"))).select(F.col("v").alias("a"), F.col("hi").alias("b"))
-    links = written(confirm(written(with_lo.unionAll(with_hi).distinct(), "pairs")), "links")
+    with_ = lambda end: near.where(F.col("v") != F.col(end)).where(like(F.col("n"), F.col(f"{end}_n"))).select(F.least("v", end).alias("a"), F.greatest("v", end).alias("b"))
+    pairs = with_("lo").unionAll(with_("hi")).distinct()
+    links = written(confirm(written(pairs, "pairs")), "links")
     comps = written(components(links), "components")
     own = postings.join(lead, "key").join(comps, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
     own = written(own.select("key", "v", "n", "comp", "lo", "hi"), "postings")
     counts = own.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-    mixed = counts.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", F.col("top.comp").alias("main"))
-    rest = own.join(mixed, "key").where("v <> lo and v <> hi")  # pairs with a leader have been compared
-    few = rest.where("comp <> main").select("key", F.col("v").alias("x"), F.col("n").alias("x_n"), F.col("comp").alias("x_comp"))
-    pairs = few.join(rest, "key").where("x_comp <> comp and (comp = main or x < v)").where(like(F.col("x_n"), F.col("n")))
-    more = confirm(written(pairs.select(F.least("x", "v").alias("a"), F.greatest("x", "v").alias("b")).distinct(), "pairs"))
+    mixed = counts.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("k"), F.sum("c").alias("size")).where("k > 1").select("key", "size", F.col("top.comp").alias("main"))
+    rest = written(own.join(mixed, "key").where("v <> lo and v <> hi"), "rest")  # pairs with a leader have been compared
+    short = rest.where(F.col("size") <= SHORT)
+    few = short.where("comp <> main").select("key", F.col("v").alias("x"), F.col("n").alias("x_n"), F.col("comp").alias("x_comp"))
+    pairs = few.join(short, "key").where("x_comp <> comp and (comp = main or x < v)").where(like(F.col("x_n"), F.col("n"))).select(F.least("x", "v").alias("a"), F.greatest("x", "v").alias("b"))
+    far = apart(rest.where(F.col("size") > SHORT).select(F.col("hi").alias("leader"), "v", "comp").distinct(), links, elements, percent)
+    more = confirm(written(pairs.unionAll(far).distinct(), "pairs"))
     return components(links.unionAll(more.select("a", "b")))
+
+
+def apart(members: DataFrame, links: DataFrame, elements: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """The pairs (a, b) of members (leader, v, comp) of a leader, in different components, that can be links.
+
+    Let D(x) be the difference of x's set and the leader's, and r = (100 - percent) / (100 + percent). A link of x and
+    y means that D(x) and D(y) differ in at most r (|x| + |y|) elements; x isn't linked with the leader if D(x) has
+    more than r (|x| + |leader|). So, x being unlinked, D(y) has at most (r (|y| - |leader|) + |D(y)|) / 2 elements
+    that D(x) lacks, and D(x) at most r |x| (1 + 100 / percent) that D(y) lacks: one element more of either, in a
+    common order, has to hold a common one.
+    """
+    r, most = (100 - percent) / (100 + percent), 1 + 100 / percent
+    members = written(members, "members")
+    ids = members.select("v").unionAll(members.select(F.col("leader").alias("v"))).distinct()
+    sets = written(elements(written(ids, "ids")), "sets")
+    near = links.select(F.col("a").alias("leader"), F.col("b").alias("v")).unionAll(links.select(F.col("b").alias("leader"), F.col("a").alias("v"))).withColumn("near", F.lit(True))
+    unlinked = members.join(near, ["leader", "v"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
+    both = unlinked.join(sets, "v").join(sets.toDF("leader", "sl"), "leader")
+    schema = "leader long, v long, comp long, n int, size int, as_x int, as_y int, elements array<long>"
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for near, s, sl in zip(b["near"].to_pylist(), b["s"].to_pylist(), b["sl"].to_pylist(), strict=True):
+                s, sl = np.frombuffer(s, np.uint64), np.frombuffer(sl, np.uint64)
+                d = np.setxor1d(s, sl, assume_unique=True)
+                reach = r * len(s) * most + 1e-9
+                as_y = min((r * (len(s) - len(sl)) + len(d)) / 2 + 1e-9, reach)
+                out.append((len(s), len(d), 0 if near else int(reach) + 1, max(0, int(as_y)) + 1, d.view(np.int64)))
+            columns = [pa.array([x[k] for x in out], pa.int32()) for k in range(4)] + [pa.array([x[4] for x in out], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b["leader"], b["v"], b["comp"], *columns], [x.split()[0] for x in schema.split(", ")])
+
+    differences = written(both.select("leader", "v", "comp", "near", "s", "sl").mapInArrow(differ, schema), "differences")
+    each = differences.select("leader", "v", F.explode("elements").alias("e"))
+    shared = each.groupBy("leader", "e").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    order = each.join(shared, ["leader", "e"]).groupBy("leader", "v").agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("o"))
+    ordered = written(differences.drop("elements").join(order, ["leader", "v"]), "ordered")
+    alone = F.col("size") - F.size("o")  # elements that no other member has come first
+    first = lambda n: F.slice(F.col("o.e"), F.lit(1), F.greatest(F.lit(0), F.col(n) - alone))
+    x = ordered.where("as_x > 0").select("leader", F.explode(first("as_x")).alias("e"), F.col("v").alias("x"), F.col("comp").alias("x_comp"), F.col("n").alias("x_n"), F.col("size").alias("x_size"))
+    y = ordered.select("leader", F.explode(first("as_y")).alias("e"), "v", "comp", "n", "size")
+    close = F.abs(F.col("x_size") - F.col("size")) <= (F.col("x_n") + F.col("n")) * r + 1e-9  # the differences differ at least so much
+    return x.join(y, ["leader", "e"]).where(close & (F.col("x") != F.col("v")) & (F.col("x_comp") != F.col("comp"))).select(F.least("x", "v").alias("a"), F.greatest("x", "v").alias("b"))

@@ -98,14 +98,30 @@ def sketched(docs: DataFrame, shingle: int, coordinates: int) -> DataFrame:
 
 
 def prefixes(sets: DataFrame, coordinates: int, matches: int) -> DataFrame:
-    """(key, v, n): each set's rarest coordinate-value pairs, as many as the threshold needs, if others share them."""
+    """(key, v, n, w): each set's rarest coordinate-value pairs, as many as the threshold needs, if others share them.
+
+    w grows with the number of other sets that share any of its pairs.
+    """
     posted = sets.select("v", "n", F.posexplode("sig").alias("pos", "value"))
     posted = posted.select("v", "n", (F.shiftleft(F.col("pos").cast("long"), 32) + F.col("value").cast("long") + (1 << 31)).alias("key"))
     shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    each = posted.join(shared, "key").groupBy("v", "n").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("keys"))
+    each = posted.join(shared, "key").groupBy("v", "n").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("keys"), F.sum(F.log2("df")).alias("w"))
     first = F.col("keys.key")  # pairs that no other set has come before these in the order
     room = F.lit(coordinates - matches + 1 - coordinates) + F.size("keys")
-    return each.where(room > 0).select(F.explode(F.slice(first, F.lit(1), room)).alias("key"), "v", "n")
+    return each.where(room > 0).select(F.explode(F.slice(first, F.lit(1), room)).alias("key"), "v", "n", "w")
+
+
+def word_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """(v, s): the whole shingle sets of the documents in a (written) table of v."""
+
+    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for b in batches:
+            found = [word_shingles(x, shingle, hashes).tobytes() for x in b["text"].cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["v"], pa.array(found, pa.binary())], ["v", "s"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("v"), F.col("text").cast("string").alias("text"))
+    return texts.join(small(ids), "v", "left_semi").mapInArrow(full, "v long, s binary")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int, matches: int, percent: int) -> DataFrame:
@@ -114,13 +130,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int,
     met = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b")
     met = met.where(F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda same: same)) >= matches)
     met = written(met.select("a", "b").distinct(), "candidates")
-    ids = small(written(met.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids"))
-
-    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for b in batches:
-            found = [word_shingles(x, shingle, hashes).tobytes() for x in b["text"].cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(found, pa.binary())], ["v", "words"])
+    words = written(word_sets(docs, written(met.select(F.explode(F.array("a", "b")).alias("v")).distinct(), "ids"), shingle), "sets")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -131,8 +141,6 @@ def confirmed(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int,
                 keep.append(same > 0 and 100 * same >= percent * (len(x) + len(y) - same))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    words = written(texts.join(ids, "doc_id", "left_semi").mapInArrow(full, "v long, words binary"), "sets")
     both = met.join(words.toDF("a", "wa"), "a").join(words.toDF("b", "wb"), "b")
     return both.mapInArrow(compare, "a long, b long").distinct()
 
@@ -143,8 +151,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordi
     rows = written(sketched(docs, shingle, coordinates), "rows")
     sets = written(rows.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("v"), F.first("n").alias("n"), F.first("sig").alias("sig")), "sets")
     postings = written(prefixes(sets, coordinates, matches), "postings")
-    like = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
-    linked_sets = written(linked(postings, lambda pairs: confirmed(pairs, docs, sets, shingle, matches, percent), like), "linked")
+    confirm = lambda pairs: confirmed(pairs, docs, sets, shingle, matches, percent)
+    linked_sets = written(linked(postings, confirm, lambda ids: word_sets(docs, ids, shingle), percent), "linked")
     comps = sets.select("fp", "v").join(linked_sets, "v", "left").select("fp", F.coalesce("comp", "v").alias("comp"))
     found = rows.join(comps, "fp", "left")
     component = F.coalesce("comp", "doc_id")

@@ -35,7 +35,7 @@ def document_components(texts, n, percent=80):
     return {k: (len(sets[k]), groups.find(k)) for k in keys}
 
 
-def line_places(texts, min_words=5, chars=5, percent=80):
+def line_places(texts, min_words=5, chars=8, percent=80):
     """texts: id to text. Returns (id, line) to the place that stays for it."""
     places, first = {}, {}
     for k in sorted(texts):
