@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelmill.llm.common import short_batches, small, written
+from pixelmill.llm.components import with_roots
 from pixelmill.llm.linking import linked
 from pixelmill.llm.minhash import mixed, permutations
 
@@ -155,7 +156,7 @@ def confirmed(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(lines.toDF("a", "x"), "a").join(lines.toDF("b", "y"), "b")
-    return both.mapInArrow(compare, "a long, b long").distinct()
+    return both.mapInArrow(compare, "a long, b long")
 
 
 def line_components(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -171,9 +172,9 @@ def line_components(docs: DataFrame, min_words: int = MIN_WORDS, percent: int =
     met = postings.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     met = written(postings.join(met, "key"), "met")
     postings = written(met.join(met.groupBy("v").agg(F.sum(F.log2("df")).alias("w")), "v").select("key", "v", "n", "w"), "postings")
-    ids = written(distinct.select("line_id", "v").join(postings.select("v").distinct(), "v", "left_semi"), "ids")
+    ids = written(distinct.select("line_id", "v").join(postings.select("v"), "v", "left_semi"), "ids")
     lines = written(line_texts(docs, ids, min_words), "lines")
-    comps = written(linked(postings, lambda pairs: confirmed(pairs, lines, percent), lambda wanted: shingle_sets(lines.join(wanted, "v", "left_semi")), percent, sized=False), "linked")
+    comps = written(with_roots(linked(postings, lambda pairs: confirmed(pairs, lines, percent), lambda wanted: shingle_sets(lines.join(wanted, "v", "left_semi")), percent, sized=False)), "linked")
     # only lines that stand more than once, or are linked, can give way to another
     of = distinct.select("line_id", "first", "times", "v").join(comps, "v", "left").where("times > 1 or comp is not null").withColumn("comp", F.coalesce("comp", "v"))
     best = of.join(of.groupBy("comp").agg(F.min("first").alias("kept_at")), "comp").select("line_id", "kept_at")

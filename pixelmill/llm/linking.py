@@ -8,8 +8,8 @@ true links matter, so within a key it is enough to find links that join what is
    text does that a group of near copies was made from (of equals the smallest is taken), so the keys of a group have
    one leader;
 2. components are taken of the links found;
-3. in short keys that still hold several components, each vertex outside the key's largest component is compared with
-   the vertices of other components, but for the pairs of step 1;
+3. in short keys that still hold several components, the vertices of different components are compared, but for the
+   pairs of step 1;
 4. in long keys, where that would grow with the square of the key, vertices are told apart by how their sets differ
    from the leader's. Two sets are as far apart as their differences are, and of two vertices in different components
    at least one isn't linked with the leader, so its difference is large; the other's has to share elements with it.
@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelmill.llm.common import written
-from pixelmill.llm.components import components
+from pixelmill.llm.common import BROADCAST_ROWS, small, written
+from pixelmill.llm.components import stars
 
 
 #: Vertices of a key that are compared pair by pair.
@@ -36,31 +36,32 @@ SHORT = 8
 
 
 def linked(postings: DataFrame, confirm: Callable[[DataFrame], DataFrame], elements: Callable[[DataFrame], DataFrame], percent: int, sized: bool = True) -> DataFrame:
-    """(v, comp) of the vertices with links: those whose sets have a Jaccard similarity of percent or more.
+    """(v, comp) of the vertices with links but the roots, as stars() gives them; linked are those whose sets have a
+    Jaccard similarity of percent or more.
 
     postings: (key, v, n, w), v long; n is the size of v's set, or anything where not sized, w how central it is. confirm: the true links
-    among pairs (a, b), a < b. elements: the sets (v, s) of a table of v, s being sorted unsigned 64-bit numbers as
-    bytes.
+    among pairs (a, b), a < b. elements: the sets (v, s) of a table of v, which may repeat, s being sorted unsigned
+    64-bit numbers as bytes.
     """
     like = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent if sized else F.lit(True)
-    ends = postings.groupBy("key").agg(F.max(F.struct(F.round("w", 3), -F.col("v"), "v", "n")).alias("hi"), F.min(F.struct("v", "n")).alias("lo"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    lead = written(ends.select("key", F.col("lo.v").alias("lo"), F.col("lo.n").alias("lo_n"), F.col("hi.v").alias("hi"), F.col("hi.n").alias("hi_n")), "leaders")
-    near = postings.join(lead, "key")
-    with_ = lambda end: near.where(F.col("v") != F.col(end)).where(like(F.col("n"), F.col(f"{end}_n"))).select(F.least("v", end).alias("a"), F.greatest("v", end).alias("b"))
-    pairs = with_("lo").unionAll(with_("hi")).distinct()
+    ends = postings.groupBy("key").agg(F.max(F.struct(F.round("w", 3), -F.col("v"), "v", "n")).alias("hi"), F.min(F.struct("v", "n")).alias("lo"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    lead = ends.select("key", "size", F.col("lo.v").alias("lo"), F.col("lo.n").alias("lo_n"), F.col("hi.v").alias("hi"), F.col("hi.n").alias("hi_n"))
+    near = written(postings.select("key", "v", "n").join(lead, "key"), "near")
+    ends = near.select("v", "n", F.explode(F.array(F.struct(F.col("lo").alias("e"), F.col("lo_n").alias("e_n")), F.struct(F.col("hi").alias("e"), F.col("hi_n").alias("e_n")))).alias("end"))
+    pairs = ends.select("v", "n", "end.*").where("v <> e").where(like(F.col("n"), F.col("e_n"))).select(F.least("v", "e").alias("a"), F.greatest("v", "e").alias("b")).distinct()
     links = written(confirm(written(pairs, "pairs")), "links")
-    comps = written(components(links), "components")
-    own = postings.join(lead, "key").join(comps, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
-    own = written(own.select("key", "v", "n", "comp", "lo", "hi"), "postings")
-    counts = own.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-    mixed = counts.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("k"), F.sum("c").alias("size")).where("k > 1").select("key", "size", F.col("top.comp").alias("main"))
+    comps = written(stars(links), "components")
+    own = near.join(small(comps), "v", "left").withColumn("comp", F.coalesce("comp", "v"))
+    own = written(own.select("key", "size", "v", "n", "comp", "lo", "hi"), "postings")
+    mixed = own.groupBy("key").agg(F.min("comp").alias("first"), F.max("comp").alias("last")).where("first <> last").select("key")
     rest = written(own.join(mixed, "key").where("v <> lo and v <> hi"), "rest")  # pairs with a leader have been compared
     short = rest.where(F.col("size") <= SHORT)
-    few = short.where("comp <> main").select("key", F.col("v").alias("x"), F.col("n").alias("x_n"), F.col("comp").alias("x_comp"))
-    pairs = few.join(short, "key").where("x_comp <> comp and (comp = main or x < v)").where(like(F.col("x_n"), F.col("n"))).select(F.least("x", "v").alias("a"), F.greatest("x", "v").alias("b"))
+    one = short.select("key", F.col("v").alias("x"), F.col("n").alias("x_n"), F.col("comp").alias("x_comp"))
+    pairs = one.join(short, "key").where("x_comp <> comp and x < v").where(like(F.col("x_n"), F.col("n"))).select(F.col("x").alias("a"), F.col("v").alias("b"))
     far = apart(rest.where(F.col("size") > SHORT).select(F.col("hi").alias("leader"), "v", "comp").distinct(), links, elements, percent)
     more = confirm(written(pairs.unionAll(far).distinct(), "pairs"))
-    return components(links.unionAll(more.select("a", "b")))
+    # the components so far stand for the links that made them
+    return stars(written(comps.select(F.col("comp").alias("a"), F.col("v").alias("b")).unionAll(more.select("a", "b")), "links"))
 
 
 def apart(members: DataFrame, links: DataFrame, elements: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
@@ -74,11 +75,11 @@ def apart(members: DataFrame, links: DataFrame, elements: Callable[[DataFrame],
     """
     r, most = (100 - percent) / (100 + percent), 1 + 100 / percent
     members = written(members, "members")
-    ids = members.select("v").unionAll(members.select(F.col("leader").alias("v"))).distinct()
-    sets = written(elements(written(ids, "ids")), "sets")
-    near = links.select(F.col("a").alias("leader"), F.col("b").alias("v")).unionAll(links.select(F.col("b").alias("leader"), F.col("a").alias("v"))).withColumn("near", F.lit(True))
-    unlinked = members.join(near, ["leader", "v"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
-    both = unlinked.join(sets, "v").join(sets.toDF("leader", "sl"), "leader")
+    sets = written(elements(members.select(F.explode(F.array("leader", "v")).alias("v"))), "sets")
+    near = links.select(F.explode(F.array(F.struct(F.col("a").alias("leader"), F.col("b").alias("v")), F.struct(F.col("b").alias("leader"), F.col("a").alias("v")))).alias("x"))
+    unlinked = members.join(small(near.select("x.*", F.lit(True).alias("near"))), ["leader", "v"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
+    few = F.broadcast if members.count() <= BROADCAST_ROWS else lambda df: df
+    both = sets.join(few(unlinked), "v").join(sets.toDF("leader", "sl"), "leader")
     schema = "leader long, v long, comp long, n int, size int, as_x int, as_y int, elements array<long>"
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

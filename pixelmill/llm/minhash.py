@@ -112,7 +112,7 @@ def prefixes(sets: DataFrame, coordinates: int, matches: int) -> DataFrame:
 
 
 def word_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
-    """(v, s): the whole shingle sets of the documents in a (written) table of v."""
+    """(v, s): the whole shingle sets of the documents in a (written) table of v, which may repeat."""
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -129,8 +129,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int,
     sig = sets.select("v", "sig")
     met = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b")
     met = met.where(F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda same: same)) >= matches)
-    met = written(met.select("a", "b").distinct(), "candidates")
-    words = written(word_sets(docs, written(met.select(F.explode(F.array("a", "b")).alias("v")).distinct(), "ids"), shingle), "sets")
+    met = written(met.select("a", "b"), "candidates")
+    words = written(word_sets(docs, met.select(F.col("a").alias("v")).unionAll(met.select(F.col("b").alias("v"))), shingle), "sets")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -142,7 +142,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int,
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = met.join(words.toDF("a", "wa"), "a").join(words.toDF("b", "wb"), "b")
-    return both.mapInArrow(compare, "a long, b long").distinct()
+    return both.mapInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
