@@ -101,7 +101,9 @@ def apart(members: DataFrame, links: DataFrame, elements: Callable[[DataFrame],
     ordered = written(differences.drop("elements").join(order, ["leader", "v"]), "ordered")
     alone = F.col("size") - F.size("o")  # elements that no other member has come first
     first = lambda n: F.slice(F.col("o.e"), F.lit(1), F.greatest(F.lit(0), F.col(n) - alone))
-    x = ordered.where("as_x > 0").select("leader", F.explode(first("as_x")).alias("e"), F.col("v").alias("x"), F.col("comp").alias("x_comp"), F.col("n").alias("x_n"), F.col("size").alias("x_size"))
-    y = ordered.select("leader", F.explode(first("as_y")).alias("e"), "v", "comp", "n", "size")
-    close = F.abs(F.col("x_size") - F.col("size")) <= (F.col("x_n") + F.col("n")) * r + 1e-9  # the differences differ at least so much
+    x = ordered.where("as_x > 0").select("leader", F.posexplode(first("as_x")).alias("x_at", "e"), F.size("o").alias("x_o"), F.col("v").alias("x"), F.col("comp").alias("x_comp"), F.col("n").alias("x_n"), F.col("size").alias("x_size"))
+    y = ordered.select("leader", F.posexplode(first("as_y")).alias("at", "e"), F.size("o").alias("o"), "v", "comp", "n", "size")
+    # with e in common at these places, no more elements than this can be common, and a link needs so many
+    most_common = F.least("x_at", "at") + F.least(F.col("x_o") - F.col("x_at"), F.col("o") - F.col("at"))
+    close = most_common * 2 >= F.col("x_size") + F.col("size") - (F.col("x_n") + F.col("n")) * r - 1e-9
     return x.join(y, ["leader", "e"]).where(close & (F.col("x") != F.col("v")) & (F.col("x_comp") != F.col("comp"))).select(F.least("x", "v").alias("a"), F.greatest("x", "v").alias("b"))
