@@ -32,34 +32,37 @@ from pixelmill.llm.minhash import mixed, permutations
 
 BANDS = 10
 ROWS = 4
-#: Characters (bytes) of a shingle: 8 fill a machine word, and lines of one language share few of them by chance.
+#: Characters (bytes) of a shingle, 8 at most, where a caller names none.
 CHARS = 8
 MIN_WORDS = 5
 PERCENT = 80
+#: How the queries and the pipeline call this: at 5 bytes, near copies of short lines are linked too.
+FINE = {"chars": 5}
 
 
-def windows(data: bytes) -> np.ndarray:
-    """The CHARS bytes from every position on as one number each."""
+def windows(data: bytes, chars: int) -> np.ndarray:
+    """The bytes from every position on, chars of them, as one number each."""
     x = np.frombuffer(data, np.uint8).astype(np.uint64)
-    for k in (1, 2, 4):
-        x = (x[:-k] << np.uint64(8 * k)) | x[k:]
-    return x
+    out = x
+    for k in range(1, chars):
+        out = (out[:-1] << np.uint64(8)) | x[k:]
+    return out
 
 
-def char_shingles(line: bytes) -> np.ndarray:
+def char_shingles(line: bytes, chars: int) -> np.ndarray:
     """Sorted distinct shingles; one, the line itself, where it is no longer."""
-    return np.unique(windows(line.ljust(CHARS, b"\0")))
+    return np.unique(windows(line.ljust(chars, b"\0"), chars))
 
 
-def line_signatures(lines: list[bytes], count: int) -> np.ndarray:
+def line_signatures(lines: list[bytes], count: int, chars: int) -> np.ndarray:
     """MinHash signatures of all lines at once: minima over each line's stretch of the joined text."""
     out = np.empty((len(lines), count), np.uint32)
     if lines:
-        padded = [x.ljust(CHARS, b"\0") for x in lines]
+        padded = [x.ljust(chars, b"\0") for x in lines]
         sizes = np.array([len(x) for x in padded])
         starts = np.cumsum(sizes) - sizes
-        cuts = np.stack([starts, starts + sizes - CHARS + 1], 1).ravel()[:-1]  # a line's shingles, then those across its end
-        h = (mixed(windows(b"".join(padded))) >> np.uint64(32)).astype(np.uint32)
+        cuts = np.stack([starts, starts + sizes - chars + 1], 1).ravel()[:-1]  # a line's shingles, then those across its end
+        h = (mixed(windows(b"".join(padded), chars)) >> np.uint64(32)).astype(np.uint32)
         a, b = permutations(count)
         for k in range(count):
             out[:, k] = np.minimum.reduceat(h * a[k] + b[k], cuts)[::2]
@@ -90,7 +93,7 @@ def places(docs: DataFrame, min_words: int) -> DataFrame:
     return sources(docs).mapInArrow(read, "doc_id long, version long, line_no int, line_id binary")
 
 
-def sketches(docs: DataFrame, min_words: int, bands: int, rows: int) -> DataFrame:
+def sketches(docs: DataFrame, min_words: int, chars: int, bands: int, rows: int) -> DataFrame:
     """(line_id, doc_id, version, line_no, times, keys) of each batch's distinct lines, with the first place and the number of places."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +106,7 @@ def sketches(docs: DataFrame, min_words: int, bands: int, rows: int) -> DataFram
                     times[line] = times.get(line, 0) + 1
                     if line not in first or order((i, no)) < order(first[line]):
                         first[line] = (i, no)
-            sig = line_signatures(list(first), bands * rows)
+            sig = line_signatures(list(first), bands * rows, chars)
             keys = np.zeros((len(first), bands), np.uint64)
             for k in range(rows):
                 keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + sig[:, k::rows] + np.arange(1, bands + 1, dtype=np.uint64))
@@ -133,24 +136,24 @@ def version(docs: DataFrame) -> Column:
     return F.xxhash64(F.col("text").cast("string"))
 
 
-def shingle_sets(lines: DataFrame) -> DataFrame:
+def shingle_sets(lines: DataFrame, chars: int) -> DataFrame:
     """(v, s) of (v, line)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b["v"], pa.array([char_shingles(x).tobytes() for x in b["line"].to_pylist()], pa.binary())], ["v", "s"])
+            yield pa.RecordBatch.from_arrays([b["v"], pa.array([char_shingles(x, chars).tobytes() for x in b["line"].to_pylist()], pa.binary())], ["v", "s"])
 
     return lines.select("v", "line").mapInArrow(read, "v long, s binary")
 
 
-def confirmed(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, lines: DataFrame, chars: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose lines' exact Jaccard similarity reaches the threshold; lines: (v, line)."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
             for x, y in zip(b["x"].to_pylist(), b["y"].to_pylist(), strict=True):
-                x, y = char_shingles(x), char_shingles(y)
+                x, y = char_shingles(x, chars), char_shingles(y, chars)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -159,14 +162,14 @@ def confirmed(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(compare, "a long, b long")
 
 
-def line_components(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def line_components(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = PERCENT, chars: int = CHARS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, version, line_no, line_id, kept_doc_id, kept_line_no, kept) of every line that takes part.
 
     kept_*: the occurrence that stays for the line's component.
     """
     short_batches(docs.sparkSession)
     place = F.struct("doc_id", "version", "line_no")
-    distinct = sketches(docs, min_words, bands, rows).groupBy("line_id").agg(F.min(place).alias("first"), F.sum("times").alias("times"), F.first("keys").alias("keys"))
+    distinct = sketches(docs, min_words, chars, bands, rows).groupBy("line_id").agg(F.min(place).alias("first"), F.sum("times").alias("times"), F.first("keys").alias("keys"))
     distinct = written(distinct.withColumn("v", F.monotonically_increasing_id()), "distinct")  # short numbers, fixed by the written table
     postings = distinct.select("v", F.lit(0).alias("n"), F.explode("keys").alias("key"))
     met = postings.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
@@ -174,7 +177,7 @@ def line_components(docs: DataFrame, min_words: int = MIN_WORDS, percent: int =
     postings = written(met.join(met.groupBy("v").agg(F.sum(F.log2("df")).alias("w")), "v").select("key", "v", "n", "w"), "postings")
     ids = written(distinct.select("line_id", "v").join(postings.select("v"), "v", "left_semi"), "ids")
     lines = written(line_texts(docs, ids, min_words), "lines")
-    comps = written(with_roots(linked(postings, lambda pairs: confirmed(pairs, lines, percent), lambda wanted: shingle_sets(lines.join(wanted, "v", "left_semi")), percent, sized=False)), "linked")
+    comps = written(with_roots(linked(postings, lambda pairs: confirmed(pairs, lines, chars, percent), lambda wanted: shingle_sets(lines.join(wanted, "v", "left_semi"), chars), percent, sized=False)), "linked")
     # only lines that stand more than once, or are linked, can give way to another
     of = distinct.select("line_id", "first", "times", "v").join(comps, "v", "left").where("times > 1 or comp is not null").withColumn("comp", F.coalesce("comp", "v"))
     best = of.join(of.groupBy("comp").agg(F.min("first").alias("kept_at")), "comp").select("line_id", "kept_at")

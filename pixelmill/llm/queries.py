@@ -61,7 +61,7 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each line that takes part: where the line that stays for it stands, and whether it is this one."""
-    return line_dedup.line_components(table(spark, sf_dir, "documents")).select("doc_id", "line_no", "kept_doc_id", "kept_line_no", "kept")
+    return line_dedup.line_components(table(spark, sf_dir, "documents"), **line_dedup.FINE).select("doc_id", "line_no", "kept_doc_id", "kept_line_no", "kept")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,3 +105,22 @@ def test_repeated_lines_go_once(spark):
     a, b, c = "the first line of five words", "another line, of quite other words", "short one"
     docs = spark.createDataFrame([(1, f"{a}\n{c}", 0), (2, f"{b}\n{a}\n{c}", 0), (3, f"  {a.upper()} ", 0)], "doc_id long, text string, n_chars int")
     assert {(r["doc_id"], r["text"], r["n_chars"]) for r in line_dedup.without_repeats(docs).collect()} == {(1, f"{a}\n{c}", len(a) + 10), (2, f"{b}\n{c}", len(b) + 10)}
+
+
+def test_query_and_pipeline_link_near_copies_of_short_lines(spark, tmp_path):
+    import corpus_pipeline
+    from pixelmill.llm import queries
+
+    rng = random.Random(5)
+    letters = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(5, 8)))
+    lines = [" ".join(letters() for _ in range(9)) for _ in range(40)]  # 50 to 80 bytes
+    near = [x[:25] + "#" + x[26:] for x in lines]
+    texts = {k: "\n".join(part) for k, part in enumerate([lines[:20], near[:10] + lines[20:], near[10:]])}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = brute.line_places(texts, chars=5)
+    assert sum(want[p] != p for p in want) > 30
+    rows = queries.op7_line_dedup(spark, str(tmp_path)).collect()
+    assert sum((r["kept_doc_id"], r["kept_line_no"]) != want[r["doc_id"], r["line_no"]] for r in rows) <= len(want) // 50 and len(rows) == len(want)
+    left = corpus_pipeline.lines(spark, docs, str(tmp_path)).collect()
+    assert sum(len(r["text"].split("\n")) for r in left) <= sum(want[p] == p for p in want) + len(want) // 50
