@@ -6,7 +6,8 @@ confirmed by their exact Jaccard similarity; components follow by union-find (li
 band without all pairs of a hot bucket). Of each component the first occurrence of a line, by (doc_id, line number),
 stays.
 
-Only lines of at least min_words words take part; shorter ones are left alone. White space at a line's ends and runs
+Lines of fewer than min_words words are left alone; the query and the pipeline let every line that holds a word take
+part. White space at a line's ends and runs
 of spaces don't count, and A-Z are lower-cased.
 
 Defined results: a null text has no lines and stays null; an empty text has one empty line, which doesn't take part;
@@ -36,8 +37,9 @@ ROWS = 4
 CHARS = 8
 MIN_WORDS = 5
 PERCENT = 80
-#: How the queries and the pipeline call this: at 5 bytes, near copies of short lines are linked too.
-FINE = {"chars": 5}
+#: How the query and the pipeline call this: every line that holds a word takes part, and at 5 bytes near copies of
+#: short lines are linked too.
+FINE = {"chars": 5, "min_words": 1}
 
 
 def windows(data: bytes, chars: int) -> np.ndarray:

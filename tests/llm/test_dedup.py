@@ -118,9 +118,23 @@ def test_query_and_pipeline_link_near_copies_of_short_lines(spark, tmp_path):
     texts = {k: "\n".join(part) for k, part in enumerate([lines[:20], near[:10] + lines[20:], near[10:]])}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
-    want = brute.line_places(texts, chars=5)
+    want = brute.line_places(texts, min_words=1, chars=5)
     assert sum(want[p] != p for p in want) > 30
     rows = queries.op7_line_dedup(spark, str(tmp_path)).collect()
     assert sum((r["kept_doc_id"], r["kept_line_no"]) != want[r["doc_id"], r["line_no"]] for r in rows) <= len(want) // 50 and len(rows) == len(want)
     left = corpus_pipeline.lines(spark, docs, str(tmp_path)).collect()
     assert sum(len(r["text"].split("\n")) for r in left) <= sum(want[p] == p for p in want) + len(want) // 50
+
+
+def test_query_and_pipeline_take_lines_of_few_words(spark, tmp_path):
+    import corpus_pipeline
+    from pixelmill.llm import queries
+
+    long = "没有空格的一行文字也是会重复出现的样板内容需要去掉"
+    texts = {1: f"All rights reserved.\n{long}\n\nx", 2: f"all  rights reserved.\nown\n\n{long}", 3: f"x\n{long}!\nlast"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.op7_line_dedup(spark, str(tmp_path)).collect()
+    assert {(r["doc_id"], r["line_no"]): (r["kept_doc_id"], r["kept_line_no"]) for r in rows} == brute.line_places(texts, min_words=1, chars=5)
+    left = {r["doc_id"]: r["text"] for r in corpus_pipeline.lines(spark, docs, str(tmp_path)).collect()}
+    assert left == {1: texts[1], 2: "own\n", 3: "last"}
