@@ -2,14 +2,14 @@
 
 Each source's documents are dealt into blocks. A source of weight w gets, for its block j (from 1), the window of
 slots from floor((j - 1) / w) to ceil(j / w); slots go to the released block with the earliest deadline. At any
-slot, each source is then less than one block away from its share. Weights are rounded to shares of a period, whose
-schedule repeats, so the driver only plans one period for each set of sources that still have blocks; when a source
-runs out, the others go on by their own weights. A block's slot follows from its number by arithmetic, on the
-executors.
+slot, each source is then less than one block away from its share. Weights are taken as the exact fractions that they
+are, and windows are reckoned in whole numbers from the start of a phase, so nothing is rounded however long a phase
+lasts. A phase ends when a source runs out; the others go on by their own weights.
 
-The driver holds one row for each source and a period for each source that runs out: sources are taken to be few, as
-their weights are given one by one. Documents of a source are ordered by hash of doc_id, and counted off in hash
-ranges of bounded size, so a source with most of the rows is spread over many tasks.
+The driver deals the slots: it takes a step and holds a number (8 bytes) for each block, of 64 documents. Executors
+look up a block's slot in the stretch of its source that the block lies in. Sources are taken to be few, as their
+weights are given one by one. Documents of a source are ordered by hash of doc_id, and counted off in hash ranges of
+bounded size, so a source with most of the rows is spread over many tasks.
 
 Defined results: a null source is a source of its own; a source without a weight, or with none above 0, counts as one
 of the smallest weight given (by default weights are square roots of the counts); ties of doc_id are ordered by text
@@ -19,54 +19,72 @@ hash, and rows that are equal in both are interchangeable; an empty table gives
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_left
+from array import array
+from fractions import Fraction
+from math import lcm
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pixelmill.llm.common import BROADCAST_ROWS
+
 BLOCK_DOCS = 64
+#: Blocks of a source whose slots stand in one row of the schedule.
 PERIOD = 1024
 #: Documents that a hash range of a source holds, about.
 RANGE_DOCS = 16_384
 
 
-def shares(weights: dict[str | None, float], period: int) -> dict[str | None, int]:
-    """Whole slots of a period, at least one each, by largest remainders."""
-    total, spare = sum(weights.values()), period - len(weights)
-    exact = {k: spare * w / total for k, w in weights.items()}
-    out = {k: 1 + int(x) for k, x in exact.items()}
-    for k in sorted(exact, key=lambda k: (int(exact[k]) - exact[k], str(k)))[: period - sum(out.values())]:
-        out[k] += 1
-    return out
-
-
-def period_slots(share: dict[str | None, int]) -> dict[str | None, list[int]]:
-    """The slots of each source's blocks in one period: earliest deadline first among the released."""
-    n = sum(share.values())
-    waiting = sorted(((j * n // c, -(-(j + 1) * n // c), str(k), k) for k, c in share.items() for j in range(c)), key=lambda x: x[:3], reverse=True)
-    slots: dict[str | None, list[int]] = {k: [] for k in share}
-    ready: list[tuple] = []
-    for t in range(n):
-        while waiting and waiting[-1][0] <= t:
-            _, deadline, name, k = waiting.pop()
-            heapq.heappush(ready, (deadline, name, len(slots[k]), len(waiting), k))
-        slots[heapq.heappop(ready)[-1]].append(t)
-    return slots
+def whole(weights: dict[str | None, float]) -> dict[str | None, int]:
+    """Whole numbers in the exact proportions of the weights."""
+    exact = {k: Fraction(w) for k, w in weights.items()}
+    scale = lcm(*(x.denominator for x in exact.values()))
+    return {k: int(x * scale) for k, x in exact.items()}
+
+
+def phase_slots(blocks: dict[str | None, int], share: dict[str | None, int]) -> tuple[dict[str | None, array], int]:
+    """The slots of each source's blocks until one runs out, earliest deadline first among the released; their count.
+
+    A source's next block waits for its release, then for a slot; one after it has a later deadline, so it needn't be
+    looked at before.
+    """
+    n, t = sum(share.values()), 0
+    slots = {k: array("q") for k in blocks}
+    names = sorted(blocks, key=lambda k: (str(k), k is None))
+    ready, waiting = [], [(0, i) for i in range(len(names))]
+    while True:
+        while waiting and waiting[0][0] <= t:
+            i = heapq.heappop(waiting)[1]
+            heapq.heappush(ready, (-(-(len(slots[names[i]]) + 1) * n // share[names[i]]), i))
+        i = heapq.heappop(ready)[1]
+        own = slots[names[i]]
+        own.append(t)
+        t += 1
+        if len(own) == blocks[names[i]]:
+            return slots, t
+        heapq.heappush(waiting, (len(own) * n // share[names[i]], i))
 
 
 def plan(blocks: dict[str | None, int], weights: dict[str | None, float], period: int = PERIOD) -> list[tuple]:
-    """(source, first block, end block, first slot, share, period, slots): how blocks of a source find their slots."""
+    """(source, first block, end block, first slot of the phase, share, whole, slots): where blocks of a source stand.
+
+    share / whole is the source's exact weight in the phase, share no less than the blocks of the row; slots are
+    counted from the first of the phase. A row's blocks have the same number div period.
+    """
     done, at, out = dict.fromkeys(blocks, 0), 0, []
     while left := {k: n - done[k] for k, n in blocks.items() if n > done[k]}:
-        share = shares({k: weights[k] for k in left}, max(period, 4 * len(left)))
-        slots, n = period_slots(share), sum(share.values())
-        end = min((r - 1) // share[k] * n + slots[k][(r - 1) % share[k]] for k, r in left.items()) + 1
-        for k in left:
-            used = end // n * share[k] + bisect_left(slots[k], end % n)
-            if used:
-                out.append((k, done[k], done[k] + used, at, share[k], n, slots[k]))
-            done[k] += used
+        share = whole({k: weights[k] for k in left})
+        slots, end = phase_slots(left, share)
+        n = sum(share.values())
+        for k, own in slots.items():
+            first = done[k]
+            done[k] += len(own)
+            while first < done[k]:
+                stop = min(done[k], (first // period + 1) * period)
+                times = -(-(stop - first) // share[k])
+                out.append((k, first, stop, at, times * share[k], times * n, own[len(own) - done[k] + first : len(own) - done[k] + stop]))
+                first = stop
         at += end
     return out
 
@@ -78,7 +96,9 @@ def mix_order(docs: DataFrame, weights: dict[str | None, float] | None = None, b
     given = {k: w for k, w in (weights or {k: n**0.5 for k, n in counts.items()}).items() if w > 0}
     least = min(given.values(), default=1.0)
     rows = plan({k: -(-n // block_docs) for k, n in counts.items()}, {k: given.get(k, least) for k in counts}, period)
-    phases = spark.createDataFrame(rows, "_p_source string, _p_first long, _p_end long, _p_slot long, _p_share long, _p_period long, _p_slots array<long>")
+    rows = [(k, first // period, first, end, [at + t for t in slots]) for k, first, end, at, _, _, slots in rows]
+    stretches = spark.createDataFrame(rows, "_p_source string, _p_stretch long, _p_first long, _p_end long, _p_slots array<long>", verifySchema=False)
+    few = F.broadcast if sum(r[3] - r[2] for r in rows) <= BROADCAST_ROWS else lambda df: df
     bits = max(0, (sum(counts.values()) // RANGE_DOCS).bit_length())
 
     named = docs.withColumn("_mix_source", F.col("source").cast("string")).withColumn("_mix_hash", F.xxhash64("doc_id"))
@@ -90,10 +110,9 @@ def mix_order(docs: DataFrame, weights: dict[str | None, float] | None = None, b
     ranked = named.withColumn("_rank", F.row_number().over(within) - 1)
     ranked = ranked.join(starts, ranked["_mix_source"].eqNullSafe(starts["_s"]) & (ranked["_mix_range"] == starts["_r"]))
     ranked = ranked.withColumn("_rank", F.col("_start") + F.col("_rank")).withColumn("_mix_block", F.expr(f"_rank div {block_docs}")).withColumn("_mix_in_block", F.expr(f"_rank % {block_docs}"))
-    own = F.col("_mix_source").eqNullSafe(F.col("_p_source")) & F.col("_mix_block").between(F.col("_p_first"), F.col("_p_end") - 1)
-    put = ranked.join(F.broadcast(phases), own)  # at most a period of slots for each source that runs out
-    k = F.col("_mix_block") - F.col("_p_first")
-    slot = F.col("_p_slot") + F.floor(k / F.col("_p_share")) * F.col("_p_period") + F.get("_p_slots", (k % F.col("_p_share")).cast("int"))
+    own = F.col("_mix_source").eqNullSafe(F.col("_p_source")) & (F.expr(f"_mix_block div {period}") == F.col("_p_stretch"))
+    put = ranked.join(few(stretches), own & (F.col("_mix_block") >= F.col("_p_first")) & (F.col("_mix_block") < F.col("_p_end")))
+    slot = F.get("_p_slots", (F.col("_mix_block") - F.col("_p_first")).cast("int"))
     return put.select(*[F.col(c) for c in docs.columns], "_mix_block", slot.alias("_mix_slot"), "_mix_in_block")
 
 

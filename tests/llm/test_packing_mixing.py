@@ -112,3 +112,29 @@ def test_mix_places(spark):
     assert rows.duplicated(["_mix_slot", "_mix_in_block"]).sum() == 0 and (rows.groupby("_mix_slot").source.nunique() == 1).all()
     head = rows[rows._mix_slot < 40].groupby("source").size()
     assert abs(head["big"] - head["small"]) <= 20
+
+
+def test_schedule_follows_the_given_weights():
+    for n, first in ((20, 1 / 3), (100, 0.5), (256, 1 / 3)):
+        weights = {str(i): first if i == 0 else (1 - first) / (n - 1) for i in range(n)}
+        blocks = {k: 1 + int(10_000 * w) for k, w in weights.items()}
+        of = {}
+        for source, start, end, slot, share, period, slots in mixing.plan(blocks, weights):
+            for b in range(start, end):
+                of[slot + (b - start) // share * period + slots[(b - start) % share]] = source
+        assert sorted(of) == list(range(sum(blocks.values())))
+        got, total = dict.fromkeys(weights, 0), sum(weights.values())
+        for t in range(len(of)):
+            got[of[t]] += 1
+            assert all(abs(got[k] - weights[k] / total * (t + 1)) < 1 + 1e-9 for k in weights)
+            if got[of[t]] == blocks[of[t]]:
+                break
+        assert t > 5000
+
+
+def test_mix_over_many_stretches(spark):
+    docs = spark.range(3000).selectExpr("id as doc_id", "'t' as text", "if(id % 10 < 7, 'big', if(id % 10 < 9, 'small', null)) as source")
+    rows = mixing.mix_order(docs, {"big": 0.6, "small": 0.3, None: 0.1}, block_docs=2, period=16).toPandas()
+    assert sorted(rows._mix_slot.unique()) == list(range(1500)) and len(rows) == 3000
+    places = rows.groupby(rows.source.fillna("-"))[["_mix_block", "_mix_slot"]].apply(lambda x: x.sort_values("_mix_block")._mix_slot.is_monotonic_increasing)
+    assert places.all()
