@@ -22,7 +22,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pixelmill.llm.common import short_batches, small, written
@@ -159,13 +158,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordi
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows with _row, written: a number of its own for each, in order of doc_id (nulls last) and text hash."""
+    order = [F.col("doc_id").isNull(), F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))]
+    # equal rows go by their places, so that they needn't be sorted in one task
+    rows = docs.withColumn("_at", F.monotonically_increasing_id()).orderBy(*order, "_at").drop("_at")
+    return written(rows.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
 def without_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component; of rows that share a doc_id one stays, the first by text hash."""
-    found = written(near_duplicates(docs, shingle, percent).select("doc_id", "kept"), "kept")
-    gone = small(written(found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone"))
-    left = docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
-    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    if again.isEmpty():
-        return left
-    first = W.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return left.withColumn("_nth", F.when(F.col("doc_id").isNull(), 1).otherwise(F.row_number().over(first))).where("_nth = 1").drop("_nth")
+    """One row of each component, the first by doc_id (nulls last) and text hash; rows without a word all stay.
+
+    Rows are told apart one by one, whatever their doc_id. Where the ids do that, they are taken; where any is null
+    or repeated, rows are written with a number of their own.
+    """
+    ids = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).count()
+    if ids.where("doc_id is null or count > 1").isEmpty():
+        rows = docs.withColumn("_row", F.col("doc_id").cast("long"))
+    else:
+        rows = numbered(docs)
+    found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), shingle, percent)
+    gone = small(written(found.where("not kept").select(F.col("doc_id").alias("_gone")), "gone"))
+    return rows.join(gone, rows["_row"] == F.col("_gone"), "left_anti").select(docs.columns)

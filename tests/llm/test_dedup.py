@@ -138,3 +138,14 @@ def test_query_and_pipeline_take_lines_of_few_words(spark, tmp_path):
     assert {(r["doc_id"], r["line_no"]): (r["kept_doc_id"], r["kept_line_no"]) for r in rows} == brute.line_places(texts, min_words=1, chars=5)
     left = {r["doc_id"]: r["text"] for r in corpus_pipeline.lines(spark, docs, str(tmp_path)).collect()}
     assert left == {1: texts[1], 2: "own\n", 3: "last"}
+
+
+def test_stage_decides_by_row_not_by_id(spark):
+    rng = random.Random(6)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    a, b, c, d, e, lone = (text() for _ in range(6))
+    rows = [(1, b), (5, a), (5, b + " tail"), (7, c), (7, d), (7, lone), (7, lone), (9, d), *[(None, c)] * 20, *[(None, e)] * 20, *[(2, "")] * 2, (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = minhash.without_near_duplicates(docs).collect()
+    want = [(1, b), (5, a), (7, c), (7, d), (7, lone), (None, e), (2, ""), (2, ""), (None, None)]
+    assert sorted(map(repr, (tuple(r) for r in left))) == sorted(map(repr, want))
