@@ -134,8 +134,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).alias("good")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    # the sample is of bounded size: one partition in a fixed order makes the fit repeatable
-    return fit(written(with_stats(texts, "doc_id long, good boolean").coalesce(1).sortWithinPartitions("doc_id", *STATS), "sample"))
+    # written first, so that many tasks read the texts; of the statistics, one partition in a fixed order makes the fit repeatable
+    stats = written(with_stats(texts, "doc_id long, good boolean"), "stats")
+    return fit(written(stats.coalesce(1).sortWithinPartitions("doc_id", *STATS), "sample"))
 
 
 def classify(docs: DataFrame, model: Ensemble) -> DataFrame:

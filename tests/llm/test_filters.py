@@ -170,3 +170,19 @@ def test_url_templates_reject_what_is_labelled_bad(spark):
     assert (out.verdict == "block").equals(out.template == "/spam/*")
     news, blog = (out[out.template == t].branch.iloc[0] for t in ("/news/*", "/blog/*"))
     assert news == "/news/*" and blog == "/blog/*"  # far from the pooled share, so not merged with it
+
+
+def test_rule_ensemble_reads_texts_in_many_tasks(spark, labels, monkeypatch):
+    plans, parts = [], []
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        parts.append(df.rdd.getNumPartitions())
+        return df.sparkSession.createDataFrame(df.collect(), df.schema).coalesce(1)
+
+    monkeypatch.setattr(rule_ensemble, "written", seen)
+    monkeypatch.setattr(rule_ensemble, "fit", lambda rows: rows.count())
+    docs = spark.createDataFrame([(i, f"some words of text {i}") for i in range(14)], "doc_id long, text string").repartition(4)
+    assert rule_ensemble.train(docs, labels) > 0
+    reads = [n for plan, n in zip(plans, parts, strict=True) if "MapInArrow" in plan]
+    assert reads == [4] and parts[-1] == 1
