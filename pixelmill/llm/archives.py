@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelmill.llm.common import short_batches, written
+from pixelmill.llm.common import slices, written
 
 REVISIT_BYTES = 1000
 #: Index lines, and bytes of records, that a range holds about.
@@ -106,7 +106,6 @@ class Package:
 
 def write_archives(pages: DataFrame, folder: str, revisit_bytes: int = REVISIT_BYTES, package_records: int = PACKAGE_RECORDS) -> DataFrame:
     """Writes the packages of (page_id, url, html); returns the manifest (path, records), itself written."""
-    short_batches(pages.sparkSession)
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload").cast("long"))
@@ -117,7 +116,7 @@ def write_archives(pages: DataFrame, folder: str, revisit_bytes: int = REVISIT_B
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         package, done = None, []
-        for b in batches:
+        for b in slices(batches):
             for r in b.to_pylist():
                 package = package or Package(folder)
                 package.add(r["page_id"], r["url"], record(r["kind"], r["page_id"], r["url"], r["payload"] or b"", r["size"], r["digest"], r["refers_to"]))
@@ -210,7 +209,7 @@ def ranges(paths: DataFrame) -> DataFrame:
     """(path, start, ends): byte ranges of neighbouring records, located by directory and index of each package."""
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             for path in b["path"].to_pylist():
                 f, read = opened(path)
                 with f:
@@ -241,11 +240,10 @@ def ranges(paths: DataFrame) -> DataFrame:
 def read_archives(manifest: DataFrame) -> DataFrame:
     """One row for each record: page_id, url, payload_bytes, payload_digest, record_type, refers_to, digest_ok, html."""
     spark = manifest.sparkSession
-    short_batches(spark)
     names = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, digest_ok boolean, payload binary"
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             for r in b.to_pylist():
                 f, read = opened(r["path"])
                 with f:

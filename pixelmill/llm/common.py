@@ -1,15 +1,18 @@
-"""What the operators share: the shared work folder, written intermediates, Arrow batch sizes."""
+"""What the operators share: the shared work folder, written intermediates, slices of Arrow batches, free names."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from functools import cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch handed to Python. Texts can be long, so batches are kept short.
-BATCH_ROWS = 512
+#: Rows and bytes of an Arrow batch that Python works on at once; one row may be longer.
+SLICE_ROWS, SLICE_BYTES = 512, 8 << 20
 #: A side of a join with at most this many rows of a few bytes each is broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -18,17 +21,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the Arrow batches of the Python stages planned from now on."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for working columns beside a caller's: as wanted, with underscores in front where the caller has them."""
+    taken = {c.lower() for c in df.columns}
+    return [next(x for x in (k * "_" + name for k in range(len(taken) + 1)) if x.lower() not in taken) for name in wanted]
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most so many rows, and about so many bytes where one row isn't more.
+
+    Spark bounds a batch by bytes too (64 MB and a row, by default), whatever the session's setting of rows.
+    """
+    for b in batches:
+        at = 0
+        while at < b.num_rows:
+            n = min(rows, b.num_rows - at)
+            while n > 1 and b.slice(at, n).nbytes > size:
+                n = n // 2
+            yield b.slice(at, n)
+            at += n
+
+
+@cache
+def own_dir(master: str) -> str:
+    if not master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    return "file://" + tempfile.mkdtemp(prefix="pixelmill-")
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares; a temporary folder only where none is set (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="pixelmill-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    """A new path in the folder that the cluster shares (spark.checkpoint.dir).
+
+    Without that setting there is no such folder: on one machine (a local master) a temporary one serves, on a cluster
+    this is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or own_dir(spark.sparkContext.master)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelmill.llm.common import short_batches, small, written
+from pixelmill.llm.common import free_names, slices, small, written
 from pixelmill.llm.components import with_roots
 from pixelmill.llm.linking import linked
 from pixelmill.llm.minhash import mixed, permutations
@@ -88,7 +88,7 @@ def places(docs: DataFrame, min_words: int) -> DataFrame:
     """(doc_id, version, line_no, line_id) of the lines that take part."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = [(i, no, xxhash.xxh3_128_digest(x)) for i, data in enumerate(b["text"].cast(pa.binary()).to_pylist()) for no, x in eligible(data, min_words)]
             at = pa.array([r[0] for r in rows], pa.int64())
             yield pa.RecordBatch.from_arrays([b["doc_id"].take(at), b["version"].take(at), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["doc_id", "version", "line_no", "line_id"])
@@ -100,7 +100,7 @@ def sketches(docs: DataFrame, min_words: int, chars: int, bands: int, rows: int)
     """(line_id, doc_id, version, line_no, times, keys) of each batch's distinct lines, with the first place and the number of places."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             first, times = {}, {}
             docs_, versions = b["doc_id"].to_pylist(), b["version"].to_pylist()
             order = lambda p: (docs_[p[0]] is not None, docs_[p[0]] or 0, versions[p[0]] is not None, versions[p[0]] or 0, p[1])
@@ -127,7 +127,7 @@ def line_texts(docs: DataFrame, ids: DataFrame, min_words: int) -> DataFrame:
     """(v, line) of the wanted lines (a written table of line_id, v), each once."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             lines = list({x: None for data in b["text"].cast(pa.binary()).to_pylist() for _, x in eligible(data, min_words)})
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x) for x in lines], pa.binary()), pa.array(lines, pa.binary())], ["line_id", "line"])
 
@@ -143,7 +143,7 @@ def shingle_sets(lines: DataFrame, chars: int) -> DataFrame:
     """(v, s) of (v, line)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b["v"], pa.array([char_shingles(x, chars).tobytes() for x in b["line"].to_pylist()], pa.binary())], ["v", "s"])
 
     return lines.select("v", "line").mapInArrow(read, "v long, s binary")
@@ -153,7 +153,7 @@ def confirmed(pairs: DataFrame, lines: DataFrame, chars: int, percent: int) -> D
     """The pairs (a, b) whose lines' exact Jaccard similarity reaches the threshold; lines: (v, line)."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             keep = []
             for x, y in zip(b["x"].to_pylist(), b["y"].to_pylist(), strict=True):
                 x, y = char_shingles(x, chars), char_shingles(y, chars)
@@ -170,7 +170,6 @@ def line_components(docs: DataFrame, min_words: int = MIN_WORDS, percent: int =
 
     kept_*: the occurrence that stays for the line's component.
     """
-    short_batches(docs.sparkSession)
     place = F.struct("doc_id", "version", "line_no")
     distinct = sketches(docs, min_words, chars, bands, rows).groupBy("line_id").agg(F.min(place).alias("first"), F.sum("times").alias("times"), F.first("keys").alias("keys"))
     distinct = written(distinct.withColumn("v", F.monotonically_increasing_id()), "distinct")  # short numbers, fixed by the written table
@@ -183,7 +182,8 @@ def line_components(docs: DataFrame, min_words: int = MIN_WORDS, percent: int =
     comps = written(with_roots(linked(postings, lambda pairs: confirmed(pairs, lines, chars, percent), lambda wanted: shingle_sets(lines.join(wanted, "v", "left_semi"), chars), percent, sized=False)), "linked")
     # only lines that stand more than once, or are linked, can give way to another
     of = distinct.select("line_id", "first", "times", "v").join(comps, "v", "left").where("times > 1 or comp is not null").withColumn("comp", F.coalesce("comp", "v"))
-    best = of.join(of.groupBy("comp").agg(F.min("first").alias("kept_at")), "comp").select("line_id", "kept_at")
+    of = written(of, "components")
+    best = of.join(small(written(of.groupBy("comp").agg(F.min("first").alias("kept_at")), "first")), "comp").select("line_id", "kept_at")
     found = places(docs, min_words).join(written(best, "best"), "line_id", "left").withColumn("kept_at", F.coalesce("kept_at", place))
     return found.select("doc_id", "version", "line_no", "line_id", F.col("kept_at.doc_id").alias("kept_doc_id"), F.col("kept_at.line_no").alias("kept_line_no"), place.eqNullSafe(F.col("kept_at")).alias("kept"))
 
@@ -193,12 +193,13 @@ def without_repeats(docs: DataFrame, **how: int) -> DataFrame:
 
     Documents that lose all lines that hold a word are dropped; those that had none to begin with stay as they are.
     """
-    gone = line_components(docs, **how).where("not kept").groupBy("doc_id", "version").agg(F.collect_set("line_no").alias("gone"))
-    gone = written(gone, "gone").toDF("_gone_doc", "_gone_version", "_gone")
-    hit = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_gone_doc")) & (version(docs) == F.col("_gone_version")), "left")
+    gone_doc, gone_version, gone, new = free_names(docs, "gone_doc", "gone_version", "gone", "new_text")
+    lost = line_components(docs, **how).where("not kept").groupBy("doc_id", "version").agg(F.collect_set("line_no").alias("gone"))
+    lost = written(lost, "gone").toDF(gone_doc, gone_version, gone)
+    hit = docs.join(lost, docs["doc_id"].cast("long").eqNullSafe(F.col(gone_doc)) & (version(docs) == F.col(gone_version)), "left")
     lines = F.split(F.col("text").cast("string"), "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("_gone", i)), "\n")
-    text = F.when(F.col("_gone").isNull(), F.col("text").cast("string")).otherwise(kept)
-    out = hit.withColumn("_text", text).where(F.col("_gone").isNull() | F.col("_text").rlike(r"[^\x20\x09-\x0D]"))
-    columns = [F.col("_text").alias("text") if c == "text" else F.length("_text").cast(kind).alias("n_chars") if c == "n_chars" else F.col(c) for c, kind in docs.dtypes]
+    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(gone, i)), "\n")
+    out = hit.withColumn(new, F.when(F.col(gone).isNull(), F.col("text").cast("string")).otherwise(kept))
+    out = out.where(F.col(gone).isNull() | F.col(new).rlike(r"[^\x20\x09-\x0D]"))
+    columns = [F.col(new).alias("text") if c == "text" else F.length(new).cast(kind).alias("n_chars") if c == "n_chars" else F.col(c) for c, kind in docs.dtypes]
     return out.select(columns)

@@ -3,19 +3,23 @@
 Vertices are posted under keys such that vertices which have to be compared share a key. Only the components of the
 true links matter, so within a key it is enough to find links that join what is not joined yet:
 
-1. every vertex of a key is compared with two leaders, the most central vertex and the smallest one there (pairs grow
-   in proportion to the postings, however large a key is). A vertex is central if many others share its keys, as the
-   text does that a group of near copies was made from (of equals the smallest is taken), so the keys of a group have
-   one leader;
-2. components are taken of the links found;
+1. every key has a leader, its most central vertex (many others share its keys, as the text does that a group of near
+   copies was made from). Each vertex is compared with the most central of its leaders: one pair for each vertex;
+2. what isn't joined with the leader of one of its keys then is compared with that leader too; pairs are at most as
+   many as postings. Components are taken of all links found;
 3. in short keys that still hold several components, the vertices of different components are compared, but for the
-   pairs of step 1;
-4. in long keys, where that would grow with the square of the key, vertices are told apart by how their sets differ
-   from the leader's. Two sets are as far apart as their differences are, and of two vertices in different components
-   at least one isn't linked with the leader, so its difference is large; the other's has to share elements with it.
-   A prefix filter over the differences, rarest elements first, gives the pairs that can be links at all.
-
-No pair of different components is left out, so no link is lost; pairs inside a component can't change the result.
+   leader;
+4. in long keys, the strays (the vertices outside the leader's component) are a query set that is held against all
+   vertices of the leader, in blocks: a task has one block of strays and one of vertices, counts what their sets have
+   in common from an inverted list of the block, and reports only links that join components. Two sets differ as
+   their differences from the leader do, and these are short, so the lists are short too.
+
+No pair of different components is left out, so no link is lost; pairs inside a component can't change the result. At
+no step are the pairs of a group made as rows.
+
+Defined results: no postings, or none that share a key, give no rows; a vertex may be posted under a key twice, and
+may have several sets, each of which can link it; a vertex without a set is linked with nothing; null keys or vertices
+are the caller's to leave out.
 """
 
 from __future__ import annotations
@@ -27,12 +31,30 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelmill.llm.common import BROADCAST_ROWS, small, written
+from pixelmill.llm.common import slices, small, written
 from pixelmill.llm.components import stars
 
-
 #: Vertices of a key that are compared pair by pair.
 SHORT = 8
+#: Bytes of sets, the leader's counted with each, that a block of step 4 holds about.
+BLOCK_BYTES = 8 << 20
+
+
+def pairs_of(ends: DataFrame) -> DataFrame:
+    """(a, b), a < b, each once, of (v, leader)."""
+    return ends.select(F.least("v", "leader").alias("a"), F.greatest("v", "leader").alias("b")).distinct()
+
+
+def with_components(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    """rows (v, leader, ...) with comp and leader_comp; what stars() doesn't name is a component of its own."""
+    comps = small(comps)
+    rows = rows.join(comps, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
+    return rows.join(comps.toDF("leader", "leader_comp"), "leader", "left").withColumn("leader_comp", F.coalesce("leader_comp", "leader"))
+
+
+def joined(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """The components of links beside those found before, written."""
+    return written(stars(comps.select(F.col("comp").alias("a"), F.col("v").alias("b")).unionAll(links.select("a", "b"))), "components")
 
 
 def linked(postings: DataFrame, confirm: Callable[[DataFrame], DataFrame], elements: Callable[[DataFrame], DataFrame], percent: int, sized: bool = True) -> DataFrame:
@@ -40,70 +62,107 @@ def linked(postings: DataFrame, confirm: Callable[[DataFrame], DataFrame], eleme
     Jaccard similarity of percent or more.
 
     postings: (key, v, n, w), v long; n is the size of v's set, or anything where not sized, w how central it is. confirm: the true links
-    among pairs (a, b), a < b. elements: the sets (v, s) of a table of v, which may repeat, s being sorted unsigned
-    64-bit numbers as bytes.
+    among pairs (a, b), a < b. elements: the sets (v, s) of a table of v, s being sorted unsigned 64-bit numbers as bytes.
     """
     like = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent if sized else F.lit(True)
-    ends = postings.groupBy("key").agg(F.max(F.struct(F.round("w", 3), -F.col("v"), "v", "n")).alias("hi"), F.min(F.struct("v", "n")).alias("lo"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    lead = ends.select("key", "size", F.col("lo.v").alias("lo"), F.col("lo.n").alias("lo_n"), F.col("hi.v").alias("hi"), F.col("hi.n").alias("hi_n"))
+    lead = postings.groupBy("key").agg(F.max(F.struct(F.round("w", 3).alias("w"), (-F.col("v")).alias("low"), "v", "n")).alias("hi"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    lead = lead.select("key", "size", F.col("hi.v").alias("leader"), F.col("hi.n").alias("leader_n"), F.col("hi.w").alias("central"))
     near = written(postings.select("key", "v", "n").join(lead, "key"), "near")
-    ends = near.select("v", "n", F.explode(F.array(F.struct(F.col("lo").alias("e"), F.col("lo_n").alias("e_n")), F.struct(F.col("hi").alias("e"), F.col("hi_n").alias("e_n")))).alias("end"))
-    pairs = ends.select("v", "n", "end.*").where("v <> e").where(like(F.col("n"), F.col("e_n"))).select(F.least("v", "e").alias("a"), F.greatest("v", "e").alias("b")).distinct()
-    links = written(confirm(written(pairs, "pairs")), "links")
-    comps = written(stars(links), "components")
-    own = near.join(small(comps), "v", "left").withColumn("comp", F.coalesce("comp", "v"))
-    own = written(own.select("key", "size", "v", "n", "comp", "lo", "hi"), "postings")
-    mixed = own.groupBy("key").agg(F.min("comp").alias("first"), F.max("comp").alias("last")).where("first <> last").select("key")
-    rest = written(own.join(mixed, "key").where("v <> lo and v <> hi"), "rest")  # pairs with a leader have been compared
+
+    ends = near.where("v <> leader").where(like(F.col("n"), F.col("leader_n")))
+    first = ends.groupBy("v").agg(F.max(F.struct("central", (-F.col("leader")).alias("low"), "leader")).alias("l")).select("v", "l.leader")
+    tried = written(pairs_of(first), "pairs")
+    comps = written(stars(written(confirm(tried), "links")), "components")
+    others = pairs_of(with_components(ends.select("v", "leader").distinct(), comps).where("comp <> leader_comp"))
+    comps = joined(comps, written(confirm(written(others.join(tried, ["a", "b"], "left_anti"), "pairs")), "links"))
+
+    own = written(with_components(near.select("key", "size", "v", "n", "leader"), comps), "postings")
+    mixed = own.where("comp <> leader_comp").select("key").distinct()
+    rest = written(own.join(mixed, "key", "left_semi").where("v <> leader"), "rest")  # with the leader, all have been compared that can be like it
     short = rest.where(F.col("size") <= SHORT)
     one = short.select("key", F.col("v").alias("x"), F.col("n").alias("x_n"), F.col("comp").alias("x_comp"))
     pairs = one.join(short, "key").where("x_comp <> comp and x < v").where(like(F.col("x_n"), F.col("n"))).select(F.col("x").alias("a"), F.col("v").alias("b"))
-    far = apart(rest.where(F.col("size") > SHORT).select(F.col("hi").alias("leader"), "v", "comp").distinct(), links, elements, percent)
-    more = confirm(written(pairs.unionAll(far).distinct(), "pairs"))
-    # the components so far stand for the links that made them
-    return stars(written(comps.select(F.col("comp").alias("a"), F.col("v").alias("b")).unionAll(more.select("a", "b")), "links"))
+    close = written(confirm(written(pairs.distinct(), "pairs")), "links")
+    far = written(apart(rest.where(F.col("size") > SHORT).select("leader", "leader_comp", "v", "comp").distinct(), elements, percent), "links")
+    return joined(comps, close.unionAll(far))
 
 
-def apart(members: DataFrame, links: DataFrame, elements: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    """The pairs (a, b) of members (leader, v, comp) of a leader, in different components, that can be links.
+def apart(members: DataFrame, elements: Callable[[DataFrame], DataFrame], percent: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """True links (a, b) that join what can be joined of the members (leader, leader_comp, v, comp) of each leader.
 
-    Let D(x) be the difference of x's set and the leader's, and r = (100 - percent) / (100 + percent). A link of x and
-    y means that D(x) and D(y) differ in at most r (|x| + |y|) elements; x isn't linked with the leader if D(x) has
-    more than r (|x| + |leader|). So, x being unlinked, D(y) has at most (r (|y| - |leader|) + |D(y)|) / 2 elements
-    that D(x) lacks, and D(x) at most r |x| (1 + 100 / percent) that D(y) lacks: one element more of either, in a
-    common order, has to hold a common one.
+    Strays, which aren't in the leader's component, are compared with all members of other components than their own.
     """
-    r, most = (100 - percent) / (100 + percent), 1 + 100 / percent
     members = written(members, "members")
-    sets = written(elements(members.select(F.explode(F.array("leader", "v")).alias("v"))), "sets")
-    near = links.select(F.explode(F.array(F.struct(F.col("a").alias("leader"), F.col("b").alias("v")), F.struct(F.col("b").alias("leader"), F.col("a").alias("v")))).alias("x"))
-    unlinked = members.join(small(near.select("x.*", F.lit(True).alias("near"))), ["leader", "v"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
-    few = F.broadcast if members.count() <= BROADCAST_ROWS else lambda df: df
-    both = sets.join(few(unlinked), "v").join(sets.toDF("leader", "sl"), "leader")
-    schema = "leader long, v long, comp long, n int, size int, as_x int, as_y int, elements array<long>"
-
-    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for near, s, sl in zip(b["near"].to_pylist(), b["s"].to_pylist(), b["sl"].to_pylist(), strict=True):
-                s, sl = np.frombuffer(s, np.uint64), np.frombuffer(sl, np.uint64)
-                d = np.setxor1d(s, sl, assume_unique=True)
-                reach = r * len(s) * most + 1e-9
-                as_y = min((r * (len(s) - len(sl)) + len(d)) / 2 + 1e-9, reach)
-                out.append((len(s), len(d), 0 if near else int(reach) + 1, max(0, int(as_y)) + 1, d.view(np.int64)))
-            columns = [pa.array([x[k] for x in out], pa.int32()) for k in range(4)] + [pa.array([x[4] for x in out], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b["leader"], b["v"], b["comp"], *columns], [x.split()[0] for x in schema.split(", ")])
-
-    differences = written(both.select("leader", "v", "comp", "near", "s", "sl").mapInArrow(differ, schema), "differences")
-    each = differences.select("leader", "v", F.explode("elements").alias("e"))
-    shared = each.groupBy("leader", "e").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    order = each.join(shared, ["leader", "e"]).groupBy("leader", "v").agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("o"))
-    ordered = written(differences.drop("elements").join(order, ["leader", "v"]), "ordered")
-    alone = F.col("size") - F.size("o")  # elements that no other member has come first
-    first = lambda n: F.slice(F.col("o.e"), F.lit(1), F.greatest(F.lit(0), F.col(n) - alone))
-    x = ordered.where("as_x > 0").select("leader", F.posexplode(first("as_x")).alias("x_at", "e"), F.size("o").alias("x_o"), F.col("v").alias("x"), F.col("comp").alias("x_comp"), F.col("n").alias("x_n"), F.col("size").alias("x_size"))
-    y = ordered.select("leader", F.posexplode(first("as_y")).alias("at", "e"), F.size("o").alias("o"), "v", "comp", "n", "size")
-    # with e in common at these places, no more elements than this can be common, and a link needs so many
-    most_common = F.least("x_at", "at") + F.least(F.col("x_o") - F.col("x_at"), F.col("o") - F.col("at"))
-    close = most_common * 2 >= F.col("x_size") + F.col("size") - (F.col("x_n") + F.col("n")) * r - 1e-9
-    return x.join(y, ["leader", "e"]).where(close & (F.col("x") != F.col("v")) & (F.col("x_comp") != F.col("comp"))).select(F.least("x", "v").alias("a"), F.greatest("x", "v").alias("b"))
+    sets = written(elements(written(members.select(F.explode(F.array("leader", "v")).alias("v")).distinct(), "wanted")), "sets")
+    size = sets.groupBy("v").agg(F.sum(F.octet_length("s")).alias("bytes"))
+    sizes = members.join(size, "v").join(size.toDF("leader", "leader_bytes"), "leader", "left")
+    blocks = written(sizes.groupBy("leader").agg(F.ceil((F.sum("bytes") + F.count(F.lit(1)) * F.max(F.coalesce("leader_bytes", F.lit(0)))) / block_bytes).alias("blocks")), "blocks")
+    dealt = members.join(small(blocks), "leader").select("leader", F.pmod(F.xxhash64("v"), "blocks").alias("block"), "blocks", "v", "comp", (F.col("comp") != F.col("leader_comp")).alias("stray"))
+    leads = blocks.select("leader", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "blocks", F.col("leader").alias("v"), F.lit(None).cast("long").alias("comp"), F.lit(False).alias("stray"))
+    packed = written(dealt.unionAll(leads).join(sets, "v").groupBy("leader", "block", "blocks").applyInArrow(pack, PACKED), "blocks")
+    # a block of strays meets every block of its leader, each pair of blocks in a task of its own
+    numbers = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    queries = packed.where("strays").select("leader", F.col("block").alias("q"), numbers.alias("m"), *[F.col(c).alias(f"q_{c}") for c in PARTS])
+    all_of = packed.where("not strays").select("leader", numbers.alias("q"), F.col("block").alias("m"), *PARTS)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 1):
+            found = [pair for r in b.to_pylist() for pair in joining(*([Block(r, p) for p in ("q_", "")]), percent)]
+            yield pa.RecordBatch.from_pydict({"a": pa.array([min(x) for x in found], pa.int64()), "b": pa.array([max(x) for x in found], pa.int64())})
+
+    return queries.join(all_of, ["leader", "q", "m"]).select(*[f"q_{c}" for c in PARTS], *PARTS).mapInArrow(compare, "a long, b long")
+
+
+#: A block's vertices, their components, the sizes of their sets and of their differences from the leader's, and the latter.
+PARTS = ("vs", "comps", "ns", "ds", "elements")
+PACKED = "leader long, block long, blocks long, strays boolean, " + ", ".join(f"{c} binary" for c in PARTS)
+
+
+def pack(key: tuple, rows: pa.Table) -> pa.Table:
+    """A block's members as one row and, if it has strays, these as another."""
+    leader = key[0].as_py()
+    sets = [np.frombuffer(s, np.uint64) for s in rows["s"].to_pylist()]
+    vs, comps, stray = rows["v"].to_pylist(), rows["comp"].to_pylist(), rows["stray"].to_pylist()
+    base = min((s.tobytes() for s, c in zip(sets, comps, strict=True) if c is None), default=b"")  # any set serves that all blocks share
+    base = np.frombuffer(base, np.uint64)
+    out: dict[str, list] = {c.split()[0]: [] for c in PACKED.split(", ")}
+    for strays in (False, True):
+        at = [i for i in sorted(range(len(vs)), key=vs.__getitem__) if comps[i] is not None and (stray[i] or not strays)]
+        if at:
+            d = [np.setxor1d(sets[i], base, assume_unique=True) for i in at]
+            parts = (np.array([vs[i] for i in at]), np.array([comps[i] for i in at]), np.array([len(sets[i]) for i in at]), np.array([len(x) for x in d]), np.concatenate(d))
+            for name, x in zip(out, (leader, key[1].as_py(), key[2].as_py(), strays, *(p.tobytes() for p in parts)), strict=True):
+                out[name].append(x)
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), *[pa.binary()] * len(PARTS))
+    return pa.table({name: pa.array(x, kind) for (name, x), kind in zip(out.items(), kinds, strict=True)})
+
+
+class Block:
+    def __init__(self, row: dict, prefix: str) -> None:
+        self.vs, self.comps, self.ns, self.ds = (np.frombuffer(row[prefix + c], np.int64) for c in PARTS[:4])
+        self.elements = np.frombuffer(row[prefix + "elements"], np.uint64)
+
+
+def joining(strays: Block, block: Block, percent: int) -> Iterator[tuple[int, int]]:
+    """Links of strays with a block's vertices, each of which joins two components that the ones before left apart."""
+    order = np.argsort(block.elements, kind="stable")
+    values, owner = block.elements[order], np.repeat(np.arange(len(block.vs)), block.ds)[order]
+    roots, codes = np.unique(np.concatenate([strays.comps, block.comps]), return_inverse=True)
+    root = np.arange(len(roots))  # of each component
+    own, theirs = codes[: len(strays.vs)], codes[len(strays.vs) :]
+    ends = np.cumsum(strays.ds)
+    for i, (x, c, end, d, n) in enumerate(zip(strays.vs.tolist(), own.tolist(), ends.tolist(), strays.ds.tolist(), strays.ns.tolist(), strict=True)):
+        open_ = root[theirs] != root[c]
+        if not open_.any():
+            continue
+        mine = strays.elements[end - d : end]
+        low, high = np.searchsorted(values, mine, "left"), np.searchsorted(values, mine, "right")
+        counts = high - low
+        places = np.arange(counts.sum()) + np.repeat(low - np.cumsum(counts) + counts, counts)
+        apart_ = block.ds + d - 2 * np.bincount(owner[places], minlength=len(block.vs))  # elements that one of both sets has
+        like = open_ & (100 * (block.ns + n - apart_) >= percent * (block.ns + n + apart_)) & (block.ns + n > apart_)
+        while like.any():
+            k = int(like.argmax())
+            yield x, int(block.vs[k])
+            root[root == root[theirs[k]]] = root[c]
+            like &= root[theirs] != root[c]

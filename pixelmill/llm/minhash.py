@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelmill.llm.common import short_batches, small, written
+from pixelmill.llm.common import free_names, slices, small, written
 from pixelmill.llm.linking import linked
 
 COORDINATES = 48
@@ -86,7 +86,7 @@ def sketched(docs: DataFrame, shingle: int, coordinates: int) -> DataFrame:
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for b in batches:
+        for b in slices(batches):
             sets = [word_shingles(x, shingle, hashes) for x in b["text"].cast(pa.binary()).to_pylist()]
             rows = iter(signatures([x for x in sets if len(x)], coordinates).view(np.int32))
             sig = [next(rows) if len(x) else None for x in sets]
@@ -111,11 +111,11 @@ def prefixes(sets: DataFrame, coordinates: int, matches: int) -> DataFrame:
 
 
 def word_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
-    """(v, s): the whole shingle sets of the documents in a (written) table of v, which may repeat."""
+    """(v, s): the whole shingle sets of the documents in a (written) table of v."""
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for b in batches:
+        for b in slices(batches):
             found = [word_shingles(x, shingle, hashes).tobytes() for x in b["text"].cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b["v"], pa.array(found, pa.binary())], ["v", "s"])
 
@@ -129,10 +129,10 @@ def confirmed(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int,
     met = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b")
     met = met.where(F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda same: same)) >= matches)
     met = written(met.select("a", "b"), "candidates")
-    words = written(word_sets(docs, met.select(F.col("a").alias("v")).unionAll(met.select(F.col("b").alias("v"))), shingle), "sets")
+    words = written(word_sets(docs, written(met.select(F.explode(F.array("a", "b")).alias("v")).distinct(), "wanted"), shingle), "sets")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             keep = []
             for x, y in zip(b["wa"].to_pylist(), b["wb"].to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -146,7 +146,6 @@ def confirmed(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int,
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
-    short_batches(docs.sparkSession)
     rows = written(sketched(docs, shingle, coordinates), "rows")
     sets = written(rows.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("v"), F.first("n").alias("n"), F.first("sig").alias("sig")), "sets")
     postings = written(prefixes(sets, coordinates, matches), "postings")
@@ -158,25 +157,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordi
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """The rows with _row, written: a number of its own for each, in order of doc_id (nulls last) and text hash."""
+def numbered(docs: DataFrame, row: str) -> DataFrame:
+    """The rows with a number of its own for each, written, in order of doc_id (nulls last) and text hash."""
+    (at,) = free_names(docs, "at")
     order = [F.col("doc_id").isNull(), F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))]
     # equal rows go by their places, so that they needn't be sorted in one task
-    rows = docs.withColumn("_at", F.monotonically_increasing_id()).orderBy(*order, "_at").drop("_at")
-    return written(rows.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    rows = docs.withColumn(at, F.monotonically_increasing_id()).orderBy(*order, at).drop(at)
+    return written(rows.withColumn(row, F.monotonically_increasing_id()), "numbered")
 
 
 def without_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row of each component, the first by doc_id (nulls last) and text hash; rows without a word all stay.
 
     Rows are told apart one by one, whatever their doc_id. Where the ids do that, they are taken; where any is null
-    or repeated, rows are written with a number of their own.
+    or repeated, rows are written with a number of their own. Further columns are carried, whatever their names; an
+    empty table gives no rows.
     """
     ids = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).count()
-    if ids.where("doc_id is null or count > 1").isEmpty():
-        rows = docs.withColumn("_row", F.col("doc_id").cast("long"))
-    else:
-        rows = numbered(docs)
-    found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), shingle, percent)
-    gone = small(written(found.where("not kept").select(F.col("doc_id").alias("_gone")), "gone"))
-    return rows.join(gone, rows["_row"] == F.col("_gone"), "left_anti").select(docs.columns)
+    row, gone = free_names(docs, "row", "gone")
+    rows = docs.withColumn(row, F.col("doc_id").cast("long")) if ids.where("doc_id is null or count > 1").isEmpty() else numbered(docs, row)
+    found = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), shingle, percent)
+    given_up = small(written(found.where("not kept").select(F.col("doc_id").alias(gone)), "gone"))
+    return rows.join(given_up, F.col(row) == F.col(gone), "left_anti").select(docs.columns)

@@ -6,14 +6,17 @@ slot, each source is then less than one block away from its share. Weights are t
 are, and windows are reckoned in whole numbers from the start of a phase, so nothing is rounded however long a phase
 lasts. A phase ends when a source runs out; the others go on by their own weights.
 
-The driver deals the slots: it takes a step and holds a number (8 bytes) for each block, of 64 documents. Executors
-look up a block's slot in the stretch of its source that the block lies in. Sources are taken to be few, as their
-weights are given one by one. Documents of a source are ordered by hash of doc_id, and counted off in hash ranges of
-bounded size, so a source with most of the rows is spread over many tasks.
+The driver deals the slots: it takes a step and holds a number (8 bytes) for each block. A block has 64 documents,
+or as many as it takes for a million blocks in all (MOST_BLOCKS), so that the schedule stays some megabytes however
+large the corpus is; it is broadcast. Executors look up a block's slot in the stretch of its source that the block
+lies in. Sources are taken to be few, as their weights are given one by one: the driver holds a count for each.
+Documents of a source are ordered by a hash of doc_id and text, and counted off in hash ranges of bounded size, so a
+source with most of the rows is spread over many tasks, and so are rows with one doc_id or none.
 
 Defined results: a null source is a source of its own; a source without a weight, or with none above 0, counts as one
-of the smallest weight given (by default weights are square roots of the counts); ties of doc_id are ordered by text
-hash, and rows that are equal in both are interchangeable; an empty table gives no rows; further columns are carried.
+of the smallest weight given (by default weights are square roots of the counts); rows that are equal in doc_id and
+text are interchangeable; a null or empty text is a document like any other; an empty table gives no rows; further
+columns are carried, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,9 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pixelmill.llm.common import BROADCAST_ROWS
+from pixelmill.llm.common import free_names
 
+#: Documents of a block, at least, and blocks of a schedule, at most (but for a last one of each source).
 BLOCK_DOCS = 64
+MOST_BLOCKS = 1 << 20
 #: Blocks of a source whose slots stand in one row of the schedule.
 PERIOD = 1024
 #: Documents that a hash range of a source holds, about.
@@ -89,33 +94,41 @@ def plan(blocks: dict[str | None, int], weights: dict[str | None, float], period
     return out
 
 
-def mix_order(docs: DataFrame, weights: dict[str | None, float] | None = None, block_docs: int = BLOCK_DOCS, period: int = PERIOD) -> DataFrame:
-    """The rows with _mix_block (of their source), _mix_slot and _mix_in_block, in no particular order."""
+#: What mix_order adds: the number of the block in its source, its slot, and the place in the block.
+PLACES = ("_mix_block", "_mix_slot", "_mix_in_block")
+
+
+def mix_order(docs: DataFrame, weights: dict[str | None, float] | None = None, block_docs: int = BLOCK_DOCS, period: int = PERIOD, places: tuple[str, ...] = PLACES, most_blocks: int = MOST_BLOCKS) -> DataFrame:
+    """The rows with three places (names that docs doesn't have), in no particular order."""
     spark = docs.sparkSession
     counts = {r[0]: r[1] for r in docs.groupBy(F.col("source").cast("string")).count().collect()}
     given = {k: w for k, w in (weights or {k: n**0.5 for k, n in counts.items()}).items() if w > 0}
     least = min(given.values(), default=1.0)
+    total = sum(counts.values())
+    block_docs = max(block_docs, -(-total // most_blocks))
     rows = plan({k: -(-n // block_docs) for k, n in counts.items()}, {k: given.get(k, least) for k in counts}, period)
     rows = [(k, first // period, first, end, [at + t for t in slots]) for k, first, end, at, _, _, slots in rows]
-    stretches = spark.createDataFrame(rows, "_p_source string, _p_stretch long, _p_first long, _p_end long, _p_slots array<long>", verifySchema=False)
-    few = F.broadcast if sum(r[3] - r[2] for r in rows) <= BROADCAST_ROWS else lambda df: df
-    bits = max(0, (sum(counts.values()) // RANGE_DOCS).bit_length())
-
-    named = docs.withColumn("_mix_source", F.col("source").cast("string")).withColumn("_mix_hash", F.xxhash64("doc_id"))
-    named = named.withColumn("_mix_range", F.shiftright("_mix_hash", 63 - bits))
-    sizes = named.groupBy("_mix_source", "_mix_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy("_mix_source").orderBy("_mix_range").rowsBetween(W.unboundedPreceding, -1)
-    starts = sizes.select(F.col("_mix_source").alias("_s"), F.col("_mix_range").alias("_r"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    within = W.partitionBy("_mix_source", "_mix_range").orderBy("_mix_hash", "doc_id", F.xxhash64("text"))
-    ranked = named.withColumn("_rank", F.row_number().over(within) - 1)
-    ranked = ranked.join(starts, ranked["_mix_source"].eqNullSafe(starts["_s"]) & (ranked["_mix_range"] == starts["_r"]))
-    ranked = ranked.withColumn("_rank", F.col("_start") + F.col("_rank")).withColumn("_mix_block", F.expr(f"_rank div {block_docs}")).withColumn("_mix_in_block", F.expr(f"_rank % {block_docs}"))
-    own = F.col("_mix_source").eqNullSafe(F.col("_p_source")) & (F.expr(f"_mix_block div {period}") == F.col("_p_stretch"))
-    put = ranked.join(few(stretches), own & (F.col("_mix_block") >= F.col("_p_first")) & (F.col("_mix_block") < F.col("_p_end")))
-    slot = F.get("_p_slots", (F.col("_mix_block") - F.col("_p_first")).cast("int"))
-    return put.select(*[F.col(c) for c in docs.columns], "_mix_block", slot.alias("_mix_slot"), "_mix_in_block")
+    source, key, part, start, rank, p_source, p_stretch, p_first, p_end, p_slots, s_source, s_part = free_names(docs, *(f"mix {x}" for x in ("source", "key", "part", "start", "rank", "p_source", "p_stretch", "p_first", "p_end", "p_slots", "s_source", "s_part")))
+    stretches = F.broadcast(spark.createDataFrame(rows, "s string, t long, f long, e long, l array<long>", verifySchema=False).toDF(p_source, p_stretch, p_first, p_end, p_slots))  # at most most_blocks numbers and a row for each source
+    bits = max(0, (total // RANGE_DOCS).bit_length())
+
+    named = docs.withColumn(source, F.col("source").cast("string")).withColumn(key, F.xxhash64("doc_id", "text"))
+    named = named.withColumn(part, F.shiftright(key, 63 - bits))
+    sizes = named.groupBy(source, part).agg(F.count(F.lit(1)).alias(start))
+    before = W.partitionBy(source).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select(F.col(source).alias(s_source), F.col(part).alias(s_part), F.coalesce(F.sum(start).over(before), F.lit(0)).alias(start))
+    within = W.partitionBy(source, part).orderBy(key, "doc_id")
+    ranked = named.withColumn(rank, F.row_number().over(within) - 1)
+    ranked = ranked.join(starts, F.col(source).eqNullSafe(F.col(s_source)) & (F.col(part) == F.col(s_part)))
+    number = F.col(start) + F.col(rank)
+    ranked = ranked.withColumn(places[0], F.floor(number / block_docs)).withColumn(places[2], number % block_docs)
+    own = F.col(source).eqNullSafe(F.col(p_source)) & (F.floor(F.col(places[0]) / period) == F.col(p_stretch))
+    put = ranked.join(stretches, own & (F.col(places[0]) >= F.col(p_first)) & (F.col(places[0]) < F.col(p_end)))
+    slot = F.get(p_slots, (F.col(places[0]) - F.col(p_first)).cast("int"))
+    return put.select(*docs.columns, places[0], slot.alias(places[1]), places[2])
 
 
 def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, block_docs: int = BLOCK_DOCS, period: int = PERIOD) -> DataFrame:
     """The rows in the order of the schedule: written files, in the order of their names, hold it."""
-    return mix_order(docs, weights, block_docs, period).orderBy("_mix_slot", "_mix_in_block").select(docs.columns)
+    places = tuple(free_names(docs, *PLACES))
+    return mix_order(docs, weights, block_docs, period, places).orderBy(places[1], places[2]).select(docs.columns)

@@ -1,13 +1,16 @@
 """Operator 8: cost-balanced packing of tokenised documents into sequences.
 
-Documents are tokenised, dealt into packing groups of bounded size, and each group is packed on its own. In a group
-the sequences are opened first: as many of full capacity as the tokens fill, and the remainder as powers of two, so
+Each task tokenises its documents and packs them in groups of neighbours: a group is closed when its texts reach
+GROUP_BYTES (one document may be longer), so no key makes a group hot, memory is bounded, nothing is shuffled, and
+documents that stand next to each other (as in a mix) share sequences. In a group the sequences are opened first: as many of full capacity as the tokens fill, and the remainder as powers of two, so
 that the capacities add up to the tokens and no padding is left. Documents then go, longest first, to the sequence
 whose estimated cost (linear plus quadratic in the piece lengths, as attention within a piece) is lowest among those
 with room; a document that doesn't fit is cut, and the cut fills that sequence.
 
-Defined results: a null or empty text is the end token alone; a null doc_id stays null; repeated rows are packed
-one by one; an empty table gives no rows; further columns are ignored.
+Defined results: a null or empty text is the end token alone; a null doc_id stays null, and null or repeated ids are
+packed like others; repeated rows are packed one by one; ties of length go by doc_id (nulls last), then by place; an
+empty table gives no rows; further columns are ignored. Groups follow the partitions that docs has, so the same rows
+in other partitions may be cut in other places.
 """
 
 from __future__ import annotations
@@ -19,14 +22,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelmill.llm.common import short_batches
+from pixelmill.llm.common import slices
 
 CAPACITY = 4096
-#: Bytes of text that a packing group holds on average.
+#: Bytes of text after which a packing group is closed.
 GROUP_BYTES = 16 << 20
 END_ID = 2
 #: Words whose ids a worker remembers; the memory is emptied when full.
@@ -97,20 +100,6 @@ class WordIds(dict):
 KNOWN: dict[str, WordIds] = {}
 
 
-def tokenised(docs: DataFrame, tokenizer_path: str, group: Column, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, grp, wide, ids): the ids as bytes, wide a piece, the end id last."""
-
-    def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = KNOWN.setdefault(tokenizer_path, None) or WordIds(tokenizer_path)
-        KNOWN[tokenizer_path] = words
-        for b in batches:
-            ids = [words.text(x, end_id) for x in b["text"].cast(pa.binary()).to_pylist()]
-            wide = pa.array([int(words.kind[-1])] * len(ids), pa.int32())
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["grp"], wide, pa.array(ids, pa.binary())], ["doc_id", "grp", "wide", "ids"])
-
-    return docs.select(F.col("doc_id").cast("long"), group.cast("long").alias("grp"), F.col("text").cast("string").alias("text")).mapInArrow(tokenise, "doc_id long, grp long, wide int, ids binary")
-
-
 def capacities(total: int, capacity: int) -> list[int]:
     """Sequence sizes that add up to total: full ones, then powers of two."""
     rest = total % capacity
@@ -142,35 +131,33 @@ def plan(lengths: list[int], capacity: int = CAPACITY, linear: float = 1.0, quad
     return pieces
 
 
-def pack(docs: DataFrame, tokenizer_path: str, group: Column | None = None, capacity: int = CAPACITY, group_bytes: int = GROUP_BYTES, end_id: int = END_ID) -> DataFrame:
-    """One row for each piece. group: a long naming the packing group of a row; by default documents are hashed.
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, group_bytes: int = GROUP_BYTES, end_id: int = END_ID) -> DataFrame:
+    """One row for each piece. Sequence numbers name the partition and count in it, so they are unique."""
 
-    A group has to be of bounded size. By default there are as many groups as the texts have multiples of
-    group_bytes, and doc_id is hashed, so no source or other key makes a group hot.
-    """
-    short_batches(docs.sparkSession)
-    if group is None:
-        size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-        group = F.pmod(F.xxhash64("doc_id"), F.lit(1 + size // group_bytes))
-
-    def pack_group(key: tuple, rows: pa.Table) -> pa.Table:
-        kind = f"<u{rows['wide'][0].as_py()}"
-        ids, names = [np.frombuffer(x, kind) for x in rows["ids"].to_pylist()], rows["doc_id"].to_pylist()
-        order = sorted(range(len(ids)), key=lambda i: (names[i] is None, names[i] or 0, len(ids[i])))
+    def packed(names: list, ids: list[np.ndarray], first: int) -> tuple[pa.RecordBatch, int]:
+        """The pieces of a group, sequences numbered from first; and the next number."""
+        order = sorted(range(len(ids)), key=lambda i: (names[i] is None, names[i] or 0))
         out: list[tuple] = []
         for k, start, n, seq, offset in plan([len(ids[i]) for i in order], capacity):
             i = order[k]
-            out.append((names[i], start, n, zlib.crc32(ids[i][start : start + n].astype("<u4").tobytes()), len(ids[i]), (key[0].as_py() << 24) + seq, offset))
-        return pa.table({c: pa.array([r[k] for r in out], pa.int64()) for k, c in enumerate(PIECES.replace(" long", "").split(", "))})
-
-    return tokenised(docs, tokenizer_path, group, end_id).groupBy("grp").applyInArrow(pack_group, PIECES)
-
+            out.append((names[i], start, n, zlib.crc32(ids[i][start : start + n].astype("<u4").tobytes()), len(ids[i]), first + seq, offset))
+        columns = PIECES.replace(" long", "").split(", ")
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(len(columns))], columns), max(r[5] for r in out) + 1
 
-def reading_order(docs: DataFrame, group_docs: int = 1024) -> Column | None:
-    """Packing groups of neighbours in the files that docs is read from (parts of a written table); None for other rows."""
-    try:
-        docs.select("_metadata.row_index")
-    except AnalysisException:
-        return None
-    part = F.coalesce(F.nullif(F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1), F.lit("")).cast("long"), F.lit(0))
-    return part * (1 << 16) + F.expr(f"_metadata.row_index div {group_docs}")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = KNOWN.setdefault(tokenizer_path, None) or WordIds(tokenizer_path)
+        KNOWN[tokenizer_path] = words
+        names, ids, size, at = [], [], 0, TaskContext.get().partitionId() << 40
+        for b in slices(batches):
+            for name, text in zip(b["doc_id"].to_pylist(), b["text"].cast(pa.binary()).to_pylist(), strict=True):
+                names.append(name)
+                ids.append(np.frombuffer(words.text(text, end_id), words.kind))
+                size += len(text or b"") + 1
+                if size >= group_bytes:
+                    found, at = packed(names, ids, at)
+                    yield found
+                    names, ids, size = [], [], 0
+        if ids:
+            yield packed(names, ids, at)[0]
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelmill.llm.common import short_batches
+from pixelmill.llm.common import slices
 
 SYMBOLS = b"#*$%&|<>"
 SPACE = b" \t\n\x0b\x0c\r"
@@ -189,14 +189,13 @@ def fit(sample: list[tuple[np.ndarray, bool]], how: Training = Training()) -> Fi
 
 def train(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> Field:
     """Fits on at most how.documents labelled documents, the first by hash of doc_id."""
-    short_batches(docs.sparkSession)
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).alias("good"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(how.documents)
     )
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = [read_lines(x or b"")[0].astype("<f4").tobytes() for x in b["text"].cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b["good"], pa.array(rows, pa.binary())], ["good", "rows"])
 
@@ -208,10 +207,9 @@ def train(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> Fie
 
 def judge(docs: DataFrame, model: Field, min_words: int = 10, max_repeat_percent: int = 20, min_share: float = 0.5) -> DataFrame:
     """One row for each document: the counts, the base verdict, the share of content and the final verdict."""
-    short_batches(docs.sparkSession)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out = []
             for data in b["text"].cast(pa.binary()).to_pylist():
                 data = data or b""
@@ -229,7 +227,6 @@ def judge(docs: DataFrame, model: Field, min_words: int = 10, max_repeat_percent
 
 def keep_documents(docs: DataFrame, model: Field, min_words: int = 10, max_repeat_percent: int = 20, min_share: float = 0.5) -> DataFrame:
     """The rows that judge() keeps, with all their columns; no row leaves its partition."""
-    short_batches(docs.sparkSession)
 
     @F.pandas_udf("boolean")
     def kept(texts):  # noqa: ANN001, ANN202

@@ -40,8 +40,8 @@ def op2_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's place in the mix of all sources: slot, and place in the slot's block."""
-    found = mixing.mix_order(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "source", F.col("_mix_block").alias("block"), F.col("_mix_slot").alias("slot"), F.col("_mix_in_block").alias("in_block"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix_order(docs, places=("block", "slot", "in_block")).drop("text")
 
 
 def op4_archives(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelmill.llm.common import short_batches, written
+from pixelmill.llm.common import slices, written
 
 SAMPLE_ROWS = 20_000
 TREES, DEPTH = 24, 3
@@ -81,7 +81,7 @@ def with_stats(docs: DataFrame, keep: str) -> DataFrame:
     names = [x.split()[0] for x in keep.split(", ")]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = [text_stats(x or b"") for x in b["text"].cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b[c] for c in names] + [pa.array([r[k] for r in rows], pa.float64()) for k in range(len(STATS))], names + list(STATS))
 
@@ -130,7 +130,6 @@ def fit(rows: DataFrame, trees: int = TREES, depth: int = DEPTH, penalty: float
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Ensemble:
     """Fits to labels.quality of at most sample_rows documents that aren't held out."""
-    short_batches(docs.sparkSession)
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).alias("good")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
@@ -141,7 +140,6 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
 def classify(docs: DataFrame, model: Ensemble) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row."""
-    short_batches(docs.sparkSession)
     rows = with_stats(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id long")
     scored = rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.score().alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

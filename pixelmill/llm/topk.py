@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pixelmill.llm.common import short_batches, written
+from pixelmill.llm.common import slices, written
 
 CANDIDATE_BLOCK, QUERY_BLOCK = 8192, 512
 BINS = 4096
@@ -37,7 +37,7 @@ def quantised(vectors: DataFrame, scale: int = 1024) -> DataFrame:
     """(vec_id, dim, x): floor(scale * component), as float64 bytes (whole numbers)."""
 
     def floor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = [x if x is None else np.floor(np.array([np.nan if v is None else v for v in x], np.float64) * scale) for x in b["embedding"].to_pylist()]
             keep = [i for i, x in enumerate(rows) if x is not None and len(x) and np.isfinite(x).all()]
             yield pa.RecordBatch.from_arrays([b["vec_id"].take(pa.array(keep, pa.int64())), pa.array([len(rows[i]) for i in keep], pa.int32()), pa.array([rows[i].tobytes() for i in keep], pa.binary())], ["vec_id", "dim", "x"])
@@ -79,7 +79,6 @@ def scored(ids: bytes, xs: bytes, cand_ids: bytes, cand_xs: bytes, dim: int) ->
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, bins: int = BINS, candidate_block: int = CANDIDATE_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best candidates of every query, both tables being (vec_id, dim, x)."""
     spark = vectors.sparkSession
-    short_batches(spark)
     q = blocks(queries.groupBy("vec_id").agg(F.max(F.struct("dim", "x")).alias("v")).select("vec_id", "v.dim", "v.x"), "qb", query_block)
     c = blocks(vectors, "cb", candidate_block)
     # each side is dealt to every block of the other: rows are blocks, so this stays short

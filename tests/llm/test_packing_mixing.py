@@ -66,14 +66,19 @@ def test_pack_round_trip(spark, odd_docs, no_docs, tokenizer):
     assert packing.pack(no_docs, tokenizer_path()).count() == 0
 
 
-def test_reading_order_groups_neighbours(spark, tmp_path):
-    docs = spark.range(5000).selectExpr("id as doc_id", "repeat('some words here ', 20) as text").coalesce(2)
-    assert packing.reading_order(docs) is None
-    docs.write.parquet(f"{tmp_path}/docs")
-    docs = spark.read.parquet(f"{tmp_path}/docs")
-    rows = packing.pack(docs, tokenizer_path(), packing.reading_order(docs)).toPandas()
-    spread = rows[rows.length < 4096].groupby(rows.sequence_id // 2**24).doc_id.agg(lambda x: x.max() - x.min())
-    assert len(spread) >= 4 and spread.max() < 1024
+def test_groups_are_neighbours_of_bounded_size(spark, tmp_path):
+    """Null and repeated ids too: no key gathers rows."""
+    for of in ("id", "cast(null as long)", "7L"):
+        docs = spark.range(0, 5000, 1, 2).selectExpr(f"{of} as doc_id", "repeat('some words here ', 20) as text", "id as row")
+        rows = packing.pack(docs, tokenizer_path(), group_bytes=1 << 16).toPandas()
+        pieces = rows.groupby("sequence_id").agg(at=("offset", "min"), n=("length", "sum"), docs=("doc_id", "nunique"))
+        assert (pieces["at"] == 0).all() and ((pieces.n == 4096) | (pieces.n & (pieces.n - 1) == 0)).all()
+        ends = rows.sort_values(["sequence_id", "offset"])
+        assert (ends.groupby("sequence_id").offset.shift(-1).fillna(-1).where(lambda x: x >= 0, ends.offset + ends.length) == ends.offset + ends.length).all()
+        assert rows.length.sum() == 5000 * rows.doc_tokens.iloc[0]
+        if of == "id":
+            spread = rows.groupby("sequence_id").doc_id.agg(lambda x: x.max() - x.min())
+            assert spread.max() <= (1 << 16) / 320 + 1 and len(spread) > 20
 
 
 @pytest.mark.parametrize("seed", range(30))
