@@ -32,7 +32,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Neighbours in the mix share sequences."""
-    return packing.pack(docs, tokenizer_path(), packing.reading_order(docs))
+    return packing.pack(docs, tokenizer_path())
 
 
 STAGES = [("quality_rules", quality), ("line_dedup", lines), ("near_duplicates", near_duplicates), ("mixing", mix), ("packing", pack)]
