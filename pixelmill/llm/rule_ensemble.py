@@ -4,8 +4,8 @@ Statistics of whole texts are the inputs. A forest of shallow trees is grown on
 root is a rule, a conjunction of bounds on statistics; a logistic regression with an L1 penalty weighs the rules and
 sets most weights to zero; the rest compile into one Spark column expression that scores documents.
 
-The fit takes at most SAMPLE_ROWS labelled documents, the first by hash of doc_id; the forest and the regression are
-Spark ML's.
+The fit takes at most SAMPLE_ROWS labelled documents, the first by hash of doc_id, and of rows that share a doc_id one,
+that of the smallest statistics; the forest and the regression are Spark ML's.
 
 Defined results: null and empty texts have statistics of zero and get a score like any other; rows are scored one by
 one, repeated or not; several labels of a document count as their mean, from 0.5 up as good; without labels of both
@@ -133,9 +133,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).alias("good")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    # written first, so that many tasks read the texts; of the statistics, one partition in a fixed order makes the fit repeatable
-    stats = written(with_stats(texts, "doc_id long, good boolean"), "stats")
-    return fit(written(stats.coalesce(1).sortWithinPartitions("doc_id", *STATS), "sample"))
+    # one row for each sampled id, gathered by many tasks; of these, one partition in a fixed order makes the fit repeatable
+    stats = with_stats(texts, "doc_id long, good boolean").groupBy("doc_id").agg(F.min(F.struct(*STATS, "good")).alias("r")).select("doc_id", "r.*")
+    return fit(written(written(stats, "stats").coalesce(1).sortWithinPartitions("doc_id"), "sample"))
 
 
 def classify(docs: DataFrame, model: Ensemble) -> DataFrame:
