@@ -15,8 +15,10 @@ in keep_documents, carried along.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import batched
 from operator import eq
 
 import numpy as np
@@ -44,10 +46,14 @@ SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_line
 
 @dataclass(frozen=True)
 class Training:
-    """Bounds of the training sample (documents by hash of doc_id, those of more bytes left out) and the fit."""
+    """Bounds of the training sample and the fit.
+
+    The sample is the first documents by hash of doc_id, one for each id. Of a document of more lines than
+    document_lines, a stretch of so many is taken, wherever a hash of the document puts it.
+    """
 
     documents: int = 1000
-    document_bytes: int = 1 << 16
+    document_lines: int = 2000
     rounds: int = 2
     steps: int = 30
     rate: float = 0.5
@@ -180,8 +186,11 @@ def fit(sample: list[tuple[np.ndarray, bool]], how: Training = Training()) -> Fi
                 used.append((x, y))
         if not used:
             return Field()
+        used.sort(key=lambda d: len(d[1]))
+        lines = sum(len(y) for _, y in used)
         for _ in range(how.steps):
-            g, g_stay = gradient(used, w, stay)
+            parts = [(sum(len(y) for _, y in part), *gradient(part, w, stay)) for part in batched(used, 64)]  # of like lengths, so little is padded
+            g, g_stay = sum(n * x for n, x, _ in parts) / lines, sum(n * x for n, _, x in parts) / lines
             w = w + how.rate * (g - how.pull * (w - np.array(START)) / len(FEATURES))
             stay = stay + how.rate * (g_stay - how.pull * (stay - STAY) / len(FEATURES))
     return Field(tuple(map(float, w)), float(stay), len(used))
@@ -196,15 +205,21 @@ def train(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> Fie
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            rows = [read_lines(x or b"")[0].astype("<f4").tobytes() for x in b["text"].cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b["good"], pa.array(rows, pa.binary())], ["good", "rows"])
+            rows = [stretch(read_lines(x or b"")[0].astype("<f4"), how.document_lines).tobytes() for x in b["text"].cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["good"], pa.array(rows, pa.binary())], ["doc_id", "good", "rows"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.octet_length("text") <= how.document_bytes)
-    found = texts.join(F.broadcast(chosen), "doc_id").select("good", "text").mapInArrow(features, "good boolean, rows binary").collect()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "good", "text").mapInArrow(features, "doc_id long, good boolean, rows binary")
+    found = found.groupBy("doc_id").agg(F.min(F.struct("rows", "good")).alias("r")).select("r.*").collect()  # at most how.documents rows of document_lines lines
     found = sorted(((bytes(r["rows"]), r["good"]) for r in found))
     return fit([(np.frombuffer(x, "<f4").reshape(-1, len(FEATURES)).astype(np.float64), good) for x, good in found], how)
 
 
+def stretch(rows: np.ndarray, most: int) -> np.ndarray:
+    """So many neighbouring rows, from a place that the rows themselves decide."""
+    return rows[(at := zlib.crc32(rows.tobytes()) % (len(rows) - most + 1)) : at + most] if len(rows) > most else rows
+
+
 def judge(docs: DataFrame, model: Field, min_words: int = 10, max_repeat_percent: int = 20, min_share: float = 0.5) -> DataFrame:
     """One row for each document: the counts, the base verdict, the share of content and the final verdict."""
 
