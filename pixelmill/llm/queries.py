@@ -33,9 +33,12 @@ URL_RULES = [
 
 
 def op2_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages are labelled by the labels of the documents of the same number."""
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (1.0 - F.col("quality")).alias("bad")).where("page_id is not null and bad is not null")
-    return url_templates.judge(table(spark, sf_dir, "pages"), labels, URL_RULES)
+    """A page shows the document whose number is the last one in its path, and has that document's label."""
+    pages = table(spark, sf_dir, "pages")
+    shown = pages.select("page_id", F.regexp_extract(url_templates.host_and_path(F.col("url"))[1], r"/([0-9]{1,18})(?:\.html)?/?$", 1).alias("number")).where("number <> ''")
+    marks = table(spark, sf_dir, "labels").where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("number")).agg((1.0 - F.avg("quality")).alias("bad"))
+    labels = shown.withColumn("number", F.col("number").cast("long")).join(marks, "number").select("page_id", "bad")
+    return url_templates.judge(pages, labels, URL_RULES)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,11 +3,15 @@
 Listed rules come first. For all other URLs, each host's paths form a tree that is generalised level by level: a
 segment that too small a share of its parent's pages has becomes a wildcard, the others stay. Templates of one shape
 under a host are branches; those whose labelled share of bad pages doesn't differ significantly from that of all
-branches of the shape are merged into one. A template is rejected if its smoothed share of bad labels reaches a bound;
-smoothing draws templates with few labels to the share of all labels.
+branches of the shape are merged into one. A template is rejected if its smoothed share of bad labels says that a page
+of it is likelier bad than good. Smoothing draws templates with few labels to the share of all labels, by as many
+labels' worth as the labels themselves call for: the more the branches differ beyond chance, the less. Where they
+don't differ beyond chance, all are drawn to the share of all labels, and nothing is rejected unless most labels are bad.
 
 Counts are taken over all URLs, distinct paths first, with partial sums before each shuffle; a host with most of the
-rows is one key of sums only. Paths deeper than `depth` segments keep a wildcard for the rest.
+rows is one key of sums only. A level is generalised in a round of its own; only paths that have a further segment and
+share their template so far with enough pages go on, as no segment of the others can stay. So there are as many rounds
+as the deepest template with a literal has levels, whatever the deepest URL has.
 
 Defined results: a null URL, or one without ://, has an empty host and path and is allowed; several labels of a page
 count as their mean; labels of pages that aren't there don't count; without labels nothing is rejected but by rule;
@@ -18,6 +22,7 @@ columns are ignored.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,14 +52,13 @@ class Rule:
 class Shape:
     """How templates are made and judged."""
 
-    depth: int = 6
     #: A segment stays literal with this share of its parent's pages and this many of them at least.
     literal_share: float = 0.05
     literal_pages: int = 5
     #: Branches merge if they are within so many standard deviations of the pooled share.
     merge_deviations: float = 1.5
-    #: Labels' worth of the overall share that each template is drawn to.
-    smoothing: float = 10.0
+    #: Labels' worth of the overall share that each template is drawn to, at least.
+    smoothing: float = 1.0
     reject: float = 0.5
 
 
@@ -78,20 +82,34 @@ def by_rule(rules: list[Rule], host: Column, path: Column) -> tuple[Column, Colu
 def templates(paths: DataFrame, how: Shape) -> DataFrame:
     """paths (host, path, n, labelled, bad) with their template."""
     segments = F.split(F.expr("if(startswith(path, '/'), substring(path, 2), path)"), "/", -1)
-    now = paths.withColumn("segments", segments).withColumn("template", F.lit(""))
-    for level in range(how.depth):
-        here = F.size("segments") > level
-        now = now.withColumn("segment", F.when(here, F.get("segments", F.lit(level))))
-        counts = now.where("segment is not null").groupBy("host", "template", "segment").agg(F.sum("n").alias("c"))
+    now, done, level = written(paths.withColumn("segments", segments).withColumn("template", F.lit("")), "templates"), [], 0
+    while True:
+        counts = now.groupBy("host", "template", F.get("segments", F.lit(level)).alias("segment")).agg(F.sum("n").alias("c"))
         total = counts.groupBy("host", "template").agg(F.sum("c").alias("t"))
         literal = counts.join(total, ["host", "template"]).where((F.col("c") >= how.literal_pages) & (F.col("c") >= F.col("t") * how.literal_share)).select("host", "template", "segment", F.lit(True).alias("literal"))
-        now = now.join(literal, ["host", "template", "segment"], "left")
-        step = F.when(F.col("segment").isNull(), "").otherwise(F.concat(F.lit("/"), F.when(F.col("literal"), F.col("segment")).otherwise("*")))
-        now = written(now.withColumn("template", F.concat("template", step)).drop("segment", "literal"), "templates")
-        if now.where(F.size("segments") > level + 1).isEmpty():
-            break
-    deeper = F.when(F.size("segments") > how.depth, "/**").otherwise("")
-    return now.select("host", "path", "n", "labelled", "bad", F.concat("template", deeper).alias("template"))
+        now = now.withColumn("segment", F.get("segments", F.lit(level))).join(literal, ["host", "template", "segment"], "left")
+        now = now.withColumn("template", F.concat("template", F.lit("/"), F.when(F.col("literal"), F.col("segment")).otherwise("*")))
+        level += 1
+        # what goes on: further segments, under a template with pages enough for a literal
+        pages = now.where(F.size("segments") > level).groupBy("host", "template").agg(F.sum("n").alias("pages")).where(F.col("pages") >= how.literal_pages).select("host", "template", F.lit(True).alias("on"))
+        now = written(now.drop("segment", "literal").join(pages, ["host", "template"], "left").withColumn("on", F.coalesce("on", F.lit(False)) & (F.size("segments") > level)), "templates")
+        wild = F.repeat(F.lit("/*"), F.greatest(F.lit(0), F.size("segments") - level))
+        done.append(now.where("not on").withColumn("template", F.concat("template", wild)))
+        now = now.where("on").drop("on")
+        if now.isEmpty():
+            return reduce(DataFrame.unionByName, done).select("host", "path", "n", "labelled", "bad", "template")
+
+
+def drawn(groups: DataFrame, least: float) -> Column:
+    """How many labels' worth the groups (l labels, b bad, prior) are drawn to the prior; as an aggregate.
+
+    By moments: sums of squared deviations beyond those of chance, relative to what they would be if all labels of a
+    group were alike, give the correlation of labels inside groups.
+    """
+    chance = F.col("prior") * (1 - F.col("prior"))
+    beyond = F.sum(F.pow(F.col("b") - F.col("l") * F.col("prior"), 2) - F.col("l") * chance)
+    alike = F.least(F.lit(1.0), beyond / F.nullif(F.sum(F.col("l") * (F.col("l") - 1) * chance), F.lit(0.0)))
+    return F.greatest(F.lit(least), F.coalesce(F.when(alike > 0, (1 - alike) / alike), F.lit(1e12)))
 
 
 def judged(paths: DataFrame, how: Shape) -> DataFrame:
@@ -107,8 +125,9 @@ def judged(paths: DataFrame, how: Shape) -> DataFrame:
     branch = F.when(F.col("alike"), F.col("shape")).otherwise(F.col("template"))
     each = written(each.select("host", "shape", "template", "l", "b", branch.alias("branch")), "branches")
     overall = F.broadcast(rows.agg(F.coalesce(F.sum("bad") / F.nullif(F.sum("labelled"), F.lit(0)), F.lit(0.0)).alias("prior")))  # one row
-    sums = each.groupBy("host", "branch").agg(F.sum("l").alias("l"), F.sum("b").alias("b")).crossJoin(overall)
-    purity = (F.col("b") + F.col("prior") * how.smoothing) / (F.col("l") + how.smoothing)
+    sums = written(each.groupBy("host", "branch").agg(F.sum("l").alias("l"), F.sum("b").alias("b")).crossJoin(overall), "sums")
+    sums = sums.crossJoin(F.broadcast(sums.agg(drawn(sums, how.smoothing).alias("worth"))))  # one row
+    purity = (F.col("b") + F.col("prior") * F.col("worth")) / (F.col("l") + F.col("worth"))
     verdicts = each.select("host", "template", "branch").join(sums.select("host", "branch", purity.alias("purity")), ["host", "branch"])
     return rows.join(verdicts, ["host", "template"]).select("host", "path", "template", "branch", "purity", (F.col("purity") >= how.reject).alias("rejected"))
 
