@@ -3,6 +3,9 @@ import random
 import pytest
 
 EXTRA = ", v long, n string, key string, score string, kept string, component_id string, grp string, rank string, labelled boolean"
+#: More names: of working columns, and of what an operator adds.
+CLASHES = ("_gone", "_nth", "_text", "_rank", "_start", "_mix_source", "_mix_slot", "gone", "new_text", "row", "_row", "block", "leader")
+EXTRA += "".join(f", {x} string" for x in CLASHES)
 
 
 @pytest.fixture(scope="session")
@@ -15,7 +18,7 @@ def odd_docs(spark):
     texts = [None, "", " \t\n\x0b ", "x", "one two", base, base, base.upper(), base + " tail", text(20_000), "y" * 200_000, "\n".join(text(8) + "." for _ in range(40)), "| a | b | c |\n*** $$$ ###", "héé ñandú 世界 \U0001f600 " * 30]
     rows = [(i, t, ["en", None][i % 2], ["s1", "s2", None][i % 3], None if t is None else len(t)) for i, t in enumerate(texts)]
     rows += [(None, "a text without a number, and some words more to it", "en", "s1", 10), rows[5], rows[5]]
-    return spark.createDataFrame([(*r, None, *["clash"] * 7, None) for r in rows], "doc_id long, text string, lang string, source string, n_chars long" + EXTRA)
+    return spark.createDataFrame([(*r, None, *["clash"] * 7, None, *CLASHES) for r in rows], "doc_id long, text string, lang string, source string, n_chars long" + EXTRA)
 
 
 @pytest.fixture(scope="session")

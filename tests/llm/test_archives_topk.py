@@ -1,4 +1,7 @@
+import gzip
+import hashlib
 import io
+import json
 import struct
 import zipfile
 
@@ -71,6 +74,46 @@ def test_round_trip(spark):
     assert archives.read_archives(none).count() == 0
 
 
+def foreign(path, members):
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as z:
+        for name, data in members:
+            z.writestr(name, data)
+
+
+def warc(url, payload, kind="response"):
+    http = b"HTTP/1.1 200 OK\r\n\r\n" + payload
+    head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Target-URI: {url}\r\nContent-Length: {len(http)}\r\n\r\n"
+    return gzip.compress(head.encode() + http + b"\r\n\r\n")
+
+
+def test_packages_from_elsewhere(spark, tmp_path):
+    """Two archives, two indexes (plain and gzipped CDXJ, sorted by key), one archive without an index line, and extra members."""
+    a, b, c = ([warc(f"http://{x}/{i}", f"{x} {i}".encode()) for i in range(5)] for x in "abc")
+    line = lambda parts, i, name: "com,%s)/%d 20240101000000 %s" % (name, i, json.dumps({"url": "u", "filename": name, "offset": str(sum(map(len, parts[:i]))), "length": str(len(parts[i]))}))
+    plain = "\n".join(["!meta {}", *(line(a, i, "a.warc.gz") for i in (3, 0, 4, 1, 2)), ""]).encode()
+    packed = b"".join(gzip.compress((line(b, i, "b.warc.gz") + "\n").encode()) for i in (2, 1, 0, 4, 3))
+    members = [("archive/a.warc.gz", b"".join(a)), ("indexes/one.cdxj", plain), ("archive/b.warc.gz", b"".join(b)), ("indexes/two.cdx.gz", packed), ("archive/c.warc.gz", b"".join(c)), ("archive/empty.warc.gz", b""), ("pages/pages.jsonl", b"{}")]
+    foreign(tmp_path / "x.wacz", members)
+    manifest = spark.createDataFrame([(f"file://{tmp_path}/x.wacz",)], "path string")
+    rows = archives.read_archives(manifest).collect()
+    assert sorted((r["url"], bytes(r["payload"])) for r in rows) == sorted((f"http://{x}/{i}", f"{x} {i}".encode()) for x in "abc" for i in range(5))
+    assert all(r["page_id"] is None and r["digest_ok"] and r["payload_digest"] == hashlib.sha1(r["payload"]).hexdigest() for r in rows)
+    foreign(tmp_path / "y.wacz", [("archive/a.warc.gz", b"".join(a)), ("indexes/i.cdxj", line(a, 0, "gone.warc.gz").encode())])
+    read = lambda data: archives.records(reader(data), len(data))
+    with pytest.raises(ValueError, match="names no archive member"):
+        read((tmp_path / "y.wacz").read_bytes())
+    foreign(tmp_path / "z.wacz", [("archive/a.warc.gz", b"".join(a)[:-3])])
+    with pytest.raises(ValueError, match="ends inside a record"):
+        read((tmp_path / "z.wacz").read_bytes())
+
+
+def test_one_digest_on_most_rows(spark):
+    pages = spark.range(600).selectExpr("id as page_id", "concat('http://h/', id) as url", "case when id % 3 = 0 then '' when id % 3 = 1 then repeat('e', 2000) else repeat(cast(id as string), 500) end as html")
+    rows = archives.read_archives(archives.write_archives(pages, work_dir(spark, "archives"))).collect()
+    kinds = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in rows}
+    assert len(rows) == 600 and kinds == {i: ("revisit", 598) if i % 3 == 1 and i < 598 else ("response", None) for i in range(600)}
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_equals_sql(spark, name):
     con = duckdb.connect()

@@ -7,7 +7,9 @@ import numpy as np
 sys.path.insert(0, str(Path(__file__).parent))
 import brute
 
-from pixelmill.llm import components, line_dedup, minhash
+from conftest import CLASHES
+
+from pixelmill.llm import components, line_dedup, linking, minhash, mixing
 
 SF = "/root/testdata/sf0.001"
 
@@ -149,3 +151,46 @@ def test_stage_decides_by_row_not_by_id(spark):
     left = minhash.without_near_duplicates(docs).collect()
     want = [(1, b), (5, a), (7, c), (7, d), (7, lone), (None, e), (2, ""), (2, ""), (None, None)]
     assert sorted(map(repr, (tuple(r) for r in left))) == sorted(map(repr, want))
+
+
+def test_stages_carry_clashing_columns(spark, odd_docs):
+    for stage in (minhash.without_near_duplicates, line_dedup.without_repeats, mixing.mixed):
+        out = stage(odd_docs)
+        assert out.columns == odd_docs.columns
+        assert all(r[x] == x for r in out.collect() for x in CLASHES)
+
+
+def test_strays_of_a_large_group_equal_brute_force(spark):
+    """A key of several hundred vertices in many components: near copies of one text at all distances, and what only shares a passage with it."""
+    rng = random.Random(9)
+    vocabulary = [f"t{i}" for i in range(60)]
+    base = [rng.choice(vocabulary) for _ in range(80)]
+    texts = {i: " ".join(edited(rng, base, i % 14)) for i in range(150)}
+    texts |= {200 + i: " ".join([rng.choice(vocabulary) for _ in range(rng.randint(5, 60))] + base[:50]) for i in range(60)}
+    texts |= {300 + i: " ".join(base[: 80 - i % 40] if i % 2 else base[i % 40 :]) for i in range(60)}
+    sets = {k: np.unique([hash(x) & (2**63 - 1) for x in brute.shingles(t, 2)]).astype(np.uint64) for k, t in texts.items()}
+    table = spark.createDataFrame([(k, bytes(x.tobytes())) for k, x in sets.items()], "v long, s binary")
+    postings = spark.createDataFrame([(key, k, len(x), 1.0) for k, x in sets.items() for key in (1, 2 + k % 3)], "key long, v long, n long, w double")
+
+    def confirm(pairs):
+        like = lambda a, b: (both := len(np.intersect1d(sets[a], sets[b]))) and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both)
+        return spark.createDataFrame([tuple(r) for r in pairs.select("a", "b").collect() if like(*r)], "a long, b long")
+
+    want = {k: comp for k, (_, comp) in brute.document_components(texts, 2).items()}
+    found = linking.linked(postings, confirm, lambda ids: table.join(ids, "v", "left_semi"), 80)
+    got = {r["v"]: r["comp"] for r in found.collect()}
+    assert {k: got.get(k, k) for k in texts} == want and len(set(want.values())) > 60
+    members = spark.createDataFrame([(0, 0, k, k) for k in sets if k], "leader long, leader_comp long, v long, comp long")
+    for block_bytes in (1 << 12, 1 << 20):  # many blocks, or one
+        links = linking.apart(members, lambda ids: table.join(ids, "v", "left_semi"), 80, block_bytes).collect()
+        groups = brute.Sets(texts)
+        for a, b in links:
+            groups.join(a, b)
+        alone = brute.document_components({k: t for k, t in texts.items() if k}, 2)
+        assert {k: groups.find(k) for k in texts if k} == {k: comp for k, (_, comp) in alone.items()}
+
+
+def test_linked_without_postings(spark):
+    none = spark.createDataFrame([], "key long, v long, n long, w double")
+    pairs, sets = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "v long, s binary")
+    assert linking.linked(none, lambda _: pairs, lambda _: sets, 80).count() == 0

@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -172,17 +173,141 @@ def test_url_templates_reject_what_is_labelled_bad(spark):
     assert news == "/news/*" and blog == "/blog/*"  # far from the pooled share, so not merged with it
 
 
-def test_rule_ensemble_reads_texts_in_many_tasks(spark, labels, monkeypatch):
-    plans, parts = [], []
-
-    def seen(df, name):
-        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
-        parts.append(df.rdd.getNumPartitions())
-        return df.sparkSession.createDataFrame(df.collect(), df.schema).coalesce(1)
-
-    monkeypatch.setattr(rule_ensemble, "written", seen)
-    monkeypatch.setattr(rule_ensemble, "fit", lambda rows: rows.count())
-    docs = spark.createDataFrame([(i, f"some words of text {i}") for i in range(14)], "doc_id long, text string").repartition(4)
-    assert rule_ensemble.train(docs, labels) > 0
-    reads = [n for plan, n in zip(plans, parts, strict=True) if "MapInArrow" in plan]
-    assert reads == [4] and parts[-1] == 1
+def plain_templates(urls, labels, how=url_templates.Shape()):
+    """urls: id to (host, path). Returns id to (template, branch, purity)."""
+    segments = {k: (p[1:] if p.startswith("/") else p).split("/") for k, (_, p) in urls.items()}
+    found = dict.fromkeys(urls, "")
+    for level in range(max(map(len, segments.values()))):
+        here = [k for k in urls if len(segments[k]) > level]
+        of = Counter((urls[k][0], found[k]) for k in here)
+        each = Counter((urls[k][0], found[k], segments[k][level]) for k in here)
+        found |= {k: found[k] + "/" + (x[2] if each[x] >= how.literal_pages and each[x] >= how.literal_share * of[x[:2]] else "*") for k in here for x in [(urls[k][0], found[k], segments[k][level])]}
+    shape = {k: re.sub("/[^/*]+", "/+", t) for k, t in found.items()}
+    sums = lambda key: {x: (sum(k in labels for k in ks), sum(labels.get(k, 0) for k in ks)) for x in set(map(key, urls)) for ks in [[k for k in urls if key(k) == x]]}
+    pool, own = sums(lambda k: (urls[k][0], shape[k])), sums(lambda k: (urls[k][0], found[k]))
+    branch = {}
+    for k in urls:
+        (l, b), (all_l, all_b) = own[urls[k][0], found[k]], pool[urls[k][0], shape[k]]
+        share = all_b / all_l if all_l else 0
+        branch[k] = shape[k] if abs(b - l * share) <= how.merge_deviations * math.sqrt(l * share * (1 - share)) + 1e-9 else found[k]
+    prior = sum(labels.values()) / len(labels)
+    merged = sums(lambda k: (urls[k][0], branch[k]))
+    alike = sum((b - l * prior) ** 2 - l * prior * (1 - prior) for l, b in merged.values()) / sum(l * (l - 1) * prior * (1 - prior) for l, b in merged.values())
+    worth = max(how.smoothing, (1 - min(1, alike)) / min(1, alike)) if alike > 0 else 1e12
+    return {k: (found[k], branch[k], (merged[urls[k][0], branch[k]][1] + prior * worth) / (merged[urls[k][0], branch[k]][0] + worth)) for k in urls}
+
+
+def test_url_templates_equal_brute_force(spark):
+    import random
+
+    for seed, signal in ((1, 0.8), (2, 0.0)):
+        rng = random.Random(seed)
+        urls = {k: (f"h{rng.randrange(3)}.test", "/" + "/".join(rng.choice(["a", "b", "spam", str(rng.randrange(500)), "", "x*y"]) for _ in range(rng.randint(1, 9)))) for k in range(600)}
+        urls[600] = ("h0.test", "/deep" * 40)
+        labels = {k: float(rng.random() < (signal if "spam" in urls[k][1] else 0.15)) for k in urls if rng.random() < 0.6}
+        pages = spark.createDataFrame([(k, f"http://{h}{p}?q") for k, (h, p) in urls.items()], "page_id long, url string")
+        out = url_templates.judge(pages, spark.createDataFrame(list(labels.items()), "page_id long, bad double"), []).collect()
+        want = plain_templates(urls, labels)
+        assert len(out) == len(urls)
+        for r in out:
+            template, branch, purity = want[r["page_id"]]
+            assert (r["template"], r["branch"]) == (template, branch) and r["purity"] == pytest.approx(purity)
+            assert r["verdict"] == ("block" if purity >= 0.5 else "allow")
+        blocked = {r["page_id"] for r in out if r["verdict"] == "block"}
+        assert bool(blocked) == bool(signal)
+
+
+def test_url_rejections_hold_for_pages_without_labels(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(k, f"http://h{k % 7}.test/{rng.choice(['spam', 'news', 'blog'])}/{k}") for k in range(3000)]
+    bad = {k: float(rng.random() < (0.9 if "/spam/" in u else 0.1)) for k, u in rows}
+    labels = spark.createDataFrame([(k, x) for k, x in bad.items() if k % 5 == 0], "page_id long, bad double")
+    out = url_templates.judge(spark.createDataFrame(rows, "page_id long, url string"), labels, []).where("page_id % 5 <> 0").toPandas()
+    blocked, is_bad = out.verdict == "block", out.page_id.map(bad) == 1
+    assert (blocked & is_bad).sum() / blocked.sum() > 0.85 and (blocked & is_bad).sum() / is_bad.sum() > 0.75
+
+
+def test_scores_equal_brute_force(spark):
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    model = rule_ensemble.train(docs, labels)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+
+    def plain_stats(text):
+        data = (text or "").encode()
+        words = re.findall(rb"[^\x20\x09-\x0D]+", data)
+        n = len(words)
+        if not n:
+            return dict.fromkeys(rule_ensemble.STATS, 0.0)
+        lines = [x for x in (re.sub(rb"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", b"", x) for x in data.split(b"\n")) if x]
+        many = lambda pattern: len(re.findall(pattern, data))
+        letters = max(1, many(rb"[A-Za-z]"))
+        return {
+            "log_words": math.log(n), "word_bytes": sum(map(len, words)) / n, "symbols": many(rb"[#*$%&<>]") / n, "bars": many(rb"\|") / n, "exclamations": many(rb"!") / n, "capitals": many(rb"[A-Z]") / letters, "digits": many(rb"[0-9]") / letters, "stops": many(rb"[.,;:?]") / n,
+            "distinct": len(set(words)) / n, "stutter": sum(a == b for a, b in itertools.pairwise(words)) / n, "lines": len(lines) / n, "repeated_lines": 1 - len(set(lines)) / len(lines), "unended_lines": sum(not x.endswith((b".", b"!", b"?", b":", b";", b'"', b"'", b")")) for x in lines) / len(lines), "wide_bytes": many(rb"[\x80-\xff]") / len(data),
+        }
+
+    rows = rule_ensemble.classify(docs, model).collect()
+    assert len(rows) == len(texts) and model.rules
+    for r in rows:
+        s = plain_stats(texts[r["doc_id"]])
+        total = model.intercept + sum(w for w, rule in model.rules if all(low < s[k] <= high for k, low, high in rule.bounds))
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-total)))
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+
+
+def test_markov_spans_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    ratios = secrets.train(secrets.samples(table(spark, "/root/testdata/sf0.01", "documents")))
+    random_word = lambda: "".join(rng.choice(secrets.ALPHABET) for _ in range(rng.randint(15, 60)))
+    plain_word = lambda: "".join(rng.choice(["the", "and", "tion", "ing", "ed", "ble", "THE", "_"]) for _ in range(rng.randint(3, 12)))
+    texts = ["".join(rng.choice([random_word, plain_word, lambda: "deadbeef" * 3, lambda: "password="])() + rng.choice([" ", "", "é", "\n", ":"]) for _ in range(rng.randint(0, 40))) for _ in range(60)]
+    rows = {r["doc_id"]: r for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ratios).collect()}
+    seen = 0
+    for k, text in enumerate(texts):
+        base = [(int(s), ("assign", "access", "hex").index(kind), int(e)) for kind, s, e in (x.split(":") for x in filter(None, plain_spans(text)[1].split(",")))]
+        for m in re.finditer(secrets.RUN, text):
+            at = [secrets.ALPHABET.index(c) for c in m[0]]
+            score = sum(float(f"{ratios[a * len(secrets.ALPHABET) + b]:.6g}") for a, b in itertools.pairwise(at))
+            if score > max(secrets.THRESHOLD, secrets.PER_TRANSITION * (len(at) - 1)) and not any(s < m.end() and e > m.start() for s, _, e in base):
+                base.append((m.start(), 3, m.end()))
+                seen += 1
+        assert rows[k]["spans"] == ",".join(f"{secrets.KINDS[kind]}:{s}:{e}" for s, kind, e in sorted(base)), text
+    assert seen > 50
+
+
+def test_many_spans_in_one_text(spark):
+    text = " ".join(f"{i:016x}" for i in range(100_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    r = secrets.scan(docs, [0.0] * len(secrets.ALPHABET) ** 2).first()
+    assert r["n_hex"] == 100_000 and r["base_sha256"] == hashlib.sha256(",".join(f"hex:{17 * i}:{17 * i + 16}" for i in range(100_000)).encode()).hexdigest()
+
+
+def test_samples_are_bounded_under_repeated_ids(spark, labels):
+    """A third of the rows with one labelled id: a sample takes one of them."""
+    docs = spark.createDataFrame([(1, f"token=abcdefghijkl{i:06} and words number {i} in it.\n" * (i % 5 + 1)) for i in range(300)] + [(k, f"some words of text {k}\nmore") for k in range(2, 14)], "doc_id long, text string").repartition(4)
+    assert secrets.samples(docs).where("random").count() == 1
+    seen = []
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(rule_ensemble, "fit", lambda rows: seen.append((rows.count(), rows.select("doc_id").distinct().count(), rows.rdd.getNumPartitions())))
+        m.setattr(quality_rules, "fit", lambda sample, how: seen.append(len(sample)))
+        rule_ensemble.train(docs, labels)
+        quality_rules.train(docs, labels)
+    assert seen[0][0] == seen[0][1] and seen[0][2] == 1 and seen[1] == 13
+
+
+def test_long_documents_are_in_the_fit():
+    rows = np.arange(5000 * 9, dtype="<f4").reshape(-1, 9)
+    part = quality_rules.stretch(rows, 2000)
+    assert len(part) == 2000 and (np.diff(part[:, 0]) == 9).all() and quality_rules.stretch(rows[:10], 2000) is not None and len(quality_rules.stretch(rows[:10], 2000)) == 10
+
+
+def test_quality_rules_held_out(spark):
+    docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
+    model = quality_rules.train(docs, labels.where("doc_id % 2 = 0"))
+    rows = quality_rules.judge(docs, model).join(labels.where("doc_id % 2 = 1"), "doc_id").toPandas()
+    good, bad = rows[rows.quality == 1], rows[rows.quality == 0]
+    assert len(bad) > 10 and good[~good.base_failed].kept.mean() > 0.98 and bad.kept.mean() < 0.15

@@ -1,5 +1,7 @@
+import math
 import random
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -143,3 +145,42 @@ def test_mix_over_many_stretches(spark):
     assert sorted(rows._mix_slot.unique()) == list(range(1500)) and len(rows) == 3000
     places = rows.groupby(rows.source.fillna("-"))[["_mix_block", "_mix_slot"]].apply(lambda x: x.sort_values("_mix_block")._mix_slot.is_monotonic_increasing)
     assert places.all()
+
+
+def plain_schedule(blocks, weights):
+    """Slots of the blocks (source, number): at each slot, of the released next blocks that of the earliest deadline."""
+    out, done, at = [], dict.fromkeys(blocks, 0), 0
+    while left := [k for k in blocks if done[k] < blocks[k]]:
+        total = sum(Fraction(weights[k]) for k in left)
+        share, begun, t = {k: Fraction(weights[k]) / total for k in left}, dict(done), 0
+        while all(done[k] < blocks[k] for k in left):
+            j = {k: done[k] - begun[k] + 1 for k in left}
+            ready = [k for k in left if math.floor((j[k] - 1) / share[k]) <= t]
+            k = min(ready, key=lambda k: (math.ceil(j[k] / share[k]), str(k), k is None))
+            out.append((k, done[k]))
+            done[k], t = done[k] + 1, t + 1
+        at += t
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_mix_positions_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
+    rows = [(i if rng.random() < 0.9 else rng.choice([None, 7]), f"text {rng.randrange(400)}", rng.choice(["a", "a", "a", "b", "c", None])) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    weights = {"a": 0.2, "b": 0.5, "c": 0.25, None: 0.05}
+    out = mixing.mix_order(docs, weights, block_docs=4, period=16).selectExpr("*", "xxhash64(doc_id, text) as h").collect()
+    sizes = {k: sum(r["source"] == k for r in out) for k in weights}
+    slots = {x: t for t, x in enumerate(plain_schedule({k: -(-n // 4) for k, n in sizes.items() if n}, weights))}
+    for k in sizes:
+        own = sorted((r for r in out if r["source"] == k), key=lambda r: (r["_mix_block"], r["_mix_in_block"]))
+        assert [(r["_mix_block"], r["_mix_in_block"]) for r in own] == [(i // 4, i % 4) for i in range(len(own))]
+        assert [r["h"] for r in own] == sorted(r["h"] for r in own)
+        assert all(r["_mix_slot"] == slots[k, r["_mix_block"]] for r in own)
+
+
+def test_schedule_is_bounded(spark):
+    docs = spark.range(5000).selectExpr("id as doc_id", "'t' as text", "if(id % 10 < 7, 'big', 'small') as source")
+    rows = mixing.mix_order(docs, block_docs=1, most_blocks=50).toPandas()
+    assert rows._mix_slot.nunique() <= 52 and rows.groupby("_mix_slot").size().max() == 100
+    assert rows.duplicated(["_mix_slot", "_mix_in_block"]).sum() == 0
