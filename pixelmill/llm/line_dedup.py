@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pixelmill.llm.common import free_names, slices, small, written
@@ -57,19 +58,30 @@ def char_shingles(line: bytes, chars: int) -> np.ndarray:
     return np.unique(windows(line.ljust(chars, b"\0"), chars))
 
 
-def line_signatures(lines: list[bytes], count: int, chars: int) -> np.ndarray:
-    """MinHash signatures of all lines at once: minima over each line's stretch of the joined text."""
-    out = np.empty((len(lines), count), np.uint32)
+def line_signatures(lines: list[bytes], count: int, chars: int, part: int = 1 << 15) -> np.ndarray:
+    """MinHash signatures: minima over each line's stretch of the joined shingles, taken in parts that stay in a cache."""
+    out = np.empty((count, len(lines)), np.uint32)
     if lines:
         padded = [x.ljust(chars, b"\0") for x in lines]
         sizes = np.array([len(x) for x in padded])
-        starts = np.cumsum(sizes) - sizes
-        cuts = np.stack([starts, starts + sizes - chars + 1], 1).ravel()[:-1]  # a line's shingles, then those across its end
-        h = (mixed(windows(b"".join(padded), chars)) >> np.uint64(32)).astype(np.uint32)
+        ends = np.cumsum(sizes)
+        inside = np.ones(ends[-1], bool)
+        for k in range(1, chars):  # shingles that reach over a line's end
+            inside[ends - k] = False
+        h = (mixed(windows(b"".join(padded), chars)[inside[: ends[-1] - chars + 1]]) >> np.uint64(32)).astype(np.uint32)
         a, b = permutations(count)
-        for k in range(count):
-            out[:, k] = np.minimum.reduceat(h * a[k] + b[k], cuts)[::2]
-    return out
+        starts = np.cumsum(sizes - chars + 1) - (sizes - chars + 1)
+        at = 0
+        while at < len(lines):
+            to = max(at + 1, int(np.searchsorted(starts, starts[at] + part)))
+            x = h[starts[at] : starts[to] if to < len(lines) else len(h)]
+            cuts, y = starts[at:to] - starts[at], np.empty(len(x), np.uint32)
+            for k in range(count):
+                np.multiply(x, a[k], out=y)
+                np.add(y, b[k], out=y)
+                out[k, at:to] = np.minimum.reduceat(y, cuts)
+            at = to
+    return out.T
 
 
 def eligible(data: bytes | None, min_words: int) -> Iterator[tuple[int, bytes]]:
@@ -96,11 +108,11 @@ def places(docs: DataFrame, min_words: int) -> DataFrame:
     return sources(docs).mapInArrow(read, "doc_id long, version long, line_no int, line_id binary")
 
 
-def sketches(docs: DataFrame, min_words: int, chars: int, bands: int, rows: int) -> DataFrame:
-    """(line_id, doc_id, version, line_no, times, keys) of each batch's distinct lines, with the first place and the number of places."""
+def distinct_lines(docs: DataFrame, min_words: int) -> DataFrame:
+    """(line_id, first, times, line): each distinct line with the first of its places and their number."""
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 4096):
             first, times = {}, {}
             docs_, versions = b["doc_id"].to_pylist(), b["version"].to_pylist()
             order = lambda p: (docs_[p[0]] is not None, docs_[p[0]] or 0, versions[p[0]] is not None, versions[p[0]] or 0, p[1])
@@ -109,30 +121,28 @@ def sketches(docs: DataFrame, min_words: int, chars: int, bands: int, rows: int)
                     times[line] = times.get(line, 0) + 1
                     if line not in first or order((i, no)) < order(first[line]):
                         first[line] = (i, no)
-            sig = line_signatures(list(first), bands * rows, chars)
-            keys = np.zeros((len(first), bands), np.uint64)
-            for k in range(rows):
-                keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + sig[:, k::rows] + np.arange(1, bands + 1, dtype=np.uint64))
             at = pa.array([i for i, _ in first.values()], pa.int64())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(first) + 1) * bands, bands), pa.int32()), pa.array(keys.view(np.int64).ravel(), pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([xxhash.xxh3_128_digest(x) for x in first], pa.binary()), b["doc_id"].take(at), b["version"].take(at), pa.array([no for _, no in first.values()], pa.int32()), pa.array(times.values(), pa.int64()), lists],
-                ["line_id", "doc_id", "version", "line_no", "times", "keys"],
+                [pa.array([xxhash.xxh3_128_digest(x) for x in first], pa.binary()), b["doc_id"].take(at), b["version"].take(at), pa.array([no for _, no in first.values()], pa.int32()), pa.array(times.values(), pa.int64()), pa.array(first, pa.binary())],
+                ["line_id", "doc_id", "version", "line_no", "times", "line"],
             )
 
-    return sources(docs).mapInArrow(sketch, "line_id binary, doc_id long, version long, line_no int, times long, keys array<long>")
+    found = sources(docs).mapInArrow(read, "line_id binary, doc_id long, version long, line_no int, times long, line binary")
+    return found.groupBy("line_id").agg(F.min(F.struct("doc_id", "version", "line_no")).alias("first"), F.sum("times").alias("times"), F.first("line").alias("line"))
 
 
-def line_texts(docs: DataFrame, ids: DataFrame, min_words: int) -> DataFrame:
-    """(v, line) of the wanted lines (a written table of line_id, v), each once."""
+def band_keys(lines: DataFrame, chars: int, bands: int, rows: int) -> DataFrame:
+    """(v, key) of every band of (v, line)."""
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            lines = list({x: None for data in b["text"].cast(pa.binary()).to_pylist() for _, x in eligible(data, min_words)})
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x) for x in lines], pa.binary()), pa.array(lines, pa.binary())], ["line_id", "line"])
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 4096):
+            sig = line_signatures(b["line"].to_pylist(), bands * rows, chars)
+            keys = np.zeros((b.num_rows, bands), np.uint64)
+            for k in range(rows):
+                keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + sig[:, k::rows] + np.arange(1, bands + 1, dtype=np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b["v"].to_numpy(), bands)), pa.array(keys.view(np.int64).ravel())], ["v", "key"])
 
-    texts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(read, "line_id binary, line binary")
-    return texts.join(small(ids), "line_id").groupBy("v").agg(F.first("line").alias("line"))
+    return lines.select("v", "line").mapInArrow(sketch, "v long, key long")
 
 
 def version(docs: DataFrame) -> Column:
@@ -154,11 +164,14 @@ def confirmed(pairs: DataFrame, lines: DataFrame, chars: int, percent: int) -> D
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            keep = []
-            for x, y in zip(b["x"].to_pylist(), b["y"].to_pylist(), strict=True):
-                x, y = char_shingles(x, chars), char_shingles(y, chars)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            keep, sets = [], {}
+            for pair in zip(b["x"].to_pylist(), b["y"].to_pylist(), strict=True):
+                for line in pair:
+                    if line not in sets:
+                        sets[line] = char_shingles(line, chars)
+                x, y = map(sets.__getitem__, pair)
+                least = percent * (len(x) + len(y))  # they share s: 100 s >= percent (|x| + |y| - s)
+                keep.append(min(len(x), len(y)) * (100 + percent) >= least and len(np.intersect1d(x, y, assume_unique=True)) * (100 + percent) >= least)
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(lines.toDF("a", "x"), "a").join(lines.toDF("b", "y"), "b")
@@ -171,14 +184,12 @@ def line_components(docs: DataFrame, min_words: int = MIN_WORDS, percent: int =
     kept_*: the occurrence that stays for the line's component.
     """
     place = F.struct("doc_id", "version", "line_no")
-    distinct = sketches(docs, min_words, chars, bands, rows).groupBy("line_id").agg(F.min(place).alias("first"), F.sum("times").alias("times"), F.first("keys").alias("keys"))
-    distinct = written(distinct.withColumn("v", F.monotonically_increasing_id()), "distinct")  # short numbers, fixed by the written table
-    postings = distinct.select("v", F.lit(0).alias("n"), F.explode("keys").alias("key"))
-    met = postings.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    met = written(postings.join(met, "key"), "met")
-    postings = written(met.join(met.groupBy("v").agg(F.sum(F.log2("df")).alias("w")), "v").select("key", "v", "n", "w"), "postings")
-    ids = written(distinct.select("line_id", "v").join(postings.select("v"), "v", "left_semi"), "ids")
-    lines = written(line_texts(docs, ids, min_words), "lines")
+    distinct = written(distinct_lines(docs, min_words).withColumn("v", F.monotonically_increasing_id()), "distinct")  # short numbers, fixed by the written table
+    met = band_keys(distinct, chars, bands, rows).withColumn("df", F.count(F.lit(1)).over(W.partitionBy("key"))).where("df > 1")
+    met = written(met, "met")
+    central = met.groupBy("v").agg(F.sum(F.log2("df")).alias("w"))
+    postings = met.select("key", "v", F.lit(0).alias("n")).join(central, "v")
+    lines = written(distinct.select("v", "line").join(met.select("v"), "v", "left_semi"), "lines")
     comps = written(with_roots(linked(postings, lambda pairs: confirmed(pairs, lines, chars, percent), lambda wanted: shingle_sets(lines.join(wanted, "v", "left_semi"), chars), percent, sized=False)), "linked")
     # only lines that stand more than once, or are linked, can give way to another
     of = distinct.select("line_id", "first", "times", "v").join(comps, "v", "left").where("times > 1 or comp is not null").withColumn("comp", F.coalesce("comp", "v"))

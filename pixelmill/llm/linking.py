@@ -65,9 +65,10 @@ def linked(postings: DataFrame, confirm: Callable[[DataFrame], DataFrame], eleme
     among pairs (a, b), a < b. elements: the sets (v, s) of a table of v, s being sorted unsigned 64-bit numbers as bytes.
     """
     like = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent if sized else F.lit(True)
+    postings = written(postings, "postings")
     lead = postings.groupBy("key").agg(F.max(F.struct(F.round("w", 3).alias("w"), (-F.col("v")).alias("low"), "v", "n")).alias("hi"), F.count(F.lit(1)).alias("size")).where("size > 1")
     lead = lead.select("key", "size", F.col("hi.v").alias("leader"), F.col("hi.n").alias("leader_n"), F.col("hi.w").alias("central"))
-    near = written(postings.select("key", "v", "n").join(lead, "key"), "near")
+    near = written(postings.join(lead, "key").select("key", "size", "v", "n", "leader", "leader_n", "central"), "near")
 
     ends = near.where("v <> leader").where(like(F.col("n"), F.col("leader_n")))
     first = ends.groupBy("v").agg(F.max(F.struct("central", (-F.col("leader")).alias("low"), "leader")).alias("l")).select("v", "l.leader")

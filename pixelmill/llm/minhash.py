@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pixelmill.llm.common import free_names, slices, small, written
@@ -103,8 +104,8 @@ def prefixes(sets: DataFrame, coordinates: int, matches: int) -> DataFrame:
     """
     posted = sets.select("v", "n", F.posexplode("sig").alias("pos", "value"))
     posted = posted.select("v", "n", (F.shiftleft(F.col("pos").cast("long"), 32) + F.col("value").cast("long") + (1 << 31)).alias("key"))
-    shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    each = posted.join(shared, "key").groupBy("v", "n").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("keys"), F.sum(F.log2("df")).alias("w"))
+    shared = posted.withColumn("df", F.count(F.lit(1)).over(W.partitionBy("key"))).where("df > 1")
+    each = shared.groupBy("v", "n").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("keys"), F.sum(F.log2("df")).alias("w"))
     first = F.col("keys.key")  # pairs that no other set has come before these in the order
     room = F.lit(coordinates - matches + 1 - coordinates) + F.size("keys")
     return each.where(room > 0).select(F.explode(F.slice(first, F.lit(1), room)).alias("key"), "v", "n", "w")
@@ -148,7 +149,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordi
     """(doc_id, n_shingles, component_id, kept) of every row."""
     rows = written(sketched(docs, shingle, coordinates), "rows")
     sets = written(rows.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("v"), F.first("n").alias("n"), F.first("sig").alias("sig")), "sets")
-    postings = written(prefixes(sets, coordinates, matches), "postings")
+    postings = prefixes(sets, coordinates, matches)
     confirm = lambda pairs: confirmed(pairs, docs, sets, shingle, matches, percent)
     linked_sets = written(linked(postings, confirm, lambda ids: word_sets(docs, ids, shingle), percent), "linked")
     comps = sets.select("fp", "v").join(linked_sets, "v", "left").select("fp", F.coalesce("comp", "v").alias("comp"))
