@@ -60,3 +60,48 @@ def tone_mapped(light: Column, peak: Column, knee: float = 0.75) -> Column:
     compression = F.when(peak > 1, F.lit(1 / (1 - knee)) - 1 / (peak - knee)).otherwise(0.0)
     above = light - knee
     return F.when(light > knee, above / (above * compression + 1) + knee).otherwise(light)
+
+
+#: BT.2020 luminance, HLG's system gamma and its peak relative to SDR white.
+LUMINANCE_2020, SYSTEM_GAMMA, HLG_PEAK = (0.2627, 0.6780, 0.0593), 1.2, 1000 / 203
+#: PQ's peak relative to SDR white.
+PQ_PEAK = 10000 / 203
+
+
+def pq_decode(signal: Column) -> Column:
+    """The inverse of pq_encode."""
+    m1, m2, c1, c2, c3 = 2610 / 16384, 2523 / 32, 3424 / 4096, 2413 / 128, 2392 / 128
+    p = F.pow(signal, F.lit(1 / m2))
+    return F.pow(F.greatest(p - c1, F.lit(0.0)) / (F.lit(c2) - p * c3), F.lit(1 / m1))
+
+
+def hlg_signal(rgb: tuple[Column, Column, Column]) -> list[Column]:
+    """HLG signals of display light relative to SDR white: the inverse system gamma, highlights drawn to the peak."""
+    display = [F.greatest(c, F.lit(0.0)) / HLG_PEAK for c in rgb]
+    light = sum((c * w for c, w in zip(display, LUMINANCE_2020, strict=True)), F.lit(0.0))
+    scene = [c * F.pow(light, F.lit(1 / SYSTEM_GAMMA - 1)) for c in display]
+    most = F.greatest(F.lit(1.0), *scene)
+    return [F.when(light > 0, hlg_from_scene(c / most)).otherwise(0.0) for c in scene]
+
+
+def deepened(v: Column, depth: int) -> tuple[Column, Column]:
+    """A 16-bit sample cut to a depth, and brought back by repeating its upper bits."""
+    low = F.shiftright(v, 16 - depth)
+    return low, F.shiftleft(low, 16 - depth).bitwiseOR(F.shiftright(low, 2 * depth - 16))
+
+
+def nclx(primaries: Column, transfer: Column, matrix: Column, full_range: Column) -> Column:
+    """The colour box's payload: its type, three big-endian 16-bit numbers, and a byte whose top bit is the range."""
+    wide = lambda x: F.lpad(F.hex(x.cast("long")), 4, "0")
+    return F.unhex(F.concat(F.lit("6E636C78"), wide(primaries), wide(transfer), wide(matrix), F.when(full_range, "80").otherwise("00")))
+
+
+def leb128(x: Column, most: int = 5) -> Column:
+    """Seven bits a byte, lowest first, the top bit saying that more follow."""
+    out = F.lit("")
+    for k in range(most):
+        byte = F.shiftright(x.cast("long"), 7 * k).bitwiseAND(127)
+        more = F.shiftright(x.cast("long"), 7 * (k + 1)) > 0
+        here = F.lit(True) if k == 0 else F.shiftright(x.cast("long"), 7 * k) > 0
+        out = F.concat(out, F.when(here, F.lpad(F.hex(byte + F.when(more, 128).otherwise(0)), 2, "0")).otherwise(""))
+    return F.unhex(out)

@@ -55,3 +55,53 @@ def frame_quantizer(temporal: Column, temporal_mean: Column, spatial: Column, sp
     d = F.log2((temporal + 1) / (temporal_mean + 1)) * 3 - F.log2((spatial + 1) / (spatial_mean + 1)) * 2
     d = F.greatest(F.lit(-most), F.least(F.lit(most), F.round(d).cast("int")))
     return F.when((temporal_mean <= 0) & (spatial_mean <= 0), nominal).otherwise(F.greatest(F.lit(1), F.least(F.lit(254), d + nominal)))
+
+
+#: How chroma of full resolution eases to finer matrices, and the offsets of subsampled chroma.
+MATRIX_CHROMA_TOP, MATRIX_KNEE, MATRIX_WIDTH = 2, 12, 5
+CHROMA_MID, CHROMA_420_TAIL, CHROMA_422_SCALE = 28, 28, 0.5
+#: SATD's price of a squared error, at three quantizers, for subsampled and full chroma.
+PRICE_AT, PRICE_SUBSAMPLED, PRICE_FULL = (28.0, 81.0, 140.0), (24.5, 21.3, 18.2), (35.0, 21.2, 18.1)
+
+
+def linear_quality_to_q(quality: Column) -> Column:
+    """The straight law: quality 1 to 100 onto quantizers 254 to 1."""
+    return F.greatest(F.lit(1), F.least(F.lit(254), F.floor((F.lit(100) - quality) * 254 / 99))).cast("int")
+
+
+def profile(depth: Column, chroma: Column) -> Column:
+    """Sequence profile by depth and chroma format."""
+    return F.when((depth == 12) | (chroma == "422"), 2).when(chroma == "444", 1).otherwise(0)
+
+
+def chroma_matrix_level(q: Column) -> Column:
+    """Matrix level of chroma at full resolution: held down, but for the finest quantizers."""
+    pinned = F.least(F.lit(MATRIX_CHROMA_TOP), matrix_level(q, False))
+    ease = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.lit(MATRIX_KNEE) - q) / MATRIX_WIDTH))
+    return F.when(ease > 0, half_away(pinned + (F.lit(15.0) - pinned) * ease)).otherwise(pinned)
+
+
+def chroma_mid_delta(q: Column, tail: int) -> Column:
+    """A dip of the offset over the middle quantizers, down to the tail beyond; quotients are cut off."""
+    d = CHROMA_MID
+    return F.when(q <= 20, 0).when(q < 64, -F.floor((q - 20) * d / 44)).when(q <= 96, -d).when(q < 136, -tail - F.floor((F.lit(136) - q) * (d - tail) / 40)).otherwise(-tail).cast("int")
+
+
+def subsampled_chroma_delta(q: Column, chroma: str) -> Column:
+    """Offset of the chroma quantizers (DC and AC alike) for 4:2:0 and 4:2:2."""
+    return chroma_mid_delta(q, CHROMA_420_TAIL) if chroma == "420" else F.ceil(chroma_mid_delta(q, 0) * CHROMA_422_SCALE).cast("int")
+
+
+def satd_price(q: Column, subsampled: bool) -> Column:
+    """Along lines between three quantizers, constant outside."""
+    k, (a, b, c) = PRICE_SUBSAMPLED if subsampled else PRICE_FULL, PRICE_AT
+    return F.when(q <= a, k[0]).when(q >= c, k[2]).when(q <= b, (q - a) * (k[1] - k[0]) / (b - a) + k[0]).otherwise((q - b) * (k[2] - k[1]) / (c - b) + k[1])
+
+
+def matrix_step(step: Column, weight: Column) -> Column:
+    """A dequantizer step under a matrix weight (32 leaves it)."""
+    return F.shiftright(step * weight + 16, 5)
+
+
+def rd_cost(distortion: Column, rate: Column, price: float) -> Column:
+    return distortion + rate * price

@@ -39,3 +39,15 @@ def walsh4(v: list[Column]) -> list[Column]:
 def dct_basis(n: int) -> list[list[float]]:
     """Rows of the orthonormal DCT."""
     return [[math.sqrt((1 if k == 0 else 2) / n) * math.cos(math.pi * (2 * i + 1) * k / (2 * n)) for i in range(n)] for k in range(n)]
+
+
+#: Rows of the 8-point forward ADST, 12 fractional bits.
+ADST8 = (
+    (567, 1682, 2730, 3675, 4477, 5109, 5544, 5766), (1682, 4480, 5766, 5109, 2732, -569, -3675, -5545), (2732, 5766, 3675, -1682, -5544, -4479, 569, 5109), (3675, 5108, -1681, -5764, -569, 5542, 2732, -4479),
+    (4479, 2732, -5542, -569, 5764, -1681, -5108, 3675), (5109, -569, -4479, 5544, -1682, -3675, 5766, -2732), (5545, -3675, 569, 2732, -5109, 5766, -4480, 1682), (5766, -5544, 5109, -4477, 3675, -2730, 1682, -567),
+)
+
+
+def adst8(v: Column) -> Column:
+    """The 8-point ADST of an array, rounded."""
+    return F.array(*[F.shiftright(sum((F.get(v, F.lit(j)).cast("long") * w for j, w in enumerate(row)), F.lit(2048).cast("long")), 12) for row in ADST8])

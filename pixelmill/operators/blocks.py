@@ -113,3 +113,27 @@ def transform_8x8(blocks: DataFrame) -> DataFrame:
             yield pd.DataFrame({"vec_id": b["vec_id"], "coefficients": list((basis @ x @ basis.T).round(6).reshape(-1, 64))})
 
     return blocks.mapInPandas(run, "vec_id long, coefficients array<double>")
+
+
+def luma_ac(block: Column) -> Column:
+    """What an 8x8 luma block says about 4x4 chroma: sums of 2x2 samples, doubled, less their rounded mean."""
+    at = lambda r, c: sum((F.get(block, F.lit(8 * (2 * r + i) + 2 * c + j)).cast("long") for i in (0, 1) for j in (0, 1)), F.lit(0).cast("long"))
+    sums = F.array(*[F.shiftleft(at(r, c), 1) for r in range(4) for c in range(4)])
+    return F.transform(sums, lambda x: x - F.shiftright(total(sums) + 8, 4))
+
+
+def chroma_alpha(rows: DataFrame, reach: int = 3, most: int = 16) -> DataFrame:
+    """(vec_id, alpha) of (vec_id, ac, v), 16 samples each: the factor, of 64, by which luma predicts chroma best.
+
+    The quotient of the normal equation, rounded, and its neighbours are tried; the first of equals is taken.
+    """
+    rows = rows.withColumn("dc", F.shiftright(total(F.transform("v", lambda x: x.cast("long"))) + 8, 4))
+    rows = rows.withColumn("num", total(F.zip_with("v", "ac", lambda v, a: (v - F.col("dc")) * a))).withColumn("den", total(F.transform("ac", lambda a: a * a)))
+    rows = rows.withColumn("a0", F.when(F.col("den") == 0, F.lit(0)).otherwise(F.greatest(F.lit(-most), F.least(F.lit(most), F.expr("(64 * num + (den div 2) * cast(sign(num) as int)) div if(den = 0, 1, den)")))).cast("int"))
+
+    def error(a: Column) -> Column:
+        scaled = lambda x: F.when(x < 0, -F.shiftright(-x + 32, 6)).otherwise(F.shiftright(x + 32, 6))
+        return total(F.transform(F.zip_with("v", "ac", lambda v, y: v - F.greatest(F.lit(0), F.least(F.lit(255), F.col("dc") + scaled(y * a)))), lambda d: d * d))
+
+    tried = [F.when(F.abs(F.col("a0") + o) <= most, F.struct(error(F.col("a0") + o).alias("e"), (F.col("a0") + o).alias("a"))) for o in range(-reach, reach + 1)]
+    return rows.select("vec_id", F.when(F.col("den") == 0, 0).otherwise(F.least(*tried)["a"]).alias("alpha"))

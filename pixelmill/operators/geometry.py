@@ -43,3 +43,11 @@ def tiles(sizes: DataFrame, log2: int = 2) -> DataFrame:
     step = F.ceil(F.col("superblocks") / (1 << log2))
     starts = F.sequence(F.lit(0).cast("long"), F.col("superblocks") - 1, step)
     return sizes.select("image_id", F.posexplode(starts).alias("tile", "start"))
+
+
+def padded(samples: DataFrame, width: int, height: int, multiple: int = 8) -> DataFrame:
+    """(image_id, y, x, v) of images grown to multiples by their last column and row; each sample is sent where it shows."""
+    wide, high = (-(-n // multiple) * multiple for n in (width, height))
+    reach = lambda at, last, end: F.sequence(at, F.when(at == last, end - 1).otherwise(at))
+    rows = samples.select("image_id", F.explode(reach(F.col("y"), height - 1, high)).alias("y"), "x", "v")
+    return rows.select("image_id", "y", F.explode(reach(F.col("x"), width - 1, wide)).alias("x"), "v")

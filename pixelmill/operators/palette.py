@@ -104,3 +104,18 @@ def clustered(hist: DataFrame, by: str, k: int, method: str = "best", most: int
             yield pd.DataFrame({by: b[by], "centres": [f(np.array(v, np.int64), np.array(n, np.int64), k) for v, n in zip(b["v"], b["n"], strict=True)]})
 
     return packed.select(by, F.col("h.value").alias("v"), F.col("h.n").alias("n")).mapInPandas(run, f"{by} long, centres array<long>")
+
+
+def prefix_sums(hist: DataFrame, by: str) -> DataFrame:
+    """(by, value, w, s, ss): running sums of the counts, and of the values and their squares, counted."""
+    upto = W.partitionBy(by).orderBy("value").rowsBetween(W.unboundedPreceding, 0)
+    of = lambda x: F.sum(F.col("n") * x).over(upto)
+    value = F.col("value").cast("long")
+    return hist.select(by, "value", of(F.lit(1)).alias("w"), of(value).alias("s"), of(value * value).alias("ss"))
+
+
+def quantiles(hist: DataFrame, by: str, k: int) -> DataFrame:
+    """(by, k, centre): the first values whose running counts pass the middle of each k-th of all."""
+    upto = prefix_sums(hist, by).select(by, "value", "w")
+    totals = upto.withColumn("all", F.max("w").over(W.partitionBy(by))).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    return totals.where(F.expr(f"w > (2 * k + 1) * all div {2 * k}")).groupBy(by, "k").agg(F.min("value").alias("centre"))

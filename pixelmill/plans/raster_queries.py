@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelmill.functions import color, laws
+from pixelmill.functions import color, laws, prediction, transforms
 from pixelmill.operators import blocks, entropy, geometry, palette
 from pixelmill.sources import rasters
 
@@ -58,8 +58,8 @@ def csc_ycbcr444(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # 15 wide and high, so that edges are odd
 @query(f"""with {pattern_sql(15)}, t as (
-  select a.image_id, a.y as r, a.x // 2 as c, a.cbs + b.cbs as cb, a.crs + b.crs as cr from yc a join yc b on a.image_id = b.image_id and a.y = b.y and b.x = least(a.x + 1, 14) where a.x % 2 = 0
-) select image_id, r, cast(c as integer) as c, greatest(0, least(255, (cb + (1 << 13)) >> 14)) as cb, greatest(0, least(255, (cr + (1 << 13)) >> 14)) as cr from t""")
+  select image_id, y as r, x // 2 as c, cast(sum(cbs * case when x = 14 then 2 else 1 end) as bigint) as cb, cast(sum(crs * case when x = 14 then 2 else 1 end) as bigint) as cr from yc group by 1, 2, 3
+) select image_id, r, cast(c as integer) as c, cast(greatest(0, least(255, (cb + (1 << 13)) >> 14)) as integer) as cb, cast(greatest(0, least(255, (cr + (1 << 13)) >> 14)) as integer) as cr from t""")
 def chroma_422(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.subsampled(rasters.pattern_rgb(spark, sf_dir, 15), 15, 15, vertical=False)
 
@@ -182,9 +182,9 @@ def nearest_palette_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return palette.nearest(samples, [32, 96, 128, 160, 224]).select("vec_id", "y", "x", "centre")
 
 
-@query(f"with {BLOCK_SQL}, q as (select vec_id, list_transform(block, lambda v: v // 64) as block from eb), f as (select block, min(vec_id) as first_id from q group by block) select vec_id, first_id from q join f using (block) where vec_id > first_id")
+@query(f"with {BLOCK_SQL}, q as (select vec_id, list_transform(block[1:5], lambda v: v // 64) as block from eb), f as (select block, min(vec_id) as first_id from q group by block) select vec_id, first_id from q join f using (block) where vec_id > first_id")
 def duplicate_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coarse = rasters.embed_blocks(spark, sf_dir).select("vec_id", F.transform("block", lambda v: F.shiftright(v, 6)).alias("block"))
+    coarse = rasters.embed_blocks(spark, sf_dir).select("vec_id", F.transform(F.slice("block", 1, 5), lambda v: F.shiftright(v, 6)).alias("block"))
     return blocks.duplicates(coarse)
 
 
@@ -198,11 +198,12 @@ def cdef_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.edge_directions(rasters.embed_blocks(spark, sf_dir))
 
 
-CDF = [32768 - 2048 * (k + 1) for k in range(16)]
+#: Cumulative frequencies, counted down from 32768; symbol 12 has none, and costs as if it had one.
+CDF = [32768 - x for x in (40, 130, 400, 1200, 3000, 6500, 12000, 19000, 25500, 29500, 31500, 32300, 32300, 32640, 32740, 32768)]
 
 
-@query(f"""with {BLOCK_SQL}, c as (select vec_id, v // 16 as symbol, count(*) as n from es group by 1, 2)
-select vec_id, round(sum(round(-log2(greatest(1, 2048) / 32768), 6) * n), 6) as bits from c group by vec_id""")
+@query(f"""with {BLOCK_SQL}, t(symbol, above, below) as (values {", ".join(f"({k}, {a}, {b})" for k, (a, b) in enumerate(zip([32768, *CDF], CDF, strict=False)))}), c as (select vec_id, v // 16 as symbol, count(*) as n from es group by 1, 2)
+select vec_id, round(sum(round(-log2(greatest(1, above - below) / 32768), 6) * n), 6) as bits from c join t using (symbol) group by vec_id""")
 def static_bit_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     symbols = rasters.block_samples(rasters.embed_blocks(spark, sf_dir)).select("vec_id", F.shiftright("v", 4).alias("symbol"))
     return entropy.bit_cost(symbols, "vec_id", CDF).select("vec_id", F.round("bits", 6).alias("bits"))
@@ -295,16 +296,14 @@ def mv_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""with s as (select l_orderkey, l_linenumber, cast(floor(l_quantity * 5) as bigint) % 256 as l, cast(floor(l_extendedprice) as bigint) % 256 as t, cast(floor(l_discount * 1000) as bigint) % 256 as c from lineitem)
 select l_orderkey, l_linenumber, cast(case when abs(t - c) <= abs(l - c) and abs(t - c) <= abs(l + t - 2 * c) then l when abs(l - c) <= abs(l + t - 2 * c) then t else c end as integer) as predicted from s""")
 def paeth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of left, top and corner the one nearest to left plus top less corner, in this order of equals."""
-    left, top, corner = F.col("r"), F.col("g"), F.col("b")
-    base = left + top - corner
-    far = lambda x: F.abs(base - x)
-    return rasters.lineitem_rgb(spark, sf_dir).select("l_orderkey", "l_linenumber", F.when((far(left) <= far(top)) & (far(left) <= far(corner)), left).when(far(top) <= far(corner), top).otherwise(corner).alias("predicted"))
+    return rasters.lineitem_rgb(spark, sf_dir).select("l_orderkey", "l_linenumber", prediction.paeth(F.col("r"), F.col("g"), F.col("b")).alias("predicted"))
 
 
-@query()
+@query(f"""with {BLOCK_SQL}, b(k, i, c) as (values {", ".join(f"({k}, {i}, {c!r})" for k, row in enumerate(transforms.dct_basis(8)) for i, c in enumerate(row))})
+select vec_id, cast(p.k * 8 + q.k as integer) as k, round(sum(cast(v - 128 as double) * p.c * q.c), 6) + 0.0 as coefficient from es join b p on p.i = y join b q on q.i = x group by vec_id, p.k, q.k""")
 def dct8x8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocks.transform_8x8(rasters.embed_blocks(spark, sf_dir))
+    found = blocks.transform_8x8(rasters.embed_blocks(spark, sf_dir)).select("vec_id", F.posexplode("coefficients").alias("k", "coefficient"))
+    return found.select("vec_id", "k", (F.col("coefficient") + 0.0).alias("coefficient"))
 
 
 @query()

@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from pixelmill.functions import transforms
-from pixelmill.operators import blocks, frames, geometry, palette
-from pixelmill.sources import rasters, y4m
+from pixelmill.operators import blocks, frames, geometry, motion, palette, statistics
+from pixelmill.sources import ingest, rasters, y4m
 from pixelmill.streaming.key_frames import key_frames
 
 SF = "/root/testdata/sf0.001"
@@ -107,3 +107,59 @@ def test_y4m(spark, tmp_path):
     assert [(r["frame"], r["width"], r["height"], r["chroma"], bytes(r["planes"])) for r in rows] == [(i, 4, 4, "420", frame) for i in range(3)]
     with pytest.raises(ValueError):
         list(y4m.parse(b"RIFF"))
+
+
+def test_ingest_round_trip(spark):
+    images = spark.createDataFrame([(1, [10, 20, 30, 40, 11, 21, 31, 41], [1, 2, 3, 4, 5, 6])], "vec_id long, rgba array<int>, gray array<int>")
+    row = ingest.interleaved(ingest.deinterleaved(images, "rgba", "rgba")).first()
+    assert (row["r"], row["g"], row["b"], row["a"], row["rgb"]) == ([10, 11], [20, 21], [30, 31], [40, 41], [10, 20, 30, 11, 21, 31])
+    row = ingest.deinterleaved(images.drop("g"), "gray", "ga").first()
+    assert (row["g"], row["a"]) == ([1, 3, 5], [2, 4, 6])
+
+
+def test_bad_images_stay_with_their_error(spark):
+    rows = [(4, 3, 50, 12, 4, None), (4, 3, 0, 12, 4, "quality"), (0, 3, 50, 0, 0, "dimensions"), (16384, 1, 50, 16384, 8192, "dimensions"), (4, 3, 50, 11, 4, "luma"), (5, 3, 50, 15, 4, "chroma"), (5, 3, 50, 15, 6, None)]
+    found = ingest.checked(spark.createDataFrame(rows, "width int, height int, quality int, luma_samples long, chroma_samples long, want string"), "420").collect()
+    assert [r["error"] for r in found] == [r["want"] for r in found]
+
+
+def test_weighted_error_of_a_flat_block_is_its_dc(spark):
+    rows = spark.createDataFrame([(1, [3] * 64)], "vec_id long, d array<long>")
+    assert statistics.weighted_sse(rows).first()["wsse"] == pytest.approx(64 * 9 * 1.8 / 0.4625)
+
+
+def test_motion_search_finds_a_shift(spark):
+    rng = np.random.default_rng(1)
+    wide = rng.integers(0, 256, (10, 10))
+    frames_ = [(0, wide[1:9, 1:9].ravel().tolist()), (1, wide[2:10, 0:8].ravel().tolist())]
+    assert tuple(motion.exhaustive(spark.createDataFrame(frames_, "frame long, samples array<int>"), 8, 2, 4, 2, 1).first())[:3] == (1, 1, -1)
+
+
+def test_ring_restarts_at_keys(spark):
+    rows = spark.range(10).selectExpr("id as frame", "id div 5 as gop")
+    found = {(r["frame"], r["place"]): (r["ref"], r["ref_slot"]) for r in motion.slots(rows).collect()}
+    assert not any(f in (0, 5) for f, _ in found) and found[4, 1] == (3, 0) and found[4, 3] == (1, 1) and found[6, 1] == (5, 0) and (6, 2) not in found
+
+
+def test_entry_hides_no_broken_import(monkeypatch):
+    import builtins
+    import importlib
+    import sys
+
+    import __spark_entry__ as entry
+
+    real = builtins.__import__
+
+    def broken(name, *args, **kwargs):
+        if name == "xxhash":
+            raise ModuleNotFoundError("No module named 'xxhash'", name="xxhash")
+        return real(name, *args, **kwargs)
+
+    if importlib.util.find_spec("pixelmill.llm"):
+        gone = {k: sys.modules.pop(k) for k in list(sys.modules) if k.startswith("pixelmill.llm") or k in ("xxhash", "corpus_pipeline")}
+        monkeypatch.setattr(builtins, "__import__", broken)
+        with pytest.raises(ModuleNotFoundError, match="xxhash"):
+            importlib.reload(entry)
+        monkeypatch.setattr(builtins, "__import__", real)
+        sys.modules.update(gone)
+        importlib.reload(entry)
