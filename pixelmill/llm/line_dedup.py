@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from pixelmill.llm.common import free_names, slices, small, written
 from pixelmill.llm.components import with_roots
-from pixelmill.llm.linking import linked
+from pixelmill.llm.linking import linked, shared_keys
 from pixelmill.llm.minhash import mixed, permutations
 
 BANDS = 10
@@ -188,8 +188,7 @@ def line_components(docs: DataFrame, min_words: int = MIN_WORDS, percent: int =
     distinct = sketches(docs, min_words, chars, bands, rows).groupBy("line_id").agg(F.min(place).alias("first"), F.sum("times").alias("times"), F.first("keys").alias("keys"))
     distinct = written(distinct.withColumn("v", F.monotonically_increasing_id()), "distinct")  # short numbers, fixed by the written table
     postings = distinct.select("v", F.lit(0).alias("n"), F.explode("keys").alias("key"))
-    met = postings.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    met = written(postings.join(met, "key"), "met")
+    met = written(postings.join(small(written(shared_keys(distinct, "keys"), "shared")), "key"), "met")
     postings = written(met.join(met.groupBy("v").agg(F.sum(F.log2("df")).alias("w")), "v").select("key", "v", "n", "w"), "postings")
     ids = written(distinct.select("line_id", "v").join(postings.select("v"), "v", "left_semi"), "ids")
     lines = written(line_texts(docs, ids, min_words), "lines")

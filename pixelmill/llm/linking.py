@@ -34,12 +34,67 @@ from pyspark.sql import functions as F
 from pixelmill.llm.common import slices, small, written
 from pixelmill.llm.components import stars
 
+#: Keys that a task holds at once, and about as many fall into a bucket, when keys are counted.
+HELD_KEYS = 1 << 21
 #: Vertices of a key that are compared pair by pair.
 SHORT = 8
 #: Bytes of sets, the leader's counted with each, that a block of step 4 holds about.
 BLOCK_BYTES = 8 << 20
 
 
+def counted(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and the sums of their counts."""
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    return keys[starts], np.add.reduceat(counts, starts) if len(keys) else counts
+
+
+def shared_keys(lists: DataFrame, keys: str, held: int = HELD_KEYS) -> DataFrame:
+    """(key, df) of the keys that stand more than once in the lists, a (written) table's column of array<long>.
+
+    Keys are hashes, most of which stand once, so rows of one key and a count would be costly: every task sums up what
+    it reads and sends a bucket's keys as one value, and so a hot key is one entry for each task. Null lists and keys count
+    as none.
+    """
+    lists = lists.select(F.filter(keys, lambda k: k.isNotNull()).alias("keys")).where(F.size("keys") > 0)
+    buckets = lists.agg(F.ceil(F.sum(F.size("keys")) / held)).first()[0] or 1
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
+        for b in batches:
+            parts.append(b["keys"].flatten().to_numpy().view(np.uint64))
+            size += len(parts[-1])
+            if size >= held:
+                yield dealt(np.concatenate(parts))
+                parts, size = [], 0
+        if size:
+            yield dealt(np.concatenate(parts))
+
+    def dealt(found: np.ndarray) -> pa.RecordBatch:
+        found, counts = np.unique(found, return_counts=True)
+        bucket = (found >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+        cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        ends = [*cuts[1:].tolist(), len(found)]
+        each = [(found[i:j].tobytes(), counts[i:j].tobytes()) for i, j in zip(cuts.tolist(), ends, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cuts].astype(np.int64)), pa.array([x for x, _ in each], pa.binary()), pa.array([x for _, x in each], pa.binary())], ["bucket", "keys", "counts"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, size = [], [], 0
+        for b in batches:
+            keys += [np.frombuffer(x, np.uint64) for x in b["keys"].to_pylist()]
+            counts += [np.frombuffer(x, np.int64) for x in b["counts"].to_pylist()]
+            size += sum(map(len, keys[-b.num_rows :]))
+            if size >= 2 * held:
+                keys, counts = map(list, zip(counted(np.concatenate(keys), np.concatenate(counts)), strict=True))
+                size = 0  # of what came since
+        found, df = counted(np.concatenate(keys), np.concatenate(counts))
+        yield pa.RecordBatch.from_arrays([pa.array(found[df > 1].view(np.int64)), pa.array(df[df > 1])], ["key", "df"])
+
+    dealt_keys = lists.mapInArrow(deal, "bucket long, keys binary, counts binary")
+    return dealt_keys.groupBy("bucket").applyInArrow(count, "key long, df long")
+
+
 def pairs_of(ends: DataFrame) -> DataFrame:
     """(a, b), a < b, each once, of (v, leader)."""
     return ends.select(F.least("v", "leader").alias("a"), F.greatest("v", "leader").alias("b")).distinct()
