@@ -54,32 +54,36 @@ def windows(data: bytes, chars: int) -> np.ndarray:
 
 def char_shingles(line: bytes, chars: int) -> np.ndarray:
     """Sorted distinct shingles; one, the line itself, where it is no longer."""
-    return np.unique(windows(line.ljust(chars, b"\0"), chars))
+    x = np.sort(windows(line.ljust(chars, b"\0"), chars))
+    new = np.empty(len(x), bool)
+    new[0] = True
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x[new]
 
 
-def line_signatures(lines: list[bytes], count: int, chars: int, part: int = 1 << 15) -> np.ndarray:
-    """MinHash signatures: minima over each line's stretch of the joined shingles, taken in parts that stay in a cache."""
+def line_signatures(lines: list[bytes], count: int, chars: int, part: int = 1 << 17) -> np.ndarray:
+    """MinHash signatures: minima over each line's stretch of the joined shingles, in parts that stay in a cache."""
     out = np.empty((count, len(lines)), np.uint32)
-    if lines:
-        padded = [x.ljust(chars, b"\0") for x in lines]
-        sizes = np.array([len(x) for x in padded])
-        ends = np.cumsum(sizes)
-        inside = np.ones(ends[-1], bool)
+    if not lines:
+        return out.T
+    padded = [x.ljust(chars, b"\0") for x in lines]
+    sizes = np.array([len(x) for x in padded])
+    ends = np.cumsum(sizes)
+    a, b = permutations(count)
+    at = 0
+    while at < len(lines):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + part)))
+        size = sizes[at:to]
+        inside = np.ones(size.sum(), bool)
         for k in range(1, chars):  # shingles that reach over a line's end
-            inside[ends - k] = False
-        h = (mixed(windows(b"".join(padded), chars)[inside[: ends[-1] - chars + 1]]) >> np.uint64(32)).astype(np.uint32)
-        a, b = permutations(count)
-        starts = np.cumsum(sizes - chars + 1) - (sizes - chars + 1)
-        at = 0
-        while at < len(lines):
-            to = max(at + 1, int(np.searchsorted(starts, starts[at] + part)))
-            x = h[starts[at] : starts[to] if to < len(lines) else len(h)]
-            cuts, y = starts[at:to] - starts[at], np.empty(len(x), np.uint32)
-            for k in range(count):
-                np.multiply(x, a[k], out=y)
-                np.add(y, b[k], out=y)
-                out[k, at:to] = np.minimum.reduceat(y, cuts)
-            at = to
+            inside[np.cumsum(size) - k] = False
+        x = (mixed(windows(b"".join(padded[at:to]), chars)[inside[: len(inside) - chars + 1]]) >> np.uint64(32)).astype(np.uint32)
+        cuts, y = np.cumsum(size - chars + 1) - (size - chars + 1), np.empty_like(x)
+        for k in range(count):
+            np.multiply(x, a[k], out=y)
+            np.add(y, b[k], out=y)
+            np.minimum.reduceat(y, cuts, out=out[k, at:to])
+        at = to
     return out.T
 
 

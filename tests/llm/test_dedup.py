@@ -194,3 +194,16 @@ def test_linked_without_postings(spark):
     none = spark.createDataFrame([], "key long, v long, n long, w double")
     pairs, sets = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "v long, s binary")
     assert linking.linked(none, lambda _: pairs, lambda _: sets, 80).count() == 0
+
+
+def test_shared_keys(spark):
+    """Counts of keys over buckets and tasks, with a key that stands in most lists."""
+    rng = random.Random(5)
+    lists = [[rng.randrange(-(2**63), 2**63) if rng.random() < 0.5 else rng.randrange(-(10**3), 10**3), 7, None] for _ in range(3000)] + [None, [], [7, 7]]
+    want = {}
+    for x in (x for some in lists for x in some or [] if x is not None):
+        want[x] = want.get(x, 0) + 1
+    rows = spark.createDataFrame([(x,) for x in lists], "keys array<long>").repartition(7)
+    for held in (100, 1 << 20):
+        assert {r["key"]: r["df"] for r in linking.shared_keys(rows, "keys", held).collect()} == {x: n for x, n in want.items() if n > 1}
+    assert linking.shared_keys(rows.where("false"), "keys").count() == 0
