@@ -191,10 +191,11 @@ def line_components(docs: DataFrame, min_words: int = MIN_WORDS, percent: int =
     place = F.struct("doc_id", "version", "line_no")
     distinct = sketches(docs, min_words, chars, bands, rows).groupBy("line_id").agg(F.min(place).alias("first"), F.sum("times").alias("times"), F.first("keys").alias("keys"))
     distinct = written(distinct.withColumn("v", F.monotonically_increasing_id()), "distinct")  # short numbers, fixed by the written table
-    postings = distinct.select("v", F.lit(0).alias("n"), F.explode("keys").alias("key"))
-    met = written(postings.join(small(written(shared_keys(distinct, "keys"), "shared")), "key"), "met")
-    postings = written(met.join(met.groupBy("v").agg(F.sum(F.log2("df")).alias("w")), "v").select("key", "v", "n", "w"), "postings")
-    ids = written(distinct.select("line_id", "v").join(postings.select("v"), "v", "left_semi"), "ids")
+    shared = small(written(shared_keys(distinct, "keys"), "shared"))
+    met = distinct.select("v", F.explode("keys").alias("key")).join(shared, "key").groupBy("v").agg(F.collect_list("key").alias("keys"), F.sum(F.log2("df")).alias("w"))
+    met = written(met, "met")  # a row for each line that shares a key, of at most its bands' keys
+    postings = met.select(F.explode("keys").alias("key"), "v", F.lit(0).alias("n"), "w")
+    ids = written(distinct.select("line_id", "v").join(met.select("v"), "v", "left_semi"), "ids")
     lines = written(line_texts(docs, ids, min_words), "lines")
     comps = written(with_roots(linked(postings, lambda pairs: confirmed(pairs, lines, chars, percent), lambda wanted: shingle_sets(lines.join(wanted, "v", "left_semi"), chars), percent, sized=False)), "linked")
     # only lines that stand more than once, or are linked, can give way to another

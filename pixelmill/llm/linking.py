@@ -132,7 +132,7 @@ def linked(postings: DataFrame, confirm: Callable[[DataFrame], DataFrame], eleme
     comps = joined(comps, written(confirm(written(others.join(tried, ["a", "b"], "left_anti"), "pairs")), "links"))
 
     own = written(with_components(near.select("key", "size", "v", "n", "leader"), comps), "postings")
-    mixed = own.where("comp <> leader_comp").select("key").distinct()
+    mixed = small(written(own.where("comp <> leader_comp").select("key").distinct(), "mixed"))
     rest = written(own.join(mixed, "key", "left_semi").where("v <> leader"), "rest")  # with the leader, all have been compared that can be like it
     short = rest.where(F.col("size") <= SHORT)
     one = short.select("key", F.col("v").alias("x"), F.col("n").alias("x_n"), F.col("comp").alias("x_comp"))
