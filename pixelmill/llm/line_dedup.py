@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelmill.llm.common import free_names, slices, small, written
+from pixelmill.llm.common import BROADCAST_ROWS, free_names, slices, small, written
 from pixelmill.llm.components import with_roots
 from pixelmill.llm.linking import linked, shared_keys
 from pixelmill.llm.minhash import mixed, permutations
@@ -179,6 +179,9 @@ def confirmed(pairs: DataFrame, lines: DataFrame, chars: int, percent: int) -> D
                 keep.append(min(len(x), len(y)) * (100 + percent) >= least and len(np.intersect1d(x, y, assume_unique=True)) * (100 + percent) >= least)
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("v"))
+    if ends.count() <= BROADCAST_ROWS:  # else most lines are wanted, or a filter would be a shuffle of its own
+        lines = lines.join(F.broadcast(ends), "v", "left_semi")
     both = pairs.join(lines.toDF("a", "x"), "a").join(lines.toDF("b", "y"), "b")
     return both.mapInArrow(compare, "a long, b long")
 
