@@ -202,7 +202,7 @@ def line_components(docs: DataFrame, min_words: int = MIN_WORDS, percent: int =
     lines = written(line_texts(docs, ids, min_words), "lines")
     comps = written(with_roots(linked(postings, lambda pairs: confirmed(pairs, lines, chars, percent), lambda wanted: shingle_sets(lines.join(wanted, "v", "left_semi"), chars), percent, sized=False)), "linked")
     # only lines that stand more than once, or are linked, can give way to another
-    of = distinct.select("line_id", "first", "times", "v").join(comps, "v", "left").where("times > 1 or comp is not null").withColumn("comp", F.coalesce("comp", "v"))
+    of = distinct.select("line_id", "first", "times", "v").join(small(comps), "v", "left").where("times > 1 or comp is not null").withColumn("comp", F.coalesce("comp", "v"))
     of = written(of, "components")
     best = of.join(small(written(of.groupBy("comp").agg(F.min("first").alias("kept_at")), "first")), "comp").select("line_id", "kept_at")
     found = places(docs, min_words).join(written(best, "best"), "line_id", "left").withColumn("kept_at", F.coalesce("kept_at", place))
