@@ -154,16 +154,6 @@ def version(docs: DataFrame) -> Column:
     return F.xxhash64(F.col("text").cast("string"))
 
 
-def shingle_sets(lines: DataFrame, chars: int) -> DataFrame:
-    """(v, s) of (v, line)."""
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([b["v"], pa.array([char_shingles(x, chars).tobytes() for x in b["line"].to_pylist()], pa.binary())], ["v", "s"])
-
-    return lines.select("v", "line").mapInArrow(read, "v long, s binary")
-
-
 def confirmed(pairs: DataFrame, lines: DataFrame, chars: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose lines' exact Jaccard similarity reaches the threshold; lines: (v, line)."""
 
@@ -200,7 +190,7 @@ def line_components(docs: DataFrame, min_words: int = MIN_WORDS, percent: int =
     postings = met.select(F.explode("keys").alias("key"), "v", F.lit(0).alias("n"), "w")
     ids = written(distinct.select("line_id", "v").join(met.select("v"), "v", "left_semi"), "ids")
     lines = written(line_texts(docs, ids, min_words), "lines")
-    comps = written(with_roots(linked(postings, lambda pairs: confirmed(pairs, lines, chars, percent), lambda wanted: shingle_sets(lines.join(wanted, "v", "left_semi"), chars), percent, sized=False)), "linked")
+    comps = written(with_roots(linked(postings, lambda pairs: confirmed(pairs, lines, chars, percent), lambda wanted: lines.join(small(wanted), "v", "left_semi").withColumnRenamed("line", "s"), percent, sized=False, unpack=lambda line: char_shingles(line, chars), swell=8)), "linked")
     # only lines that stand more than once, or are linked, can give way to another
     of = distinct.select("line_id", "first", "times", "v").join(small(comps), "v", "left").where("times > 1 or comp is not null").withColumn("comp", F.coalesce("comp", "v"))
     of = written(of, "components")

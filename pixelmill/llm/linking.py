@@ -42,6 +42,10 @@ SHORT = 8
 BLOCK_BYTES = 8 << 20
 
 
+def unpacked(s: bytes) -> np.ndarray:
+    return np.frombuffer(s, np.uint64)
+
+
 def counted(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct keys in order, and the sums of their counts."""
     order = np.argsort(keys)
@@ -112,12 +116,13 @@ def joined(comps: DataFrame, links: DataFrame) -> DataFrame:
     return written(stars(comps.select(F.col("comp").alias("a"), F.col("v").alias("b")).unionAll(links.select("a", "b"))), "components")
 
 
-def linked(postings: DataFrame, confirm: Callable[[DataFrame], DataFrame], elements: Callable[[DataFrame], DataFrame], percent: int, sized: bool = True) -> DataFrame:
+def linked(postings: DataFrame, confirm: Callable[[DataFrame], DataFrame], elements: Callable[[DataFrame], DataFrame], percent: int, sized: bool = True, unpack: Callable[[bytes], np.ndarray] = unpacked, swell: int = 1) -> DataFrame:
     """(v, comp) of the vertices with links but the roots, as stars() gives them; linked are those whose sets have a
     Jaccard similarity of percent or more.
 
     postings: (key, v, n, w), v long; n is the size of v's set, or anything where not sized, w how central it is. confirm: the true links
-    among pairs (a, b), a < b. elements: the sets (v, s) of a table of v, s being sorted unsigned 64-bit numbers as bytes.
+    among pairs (a, b), a < b. elements: the sets (v, s) of a table of v; unpack makes sorted unsigned 64-bit numbers of s, at
+    most swell bytes for each byte of it.
     """
     like = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent if sized else F.lit(True)
     lead = postings.groupBy("key").agg(F.max(F.struct(F.round("w", 3).alias("w"), (-F.col("v")).alias("low"), "v", "n")).alias("hi"), F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -138,23 +143,23 @@ def linked(postings: DataFrame, confirm: Callable[[DataFrame], DataFrame], eleme
     one = short.select("key", F.col("v").alias("x"), F.col("n").alias("x_n"), F.col("comp").alias("x_comp"))
     pairs = one.join(short, "key").where("x_comp <> comp and x < v").where(like(F.col("x_n"), F.col("n"))).select(F.col("x").alias("a"), F.col("v").alias("b"))
     close = written(confirm(written(pairs.distinct(), "pairs")), "links")
-    far = written(apart(rest.where(F.col("size") > SHORT).select("leader", "leader_comp", "v", "comp").distinct(), elements, percent), "links")
+    far = written(apart(rest.where(F.col("size") > SHORT).select("leader", "leader_comp", "v", "comp").distinct(), elements, percent, unpack=unpack, swell=swell), "links")
     return joined(comps, close.unionAll(far))
 
 
-def apart(members: DataFrame, elements: Callable[[DataFrame], DataFrame], percent: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def apart(members: DataFrame, elements: Callable[[DataFrame], DataFrame], percent: int, block_bytes: int = BLOCK_BYTES, unpack: Callable[[bytes], np.ndarray] = unpacked, swell: int = 1) -> DataFrame:
     """True links (a, b) that join what can be joined of the members (leader, leader_comp, v, comp) of each leader.
 
     Strays, which aren't in the leader's component, are compared with all members of other components than their own.
     """
     members = written(members, "members")
     sets = written(elements(written(members.select(F.explode(F.array("leader", "v")).alias("v")).distinct(), "wanted")), "sets")
-    size = sets.groupBy("v").agg(F.sum(F.octet_length("s")).alias("bytes"))
+    size = sets.groupBy("v").agg(F.sum(F.octet_length("s") * swell).alias("bytes"))
     sizes = members.join(size, "v").join(size.toDF("leader", "leader_bytes"), "leader", "left")
     blocks = written(sizes.groupBy("leader").agg(F.ceil((F.sum("bytes") + F.count(F.lit(1)) * F.max(F.coalesce("leader_bytes", F.lit(0)))) / block_bytes).alias("blocks")), "blocks")
     dealt = members.join(small(blocks), "leader").select("leader", F.pmod(F.xxhash64("v"), "blocks").alias("block"), "blocks", "v", "comp", (F.col("comp") != F.col("leader_comp")).alias("stray"))
     leads = blocks.select("leader", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "blocks", F.col("leader").alias("v"), F.lit(None).cast("long").alias("comp"), F.lit(False).alias("stray"))
-    packed = written(dealt.unionAll(leads).join(sets, "v").groupBy("leader", "block", "blocks").applyInArrow(pack, PACKED), "blocks")
+    packed = written(dealt.unionAll(leads).join(sets, "v").groupBy("leader", "block", "blocks").applyInArrow(lambda key, rows: pack(key, rows, unpack), PACKED), "blocks")
     # a block of strays meets every block of its leader, each pair of blocks in a task of its own
     numbers = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     queries = packed.where("strays").select("leader", F.col("block").alias("q"), numbers.alias("m"), *[F.col(c).alias(f"q_{c}") for c in PARTS])
@@ -173,13 +178,14 @@ PARTS = ("vs", "comps", "ns", "ds", "elements")
 PACKED = "leader long, block long, blocks long, strays boolean, " + ", ".join(f"{c} binary" for c in PARTS)
 
 
-def pack(key: tuple, rows: pa.Table) -> pa.Table:
+def pack(key: tuple, rows: pa.Table, unpack: Callable[[bytes], np.ndarray]) -> pa.Table:
     """A block's members as one row and, if it has strays, these as another."""
     leader = key[0].as_py()
-    sets = [np.frombuffer(s, np.uint64) for s in rows["s"].to_pylist()]
+    raw = rows["s"].to_pylist()
+    sets = [unpack(s) for s in raw]
     vs, comps, stray = rows["v"].to_pylist(), rows["comp"].to_pylist(), rows["stray"].to_pylist()
-    base = min((s.tobytes() for s, c in zip(sets, comps, strict=True) if c is None), default=b"")  # any set serves that all blocks share
-    base = np.frombuffer(base, np.uint64)
+    base = min((s for s, c in zip(raw, comps, strict=True) if c is None), default=None)  # any set serves that all blocks share
+    base = np.empty(0, np.uint64) if base is None else unpack(base)
     out: dict[str, list] = {c.split()[0]: [] for c in PACKED.split(", ")}
     for strays in (False, True):
         at = [i for i in sorted(range(len(vs)), key=vs.__getitem__) if comps[i] is not None and (stray[i] or not strays)]
