@@ -207,3 +207,18 @@ def test_shared_keys(spark):
     for held in (100, 1 << 20):
         assert {r["key"]: r["df"] for r in linking.shared_keys(rows, "keys", held).collect()} == {x: n for x, n in want.items() if n > 1}
     assert linking.shared_keys(rows.where("false"), "keys").count() == 0
+
+
+def test_blocks_of_lines_are_cut_where_they_are_compared(spark):
+    """Fifty lines of one group as strays of one leader, their shingles unpacked in the blocks."""
+    text = "the quick brown fox jumps over the lazy dog and then sleeps for a very long while "
+    lines = [(v, f"{text}{text}{v:03d}".encode()) for v in range(50)] + [(50, b"x")]
+    table = spark.createDataFrame(lines, "v long, s binary")
+    members = spark.createDataFrame([(0, 0, v, v) for v in range(51)], "leader long, leader_comp long, v long, comp long")
+    for block_bytes in (1 << 20, 1 << 13):
+        links = linking.apart(members, lambda ids: table.join(ids, "v", "left_semi"), 80, block_bytes, lambda s: line_dedup.char_shingles(s, 5), 8).collect()
+        seen, todo = set(), {0}
+        while todo:
+            seen |= todo
+            todo = {y for r in links for x, y in ((r["a"], r["b"]), (r["b"], r["a"])) if x in seen} - seen
+        assert seen == set(range(50))
