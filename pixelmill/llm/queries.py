@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelmill.llm import archives, line_dedup, minhash, mixing, packing, quality_rules, rule_ensemble, secrets, topk, url_templates
+from pixelmill.llm import archives, line_dedup, minhash, mixing, packing, periodic_runs, quality_rules, rule_ensemble, secrets, topk, url_templates
 from pixelmill.llm.common import table, work_dir, written
 
 
@@ -81,6 +81,10 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.measure(table(spark, sf_dir, "documents"), rewrite=periodic_runs.planted)
+
+
 OP4_SQL = """
 with p as (
   select page_id, cast(octet_length(encode(coalesce(html, ''))) as bigint) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages
@@ -107,7 +111,7 @@ select query_id, rank, vec_id, score from r where rank <= 10
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_rule_ensemble, op2_url_templates, op3_mixing, op4_archives, op5_topk, op6_secrets, op7_line_dedup, op8_packing, op9_quality_rules, op10_minhash)}
+    return {f.__name__: f for f in (op1_rule_ensemble, op2_url_templates, op3_mixing, op4_archives, op5_topk, op6_secrets, op7_line_dedup, op8_packing, op9_quality_rules, op10_minhash, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
