@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of an Arrow batch that Python works on at once; one row may be longer.
@@ -69,3 +69,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """The (written) table with a broadcast hint if it is counted to be small; a larger one is joined by shuffle."""
     return F.broadcast(df) if df.count() <= rows else df
+
+
+def heavy_and_light(rows: DataFrame, groups: DataFrame, key: str, weight: Column, total: int, parts: int = 10_000) -> DataFrame:
+    """rows, left-joined with the (written) groups by key; no task gets much more than total / parts rows of one key.
+
+    weight: how many rows have a group's key. Groups of more than total / parts rows (so fewer than `parts`) are
+    broadcast; the rows of all others are shuffled. A null key matches nothing and isn't shuffled.
+    """
+    (heavy,) = free_names(rows.join(groups.limit(0), key), "heavy")
+    big = groups.where(weight * parts > total).withColumn(heavy, F.lit(True))
+    found = rows.join(F.broadcast(big), key, "left")
+    done = found.where(F.col(heavy).isNotNull() | F.col(key).isNull()).drop(heavy)
+    rest = found.where(F.col(heavy).isNull() & F.col(key).isNotNull()).select(*rows.columns)
+    return done.unionByName(rest.join(groups.where(weight * parts <= total), key, "left"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelmill.llm import archives, line_dedup, minhash, mixing, packing, periodic_runs, quality_rules, rule_ensemble, secrets, topk, url_templates
+from pixelmill.llm import archives, exact_dedup, line_dedup, minhash, mixing, packing, periodic_runs, quality_rules, rule_ensemble, secrets, topk, url_templates
 from pixelmill.llm.common import table, work_dir, written
 
 
@@ -81,6 +81,10 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
 
 
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), in_files=True)
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.measure(table(spark, sf_dir, "documents"), rewrite=periodic_runs.planted)
 
@@ -109,10 +113,17 @@ with v as (
 select query_id, rank, vec_id, score from r where rank <= 10
 """
 
+OP12_SQL = """
+with t as (select doc_id, coalesce(text, '') as text from documents), r as (
+  select *, count(*) over (partition by text) as n, row_number() over (partition by text order by doc_id desc nulls last) as place from t
+)
+select doc_id, max(doc_id) over (partition by text) as keep_id, n as group_size, place = 1 as kept, sha256(text) as text_sha256 from r
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_rule_ensemble, op2_url_templates, op3_mixing, op4_archives, op5_topk, op6_secrets, op7_line_dedup, op8_packing, op9_quality_rules, op10_minhash, op13_periodic_runs)}
+    return {f.__name__: f for f in (op1_rule_ensemble, op2_url_templates, op3_mixing, op4_archives, op5_topk, op6_secrets, op7_line_dedup, op8_packing, op9_quality_rules, op10_minhash, op12_exact_dedup, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_archives": OP4_SQL, "op5_topk": OP5_SQL}
+    return {"op4_archives": OP4_SQL, "op5_topk": OP5_SQL, "op12_exact_dedup": OP12_SQL}
