@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelmill.llm import archives, exact_dedup, line_dedup, minhash, mixing, packing, periodic_runs, quality_rules, rule_ensemble, secrets, topk, url_templates
+from pixelmill.llm import archives, exact_dedup, filter_audit, line_dedup, minhash, mixing, packing, periodic_runs, quality_rules, rule_ensemble, secrets, topk, url_templates
 from pixelmill.llm.common import table, work_dir, written
 
 
@@ -81,6 +81,10 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), in_files=True)
 
@@ -113,6 +117,33 @@ with v as (
 select query_id, rank, vec_id, score from r where rank <= 10
 """
 
+OP11_SQL = r"""
+with d as (
+  select doc_id, coalesce(source, '') as part, coalesce(text, '') as text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as words from documents
+), g as (
+  select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by 1
+), f as (
+  select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic,
+    (len(words) < 200)::int + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::int + 4 * (100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 2 * length(text))::int
+    + 8 * (regexp_matches(text, '[#$%&*|]'))::int + 16 * coalesce(doc_id > min(doc_id) over (partition by text), false)::int as fails
+  from d left join g using (doc_id)
+), n as (
+  select part, fails, count(*) as n, sum(good) as good, sum(toxic) as toxic from f group by 1, 2
+), l(l) as (values ('A'), ('B'), ('C'), ('D'), ('E')), o as (
+  select a.l || b.l || c.l || d.l || e.l as filter_order from l a, l b, l c, l d, l e
+  where a.l not in (b.l, c.l, d.l, e.l) and b.l not in (c.l, d.l, e.l) and c.l not in (d.l, e.l) and d.l <> e.l
+), s as (
+  select filter_order, cast(step as integer) as step, 1 << (ascii(substr(filter_order, step, 1)) - 65) as bit,
+    cast(list_sum(list_prepend(0, list_transform(range(1, step), lambda i: 1 << (ascii(substr(filter_order, i, 1)) - 65)))) as integer) as before
+  from o, range(1, 6) r(step)
+)
+select part, filter_order, step, cast(sum(case when fails & (before | bit) = 0 then n else 0 end) as bigint) as kept,
+  cast(sum(case when fails & bit <> 0 and fails & before = 0 then n else 0 end) as bigint) as removed, cast(sum(case when fails & bit <> 0 and fails & before <> 0 then n else 0 end) as bigint) as redundant,
+  cast(sum(case when fails = bit then n else 0 end) as bigint) as unique_fails, cast(sum(case when fails & bit <> 0 and fails & before = 0 then good else 0 end) as bigint) as good_lost,
+  cast(sum(case when fails & bit <> 0 and fails & before = 0 then toxic else 0 end) as bigint) as toxic_lost, cast(sum(case when fails & bit <> 0 then n * (120 // bit_count(fails)) else 0 end) as bigint) as shapley
+from n, s group by 1, 2, 3
+"""
+
 OP12_SQL = """
 with t as (select doc_id, coalesce(text, '') as text from documents), r as (
   select *, count(*) over (partition by text) as n, row_number() over (partition by text order by doc_id desc nulls last) as place from t
@@ -122,8 +153,8 @@ select doc_id, max(doc_id) over (partition by text) as keep_id, n as group_size,
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_rule_ensemble, op2_url_templates, op3_mixing, op4_archives, op5_topk, op6_secrets, op7_line_dedup, op8_packing, op9_quality_rules, op10_minhash, op12_exact_dedup, op13_periodic_runs)}
+    return {f.__name__: f for f in (op1_rule_ensemble, op2_url_templates, op3_mixing, op4_archives, op5_topk, op6_secrets, op7_line_dedup, op8_packing, op9_quality_rules, op10_minhash, op11_filter_audit, op12_exact_dedup, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_archives": OP4_SQL, "op5_topk": OP5_SQL, "op12_exact_dedup": OP12_SQL}
+    return {"op4_archives": OP4_SQL, "op5_topk": OP5_SQL, "op11_filter_audit": OP11_SQL, "op12_exact_dedup": OP12_SQL}
