@@ -2,27 +2,31 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pixelmill.functions import laws
+from pixelmill.operators import compensation
 
 
 def exhaustive(frames: DataFrame, width: int, at: int, size: int, reach: int, weight: int) -> DataFrame:
     """(frame, dy, dx, cost): the displacement of least SAD and motion cost of a block (size high and wide, from (at, at)).
 
-    Each sample of the block is sent to where it would lie under every displacement and meets the frame before there:
-    a range join as an equi-join, spread over frames and places. Ties go to the smaller dy, then dx.
+    A frame meets the one before once, a row each, and all displacements that stay inside it are tried in Arrow
+    batches. Ties go to the smaller dy, then dx.
     """
-    samples = frames.select("frame", F.posexplode("samples").alias("i", "v")).select("frame", F.expr(f"cast(i div {width} as int)").alias("y"), F.expr(f"cast(i % {width} as int)").alias("x"), "v")
-    steps = F.sequence(F.lit(-reach), F.lit(reach))
-    block = samples.where(F.col("y").between(at, at + size - 1) & F.col("x").between(at, at + size - 1))
-    sent = block.withColumn("dy", F.explode(steps)).withColumn("dx", F.explode(steps)).select((F.col("frame") - 1).alias("frame"), (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"), "dy", "dx", F.col("v").alias("own"))
-    sads = sent.join(samples, ["frame", "y", "x"]).groupBy((F.col("frame") + 1).alias("frame"), "dy", "dx").agg(F.sum(F.abs(F.col("own") - F.col("v"))).alias("sad"), F.count(F.lit(1)).alias("n")).where(F.col("n") == size * size)
-    cost = F.col("sad") + laws.motion_cost(F.col("dy"), F.col("dx"), weight)
-    best = sads.groupBy("frame").agg(F.min(F.struct(cost.alias("cost"), "dy", "dx")).alias("m"))
-    return best.select("frame", "m.dy", "m.dx", F.col("m.cost").cast("long").alias("cost"))
+    steps = [(dy, dx) for dy in range(-reach, reach + 1) for dx in range(-reach, reach + 1) if min(dy, dx) >= -at and max(dy, dx) + at + size <= width]
+
+    def work(samples: np.ndarray, before: np.ndarray) -> dict[str, np.ndarray]:
+        part = lambda planes, dy, dx: planes[:, at + dy : at + dy + size, at + dx : at + dx + size]
+        sads = np.stack([np.abs(part(samples, 0, 0) - part(before, *s)).sum((1, 2)) for s in steps], 1)
+        costs = sads + compensation.vector_cost(np.array(steps), weight)
+        best = np.array(steps)[costs.argmin(1)]
+        return {"of": np.arange(len(best)), "dy": best[:, 0], "dx": best[:, 1], "cost": costs.min(1)}
+
+    pairs = compensation.pairs(frames.withColumn("stream", F.lit(0)))
+    return compensation.batched(pairs, width, width, work, "frame long, dy int, dx int, cost long", ("frame",))
 
 
 def slots(frames: DataFrame, ring: int = 3) -> DataFrame:

@@ -43,7 +43,20 @@ def block_samples(blocks: DataFrame, width: int = 8) -> DataFrame:
 
 
 def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(frame, samples): 64 events in order make a frame; a short last frame is dropped."""
+    """(frame, samples): 64 events in order make a frame; frames with other than 64 events (a short last one, or one with a gap) are dropped."""
     rows = table(spark, sf_dir, "events").select(F.expr("event_id div 64").alias("frame"), F.struct((F.col("event_id") % 64).alias("i"), F.expr("cast(floor(value) % 256 as int)").alias("v")).alias("s"))
     frames = rows.groupBy("frame").agg(F.array_sort(F.collect_list("s")).alias("s"))
     return frames.where(F.size("s") == 64).select("frame", F.col("s.v").alias("samples"))
+
+
+def pan_frames(spark: SparkSession, sf_dir: str, size: int = 32, frames: int = 5) -> DataFrame:
+    """(stream, frame, samples): a view of size x size samples that moves over strips of 40 vectors of 64 components.
+
+    From frame to frame it moves down by two rows, and right by two and a half columns: between columns, the rounded
+    mean of both is seen. A last strip of fewer vectors is left out.
+    """
+    rows = embed_blocks(spark, sf_dir).select(F.expr("vec_id div 40").alias("stream"), F.struct((F.col("vec_id") % 40).alias("r"), "block").alias("row"))
+    strips = rows.groupBy("stream").agg(F.array_sort(F.collect_list("row")).alias("rows")).where(F.size("rows") == 40)
+    seen = strips.select("stream", F.flatten("rows.block").alias("plane"), F.explode(F.sequence(F.lit(0), F.lit(frames - 1))).alias("t"))
+    at = f"plane[(i div {size} + 2 * t) * 64 + i % {size} + (5 * t) div 2"
+    return seen.select("stream", F.col("t").cast("long").alias("frame"), F.expr(f"transform(sequence(0, {size * size - 1}), i -> if(t % 2 = 0, {at}], ({at}] + {at} + 1] + 1) >> 1))").alias("samples"))
