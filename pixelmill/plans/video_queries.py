@@ -34,17 +34,17 @@ def pan_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compensation.pairs(rasters.pan_frames(spark, sf_dir, SIDE))
 
 
-TAPS_SQL = "taps(phase, k, c) as (values " + ", ".join(f"({p}, {k}, {c})" for p, row in enumerate(compensation.TAPS.tolist()) for k, c in enumerate(row)) + ")"
+CLAMPED = f"greatest(0, least({SIDE - 1}, %s))"
+TAPS_SQL = f"taps as (select {compensation.TAPS.tolist()} as taps)"
 
 
-@query(f"""with {PAN_SQL}, {TAPS_SQL}, b as (
-  select stream, frame, 8 * by_ as y0, 8 * bx_ as x0, (21 * by_ + 8 * bx_) % 49 - 24 as mr, (8 * by_ + 24 * bx_ + 5) % 49 - 24 as mc from (select distinct stream, frame from pan where frame > 0), range(4) r(by_), range(4) c(bx_)
-), h as (
-  select b.*, i, j, (cast(sum(c * v) as bigint) + 4) >> 3 as s
-  from b, range(-3, 12) r(i), range(8) q(j), taps, pan p
-  where phase = (mc & 7) * 2 and p.stream = b.stream and p.frame = b.frame - 1 and p.y = greatest(0, least({SIDE - 1}, y0 + (mr >> 3) + i)) and p.x = greatest(0, least({SIDE - 1}, x0 + (mc >> 3) + j + k - 3)) group by all
-) select stream, frame, cast(y0 + r.y as integer) as y, cast(x0 + j as integer) as x, cast(greatest(0, least(255, (cast(sum(c * s) as bigint) + 1024) >> 11)) as integer) as predicted
-from h, range(8) r(y), taps where phase = (mr & 7) * 2 and i = r.y + k - 3 group by stream, frame, y0, x0, r.y, j""")
+@query(f"""with {PAN_SQL}, {TAPS_SQL}, planes as (select stream, frame + 1 as frame, list(v order by y, x) as p from pan group by 1, 2), b as (
+  select stream, frame, p, taps, 8 * by_ as y0, 8 * bx_ as x0, (21 * by_ + 8 * bx_) % 49 - 24 as mr, (8 * by_ + 24 * bx_ + 5) % 49 - 24 as mc from planes, taps, range(4) r(by_), range(4) c(bx_) where frame < 5
+), l as (
+  select stream, frame, taps, y0, x0, mr, j, list_transform(range(-3, 12), lambda i: (cast(list_sum(list_transform(range(8), lambda k:
+    taps[(mc & 7) * 2 + 1][k + 1] * p[{SIDE} * {CLAMPED % "y0 + (mr >> 3) + i"} + {CLAMPED % "x0 + (mc >> 3) + j + k - 3"} + 1])) as bigint) + 4) >> 3) as half from b, range(8) q(j)
+) select stream, frame, cast(y0 + i as integer) as y, cast(x0 + j as integer) as x,
+  cast(greatest(0, least(255, (cast(list_sum(list_transform(range(8), lambda k: taps[(mr & 7) * 2 + 1][k + 1] * half[i + k + 1])) as bigint) + 1024) >> 11)) as integer) as predicted from l, range(8) r(i)""")
 def motion_compensated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each 8x8 block of a frame, predicted from the frame before by a vector of eighths of a sample that its place decides."""
 

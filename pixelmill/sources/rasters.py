@@ -57,6 +57,7 @@ def pan_frames(spark: SparkSession, sf_dir: str, size: int = 32, frames: int = 5
     """
     rows = embed_blocks(spark, sf_dir).select(F.expr("vec_id div 40").alias("stream"), F.struct((F.col("vec_id") % 40).alias("r"), "block").alias("row"))
     strips = rows.groupBy("stream").agg(F.array_sort(F.collect_list("row")).alias("rows")).where(F.size("rows") == 40)
-    seen = strips.select("stream", F.flatten("rows.block").alias("plane"), F.explode(F.sequence(F.lit(0), F.lit(frames - 1))).alias("t"))
-    at = f"plane[(i div {size} + 2 * t) * 64 + i % {size} + (5 * t) div 2"
-    return seen.select("stream", F.col("t").cast("long").alias("frame"), F.expr(f"transform(sequence(0, {size * size - 1}), i -> if(t % 2 = 0, {at}], ({at}] + {at} + 1] + 1) >> 1))").alias("samples"))
+    seen = strips.select("stream", F.explode(F.sequence(F.lit(0), F.lit(frames - 1))).alias("t"), "rows")
+    part = lambda at: f"slice(row.block, (5 * t) div 2 + {at}, {size})"
+    view = f"flatten(transform(slice(rows, 2 * t + 1, {size}), row -> if(t % 2 = 0, {part(1)}, zip_with({part(1)}, {part(2)}, (a, b) -> (a + b + 1) >> 1))))"
+    return seen.select("stream", F.col("t").cast("long").alias("frame"), F.expr(view).alias("samples"))
