@@ -61,3 +61,13 @@ def pan_frames(spark: SparkSession, sf_dir: str, size: int = 32, frames: int = 5
     part = lambda at: f"slice(row.block, (5 * t) div 2 + {at}, {size})"
     view = f"flatten(transform(slice(rows, 2 * t + 1, {size}), row -> if(t % 2 = 0, {part(1)}, zip_with({part(1)}, {part(2)}, (a, b) -> (a + b + 1) >> 1))))"
     return seen.select("stream", F.col("t").cast("long").alias("frame"), F.expr(view).alias("samples"))
+
+
+def repeating_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image, height, width, samples): 40 rows of 64 samples that repeat every 12 rows and 20 columns.
+
+    An image is made of the first 12 of 40 vectors of 64 components; a last image of fewer is left out.
+    """
+    rows = embed_blocks(spark, sf_dir).where("vec_id % 40 < 12").select(F.expr("vec_id div 40").alias("image"), F.struct("vec_id", F.expr("transform(sequence(0, 63), x -> block[x % 20])").alias("line")).alias("row"))
+    images = rows.groupBy("image").agg(F.array_sort(F.collect_list("row")).alias("rows")).where(F.size("rows") == 12)
+    return images.select("image", F.lit(40).alias("height"), F.lit(64).alias("width"), F.expr("flatten(transform(sequence(0, 39), y -> rows[y % 12].line))").alias("samples"))
