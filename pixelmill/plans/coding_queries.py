@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelmill.operators import causal_copies, index_maps, palette
+from pixelmill.operators import causal_copies, directional, index_maps, integer_transforms, palette
 from pixelmill.plans.raster_queries import BLOCK_SQL, Plan, block_histogram
 from pixelmill.sources import rasters
 
@@ -40,3 +40,101 @@ def smoothed_palette_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     centres = palette.clustered(block_histogram(spark, sf_dir), "vec_id", 4)
     found = index_maps.smooth_maps(blocks.join(centres, "vec_id"), 8, weight=40)
     return found.select("vec_id", F.posexplode("indices").alias("i", "centre"))
+
+
+PLANES_SQL = f"{BLOCK_SQL}, planes as (select vec_id // 16 as image, flatten(list(block order by vec_id)) as p from eb group by 1 having count(*) = 16)"
+
+
+class Lane:
+    """A value in a SELECT: arithmetic on it adds an alias that later ones may use."""
+
+    def __init__(self, made: list[str], of: str) -> None:
+        self.made, self.name = made, f"t{len(made)}"
+        made.append(f"{of} as {self.name}")
+
+    def __add__(self, other: Lane) -> Lane:
+        return Lane(self.made, f"{self.name} + {other.name}")
+
+    def __sub__(self, other: Lane) -> Lane:
+        return Lane(self.made, f"{self.name} - {other.name}")
+
+
+def lanes_sql(n: int, source: str, keys: str) -> str:
+    made: list[str] = []
+    out = integer_transforms.forward_lanes([Lane(made, f"v[{i + 1}]") for i in range(n)], lambda x, w: Lane(made, f"(({x.name} * {w} + 32768) >> 16)"))
+    return f"select {keys}, [{', '.join(x.name for x in out)}] as v from (select *, {', '.join(made)} from {source})"
+
+
+def transform_sql(height: int, width: int, tag: str) -> str:
+    block = f"(y // {height}) * {32 // width} + x // {width}"
+    return f"""{tag}_columns as (select image, {block} as block, x % {width} as x, list(v order by y) as v from samples group by 1, 2, 3), {tag}_down as ({lanes_sql(height, f"{tag}_columns", "image, block, x")}),
+  {tag}_rows as (select image, block, k as y, list(v[k + 1] order by x) as v from {tag}_down, range({height}) g(k) group by 1, 2, 3), {tag}_across as ({lanes_sql(width, f"{tag}_rows", "image, block, y")}),
+  {tag}_found as (select image, {height} as height, {width} as width, cast(block as integer) as block, cast(y * {width} + k as integer) as i, cast((v[k + 1] * {integer_transforms.scale(height, width)} + 32768) >> 16 as integer) as coefficient from {tag}_across, range({width}) g(k))"""
+
+
+@query(f"""with {PLANES_SQL}, samples as (select image, k // 32 as y, k % 32 as x, p[k + 1] - 128 as v from planes, range(1024) g(k)), {transform_sql(8, 8, "square")}, {transform_sql(8, 16, "wide")}
+select * from square_found union all select * from wide_found""")
+def integer_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole-number transforms of 8x8 and 8x16 blocks of planes."""
+    planes = rasters.stacked_planes(spark, sf_dir).select("image", F.transform("samples", lambda v: v - 128).alias("samples"))
+    found = integer_transforms.coefficients(planes, 32, [(8, 8), (8, 16)])
+    return found.select("image", "height", "width", "block", F.posexplode("coefficients").alias("i", "coefficient"))
+
+
+@query()
+def integer_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of every block of every shape after forward and inverse transform; tested to be within two of the planes'."""
+    planes = rasters.stacked_planes(spark, sf_dir).select("image", F.transform("samples", lambda v: v - 128).alias("samples"))
+    shapes = [(h, w) for h in integer_transforms.SIDES for w in integer_transforms.SIDES if max(h, w) <= 4 * min(h, w)]
+    found = integer_transforms.round_trip(planes, 32, shapes)
+    return found.select("image", "height", "width", "block", F.posexplode("samples").alias("i", "sample"))
+
+
+def _upsampled(edge: str, n: str) -> str:
+    """An edge (list from the corner on) at half samples, as doubled() has it."""
+    at = lambda k: f"{edge}[greatest(1, least({n} + 1, i + {k})) :: int]"
+    return f"list_prepend({edge}[1], flatten(list_transform(range(0, {n}), lambda i: [greatest(0, least(255, (9 * ({at(1)} + {at(2)}) - {at(0)} - {at(3)} + 8) >> 4)), {edge}[i + 2]])))"
+
+
+def _filtered(edge: str, n: str) -> str:
+    return f"list_transform(range(0, 17), lambda i: case when i = 0 or i > {n} then {edge}[i + 1] else (4 * {edge}[i] + 8 * {edge}[i + 1] + 4 * {edge}[least(i + 1, {n}) + 1] + 8) >> 4 end)"
+
+
+def _ready(edge: str, from_: int, n: str) -> str:
+    return f"case when angle in (90, 180) then {edge} when abs(angle - {from_}) >= 40 then {_filtered(edge, n)} when abs(angle - {from_}) > 0 then {_upsampled(edge, n)} else {edge} end"
+
+
+def _between(edge: str, up: str, base: str, along: str) -> str:
+    share = f"((({along} << {up}) >> 1) & 31)"
+    return f"(({edge}[{base} + {up} + 2] * (32 - {share}) + {edge}[{base} + {up} + 3] * {share} + 16) >> 5)"
+
+
+@query(f"""with {PLANES_SQL}, steps(a, step) as (values {", ".join(f"({a}, {s})" for a, s in directional.STEPS.items())}), angles(angle) as (values {", ".join(f"({a})" for a in directional.ANGLES)}), b as (
+  select image, p, cast(by_ * 4 + bx_ as integer) as block, 8 * by_ as y0, 8 * bx_ as x0 from planes, range(4) r(by_), range(4) c(bx_)
+), e as (
+  select *, case when y0 > 0 and x0 > 0 then p[(y0 - 1) * 32 + x0] when x0 > 0 then p[y0 * 32 + x0] when y0 > 0 then p[(y0 - 1) * 32 + x0 + 1] else 128 end as corner from b
+), l as (
+  select image, p, block, y0, x0, list_prepend(corner, list_transform(range(16), lambda k: case when y0 > 0 then p[(y0 - 1) * 32 + least(31, x0 + k) + 1] when x0 > 0 then p[y0 * 32 + x0] else 127 end)) as above,
+    list_prepend(corner, list_transform(range(16), lambda k: case when x0 > 0 then p[least(31, y0 + k) * 32 + x0] when y0 > 0 then p[(y0 - 1) * 32 + x0 + 1] else 129 end)) as beside from e
+), n as (
+  select image, p, block, y0, x0, angle, {_ready("above", 90, "(case when angle < 90 then 16 else 8 end)")} as above, {_ready("beside", 180, "(case when angle > 180 then 16 else 8 end)")} as beside,
+    (abs(angle - 90) between 1 and 39)::int as ua, (abs(angle - 180) between 1 and 39)::int as ul, coalesce(d.step, 0) as dx, coalesce(v.step, 0) as dy
+  from l, angles left join steps d on d.a = case when angle < 90 then angle else 180 - angle end left join steps v on v.a = case when angle > 180 then 270 - angle else angle - 90 end
+), s as (
+  select image, block, angle, y, x, p[(y0 + y) * 32 + x0 + x + 1] as own, case when angle = 90 then above[x + 2] when angle = 180 then beside[y + 2]
+    when angle < 90 then case when (((y + 1) * dx) >> (6 - ua)) + (x << ua) < 15 << ua then {_between("above", "ua", "(((y + 1) * dx) >> (6 - ua)) + (x << ua)", "((y + 1) * dx)")} else above[(15 << ua) + ua + 2] end
+    when angle > 180 then {_between("beside", "ul", "(((x + 1) * dy) >> (6 - ul)) + (y << ul)", "((x + 1) * dy)")}
+    when ((64 * x - (y + 1) * dx) >> (6 - ua)) >= -(1 << ua) then {_between("above", "ua", "((64 * x - (y + 1) * dx) >> (6 - ua))", "((64 * x - (y + 1) * dx) + 65536)")}
+    else {_between("beside", "ul", "((64 * y - (x + 1) * dy) >> (6 - ul))", "((64 * y - (x + 1) * dy) + 65536)")} end as predicted from n, range(8) r(y), range(8) c(x)
+) select image, block, cast(angle as integer) as angle, cast(sum(abs(own - predicted)) as bigint) as sad, cast(sum(predicted * (8 * y + x + 1)) as bigint) as weighed from s group by 1, 2, 3""")
+def directional_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each of 56 directions is off for each 8x8 block of planes, and a sum of its samples weighed by place."""
+    found = directional.by_angle(rasters.stacked_planes(spark, sf_dir), 32, 8)
+    return found.select("image", "block", "angle", "sad", F.expr("aggregate(transform(samples, (v, i) -> v * (i + 1L)), 0L, (a, x) -> a + x)").alias("weighed"))
+
+
+@query()
+def filter_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each 8x8 block of planes by the five recursive filters; tested against a plain version."""
+    found = directional.by_filter(rasters.stacked_planes(spark, sf_dir), 32, 8)
+    return found.select("image", "block", "mode", "sad", F.posexplode("samples").alias("i", "predicted"))

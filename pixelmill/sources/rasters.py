@@ -71,3 +71,9 @@ def repeating_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = embed_blocks(spark, sf_dir).where("vec_id % 40 < 12").select(F.expr("vec_id div 40").alias("image"), F.struct("vec_id", F.expr("transform(sequence(0, 63), x -> block[x % 20])").alias("line")).alias("row"))
     images = rows.groupBy("image").agg(F.array_sort(F.collect_list("row")).alias("rows")).where(F.size("rows") == 12)
     return images.select("image", F.lit(40).alias("height"), F.lit(64).alias("width"), F.expr("flatten(transform(sequence(0, 39), y -> rows[y % 12].line))").alias("samples"))
+
+
+def stacked_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image, samples): planes of 32 x 32 samples, each the components of 16 successive vectors of 64, one after the other."""
+    rows = embed_blocks(spark, sf_dir).select(F.expr("vec_id div 16").alias("image"), F.struct("vec_id", "block").alias("row"))
+    return rows.groupBy("image").agg(F.array_sort(F.collect_list("row")).alias("rows")).where(F.size("rows") == 16).select("image", F.flatten("rows.block").alias("samples"))
