@@ -21,10 +21,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from pixelmill.llm.common import BROADCAST_ROWS, free_names, slices, small, written
 from pixelmill.llm.components import with_roots
@@ -199,6 +201,19 @@ def line_components(docs: DataFrame, min_words: int = MIN_WORDS, percent: int =
     return found.select("doc_id", "version", "line_no", "line_id", F.col("kept_at.doc_id").alias("kept_doc_id"), F.col("kept_at.line_no").alias("kept_line_no"), place.eqNullSafe(F.col("kept_at")).alias("kept"))
 
 
+@F.pandas_udf(StringType())
+def lines_left(texts: pd.Series, gone: pd.Series) -> pd.Series:
+    """The texts without the lines of those numbers, in one pass over each; null where either is."""
+
+    def left(text: str | None, numbers: np.ndarray | None) -> str | None:
+        if text is None or numbers is None:
+            return None
+        drop = set(numbers.tolist())
+        return "\n".join(line for no, line in enumerate(text.split("\n")) if no not in drop)
+
+    return pd.Series([left(*x) for x in zip(texts, gone, strict=True)], dtype=object)
+
+
 def without_repeats(docs: DataFrame, **how: int) -> DataFrame:
     """The documents with the lines taken out that repeat an earlier one; n_chars, if there, is set anew.
 
@@ -208,8 +223,7 @@ def without_repeats(docs: DataFrame, **how: int) -> DataFrame:
     lost = line_components(docs, **how).where("not kept").groupBy("doc_id", "version").agg(F.collect_set("line_no").alias("gone"))
     lost = written(lost, "gone").toDF(gone_doc, gone_version, gone)
     hit = docs.join(lost, docs["doc_id"].cast("long").eqNullSafe(F.col(gone_doc)) & (version(docs) == F.col(gone_version)), "left")
-    lines = F.split(F.col("text").cast("string"), "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(gone, i)), "\n")
+    kept = lines_left(F.when(F.col(gone).isNotNull(), F.col("text").cast("string")), F.col(gone))
     out = hit.withColumn(new, F.when(F.col(gone).isNull(), F.col("text").cast("string")).otherwise(kept))
     out = out.where(F.col(gone).isNull() | F.col(new).rlike(r"[^\x20\x09-\x0D]"))
     columns = [F.col(new).alias("text") if c == "text" else F.length(new).cast(kind).alias("n_chars") if c == "n_chars" else F.col(c) for c, kind in docs.dtypes]
