@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelmill.llm.common import free_names, slices, small, written
+from pixelmill.llm.common import free_names, heavy_and_light, slices, small, written
 from pixelmill.llm.linking import linked
 
 COORDINATES = 48
@@ -147,12 +147,13 @@ def confirmed(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int,
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
     rows = written(sketched(docs, shingle, coordinates), "rows")
-    sets = written(rows.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("v"), F.first("n").alias("n"), F.first("sig").alias("sig")), "sets")
+    sets = written(rows.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("v"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("times")), "sets")
     postings = written(prefixes(sets, coordinates, matches), "postings")
     confirm = lambda pairs: confirmed(pairs, docs, sets, shingle, matches, percent)
     linked_sets = written(linked(postings, confirm, lambda ids: word_sets(docs, ids, shingle), percent), "linked")
-    comps = sets.select("fp", "v").join(linked_sets, "v", "left").select("fp", F.coalesce("comp", "v").alias("comp"))
-    found = rows.join(comps, "fp", "left")
+    comps = written(sets.select("fp", "v", "times").join(linked_sets, "v", "left").select("fp", F.coalesce("comp", "v").alias("comp"), "times"), "components")
+    # a large group of equal sets is one fingerprint; documents without a word have none
+    found = heavy_and_light(rows.select("doc_id", "n", "fp"), comps, "fp", F.col("times"), rows.count())
     component = F.coalesce("comp", "doc_id")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

@@ -1,5 +1,6 @@
 import random
 import sys
+import time
 from pathlib import Path
 
 import numpy as np
@@ -9,7 +10,7 @@ import brute
 
 from conftest import CLASHES
 
-from pixelmill.llm import components, line_dedup, linking, minhash, mixing
+from pixelmill.llm import common, components, line_dedup, linking, minhash, mixing
 
 SF = "/root/testdata/sf0.001"
 
@@ -222,3 +223,27 @@ def test_blocks_of_lines_are_cut_where_they_are_compared(spark):
             seen |= todo
             todo = {y for r in links for x, y in ((r["a"], r["b"]), (r["b"], r["a"])) if x in seen} - seen
         assert seen == set(range(50))
+
+
+def test_a_million_repeated_lines_are_taken_out_in_one_pass(spark):
+    """Time grows with the lines of a document, not with their square."""
+    text = "one line that stands again and again\n" * 1_000_000 + "another one, at the end of it all"
+    docs = spark.createDataFrame([(1, text), (2, "one line that stands again and again")], "doc_id long, text string")
+    began = time.monotonic()
+    assert [tuple(r) for r in line_dedup.without_repeats(docs, **line_dedup.FINE).collect()] == [(1, "one line that stands again and again\nanother one, at the end of it all")]
+    assert time.monotonic() - began < 120
+
+
+def test_equal_sets_beyond_the_broadcasts(spark, monkeypatch):
+    """Nine tenths of the rows have one set; no side of a join is broadcast but that of the largest groups."""
+    rng = random.Random(9)
+    texts = ["the same words in every one of these rows"] * 270 + [" ".join(rng.choice("abcdefghij") * 3 for _ in range(12)) for _ in range(20)] + [None] * 10
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(docs, shingle=2).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert found == brute.document_components(dict(enumerate(texts)), 2)
