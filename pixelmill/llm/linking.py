@@ -35,7 +35,7 @@ from pixelmill.llm.common import slices, small, written
 from pixelmill.llm.components import stars
 
 #: Keys that a task holds at once, and about as many fall into a bucket, when keys are counted.
-HELD_KEYS = 1 << 21
+HELD_KEYS = 1 << 20
 #: Vertices of a key that are compared pair by pair.
 SHORT = 8
 #: Bytes of sets, the leader's counted with each, that a block of step 4 holds about.
