@@ -33,7 +33,7 @@ CAPACITY = 4096
 GROUP_BYTES = 16 << 20
 END_ID = 2
 #: Words whose ids a worker remembers; the memory is emptied when full.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 1 << 16
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
