@@ -40,6 +40,8 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, size: int
                 n = n // 2
             yield b.slice(at, n)
             at += n
+        b = None
+        pa.default_memory_pool().release_unused()  # a worker that waits for its next task holds no batches
 
 
 @cache
