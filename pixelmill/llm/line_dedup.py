@@ -21,7 +21,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -201,17 +200,17 @@ def line_components(docs: DataFrame, min_words: int = MIN_WORDS, percent: int =
     return found.select("doc_id", "version", "line_no", "line_id", F.col("kept_at.doc_id").alias("kept_doc_id"), F.col("kept_at.line_no").alias("kept_line_no"), place.eqNullSafe(F.col("kept_at")).alias("kept"))
 
 
-@F.pandas_udf(StringType())
-def lines_left(texts: pd.Series, gone: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def lines_left(texts: pa.Array, gone: pa.Array) -> pa.Array:
     """The texts without the lines of those numbers, in one pass over each; null where either is."""
-
-    def left(text: str | None, numbers: np.ndarray | None) -> str | None:
-        if text is None or numbers is None:
-            return None
-        drop = set(numbers.tolist())
-        return "\n".join(line for no, line in enumerate(text.split("\n")) if no not in drop)
-
-    return pd.Series([left(*x) for x in zip(texts, gone, strict=True)], dtype=object)
+    out = []
+    for text, numbers in zip(texts, gone, strict=True):
+        if text.is_valid and numbers.is_valid:
+            drop = set(numbers.as_py())
+            out.append("\n".join(line for no, line in enumerate(text.as_py().split("\n")) if no not in drop))
+        else:
+            out.append(None)
+    return pa.array(out, pa.string())
 
 
 def without_repeats(docs: DataFrame, **how: int) -> DataFrame:

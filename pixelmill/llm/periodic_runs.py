@@ -181,16 +181,15 @@ def measure(docs: DataFrame, least: int = LEAST_WORDS, times: int = LEAST_PERIOD
 def collapsed(docs: DataFrame, least: int = LEAST_WORDS, times: int = LEAST_PERIODS) -> DataFrame:
     """All rows and columns; a text with runs keeps their first periods, its words joined by single spaces."""
 
-    @F.pandas_udf("string")
-    def once(texts):  # noqa: ANN001, ANN202
-        import pandas as pd
-
+    @F.arrow_udf("string")
+    def once(texts: pa.Array) -> pa.Array:
         out = []
-        for text in texts:
+        for x in texts:
+            text = x.as_py()
             words = (text or "").encode().split()
             found = runs(words, least, times)
             out.append(b" ".join(without_runs(words, found)).decode() if found else text)
-        return pd.Series(out, dtype=object)
+        return pa.array(out, pa.string())
 
     return docs.withColumn("text", once(F.col("text").cast("string")))
 

@@ -243,16 +243,14 @@ def judge(docs: DataFrame, model: Field, min_words: int = 10, max_repeat_percent
 def keep_documents(docs: DataFrame, model: Field, min_words: int = 10, max_repeat_percent: int = 20, min_share: float = 0.5) -> DataFrame:
     """The rows that judge() keeps, with all their columns; no row leaves its partition."""
 
-    @F.pandas_udf("boolean")
-    def kept(texts):  # noqa: ANN001, ANN202
-        import pandas as pd
-
+    @F.arrow_udf("boolean")
+    def kept(texts: pa.Array) -> pa.Array:
         out = []
-        for text in texts:
-            data = (text or "").encode()
+        for text in texts.cast(pa.binary()):
+            data = text.as_py() or b""
             words = data.split()
             good = len(words) >= min_words and 100 * repeat_words(words) <= max_repeat_percent * len(words)
             out.append(good and content_share(*read_lines(data)[:2], model) >= min_share)
-        return pd.Series(out, dtype=bool)
+        return pa.array(out, pa.bool_())
 
     return docs.where(kept(F.col("text").cast("string")))
