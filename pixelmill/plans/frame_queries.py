@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pixelmill.operators import frames
 from pixelmill.plans.raster_queries import Plan
 from pixelmill.sources import rasters
+from pixelmill.streaming import frame_push
 
 QUERIES: dict[str, tuple[Plan, str | None]] = {}
 
@@ -76,3 +77,22 @@ def topk_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 ) select frame, count(*) filter (s1 * 12 < s0 * 10 and s0 > 32) / count(*) as share from b group by frame""")
 def reference_preferred_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.second_preferred(rasters.event_frames(spark, sf_dir))
+
+
+@query("""with recursive e as (select event_id // 64 as frame, event_id % 64 as i, cast(floor(value) as bigint) % 256 as v from events), ef as (
+  select frame, frame // 48 as stream, list(v order by i) as v, row_number() over (partition by frame // 48 order by frame) - 1 as place from e group by frame having count(*) = 64
+), s as (
+  select f.stream, f.frame, f.place, coalesce(list_sum(list_transform(range(1, 65), lambda i: abs(f.v[i] - b.v[i])))::bigint // 64, 0) as sad from ef f left join ef b on b.stream = f.stream and b.place = f.place - 1
+), m as (
+  select *, round(coalesce(avg(sad) over (w rows between 8 preceding and 1 preceding), 0), 9) as mean, lag(frame, 1) over w as r1, lag(frame, 2) over w as r2, lag(frame, 3) over w as r3 from s window w as (partition by stream order by place)
+), k as (
+  select stream, place, true as key, 0 as since, 0 as at from m where place = 0
+  union all
+  select m.stream, m.place, m.place % 24 = 0 or (m.sad >= 75 and k.since >= 3), case when m.place % 24 = 0 or (m.sad >= 75 and k.since >= 3) then 0 else k.since + 1 end, case when m.place % 24 = 0 or (m.sad >= 75 and k.since >= 3) then 0 else k.at + 1 end
+  from k join m on m.stream = k.stream and m.place = k.place + 1
+) select m.stream, m.frame, m.place, k.key, m.sad, m.mean, cast(k.at % 3 as integer) as slot, case when k.at >= 1 then r1 end as ref1, case when k.at >= 2 then r2 end as ref2, case when k.at >= 3 then r3 end as ref3 from m join k using (stream, place)""")
+def pushed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames pushed with state, 48 to a stream: the streaming operator over a table."""
+    rows = rasters.event_frames(spark, sf_dir).withColumn("stream", F.expr("frame div 48"))
+    found = frame_push.push(rows, 24, 75, 3).where("error is null")
+    return found.select("stream", "frame", "place", "key", "sad", F.round("mean", 9).alias("mean"), "slot", *[F.get("refs", F.lit(k)).alias(f"ref{k + 1}") for k in range(3)])
