@@ -1,13 +1,17 @@
-"""Queries of gain map parameters: name to (plan, SQL)."""
+"""Queries of gain map parameters and of files of boxes: name to (plan, SQL)."""
 
 from __future__ import annotations
 
+import struct
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelmill.functions import gain_maps
-from pixelmill.plans.raster_queries import Plan
-from pixelmill.sources import rasters
+from pixelmill.plans.raster_queries import BLOCK_SQL, Plan
+from pixelmill.sources import boxes, rasters, shared
 
 QUERIES: dict[str, tuple[Plan, str | None]] = {}
 
@@ -62,3 +66,57 @@ def gain_map_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     damaged = F.expr("case id % 5 when 1 then substring(record, 1, octet_length(record) - 1) when 2 then concat(record, X'00') when 3 then concat(X'0001', substring(record, 3)) else record end")
     read = made.select("id", F.hex("record").alias("made"), gain_maps.parsed(damaged).alias("r"))
     return read.select("id", "made", "r.error", F.col("r.headrooms")[0].alias("headroom"), F.col("r.channels")[0][0].alias("low"), F.col("r.channels")[2][8].alias("other_offset"))
+
+
+def box(kind: bytes, payload: bytes, wide: bool = False) -> bytes:
+    return struct.pack(">I4sQ", 1, kind, 16 + len(payload)) + payload if wide else struct.pack(">I4s", 8 + len(payload), kind) + payload
+
+
+def image_file(image: int, samples: list[int]) -> bytes:
+    """A plane as a file of boxes: four codecs in turn, every third with a wide data box, every fifth (from the second on) cut short."""
+    major, brand, item, settings = ((b"avif", b"mif1", b"av01", b"av1C"), (b"heic", b"mif1", b"hvc1", b"hvcC"), (b"mif1", b"miaf", b"vvc1", b"vvcC"), (b"mif1", b"avif", b"av02", b"av2C"))[image % 4]
+    entry = box(b"infe", struct.pack(">BxxxHH4sx", 2, 1, 0, item))
+    properties = box(b"iprp", box(b"ipco", box(b"ispe", struct.pack(">III", 0, 32, 32)) + box(settings, b"\x81\0\0\0")))
+    meta = box(b"meta", b"\0" * 4 + box(b"iinf", struct.pack(">IH", 0, 1) + entry) + properties)
+    data = box(b"ftyp", major + b"\0" * 4 + b"miaf" + brand) + meta + box(b"mdat", bytes(samples), image % 3 == 1)
+    return data[:-100] if image % 5 == 2 else data
+
+
+def boxed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, image): files of the stacked planes, written by executors to the shared folder."""
+    folder = shared.folder(spark, "boxes")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        files, inner = fs.FileSystem.from_uri(folder)
+        files.create_dir(inner, recursive=True)
+        for b in batches:
+            for image, samples in zip(b["image"].to_pylist(), b["samples"].to_pylist(), strict=True):
+                with files.open_output_stream(f"{inner}/{image}.bin") as out:
+                    out.write(image_file(image, samples))
+            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{i}.bin" for i in b["image"].to_pylist()], pa.string()), b["image"]], ["path", "image"])
+
+    rows = rasters.stacked_planes(spark, sf_dir).mapInArrow(write, "path string, image long")
+    rows.write.parquet(f"{folder}-list")
+    return spark.read.schema("path string, image long").parquet(f"{folder}-list")
+
+
+LAYOUT_SQL = f"""{BLOCK_SQL}, images as (select vec_id // 16 as image from eb group by 1 having count(*) = 16), layout(box, depth, "offset", size) as (
+  values ('/ftyp', 0, 0, 24), ('/meta', 0, 24, 95), ('/meta/iinf', 1, 36, 35), ('/meta/iinf/infe', 2, 50, 21), ('/meta/iprp', 1, 71, 48), ('/meta/iprp/ipco', 2, 79, 40), ('/meta/iprp/ipco/ispe', 3, 87, 20), ('/meta/iprp/ipco/', 3, 107, 12), ('/mdat', 0, 119, 1032)
+)"""
+
+
+@query(f"""with {LAYOUT_SQL} select image, box || case when "offset" = 107 then ['av1C', 'hvcC', 'vvcC', 'av2C'][image % 4 + 1] else '' end as box, depth, cast("offset" as bigint) as "offset", case when box = '/mdat' and image % 3 = 1 then 16 else 8 end as header,
+  cast(size + case when box = '/mdat' and image % 3 = 1 then 8 else 0 end as bigint) as size,
+  case "offset" when 0 then ['avif,miaf,mif1', 'heic,miaf,mif1', 'mif1,miaf,miaf', 'mif1,miaf,avif'][image % 4 + 1] when 50 then ['av01', 'hvc1', 'vvc1', 'av02'][image % 4 + 1] end as about,
+  case when box = '/mdat' and image % 5 = 2 then 'beyond its parent' end as error from images, layout""")
+def container_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every box of files written from planes, some of them cut short."""
+    return boxes.boxes(boxed_files(spark, sf_dir)).drop("path")
+
+
+@query(f"""with {LAYOUT_SQL} select image, ['avif', 'heic', 'vvc', 'av2'][image % 4 + 1] as kind, cast(9 as bigint) as boxes, cast(case when image % 5 = 2 then 1 else 0 end as bigint) as errors from images""")
+def container_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What kind of image each of those files holds, by brands, items and settings."""
+    return boxes.kinds(boxes.boxes(boxed_files(spark, sf_dir)), "image")
