@@ -16,7 +16,7 @@ them. A package's name is unique to the task attempt, and only those that finish
 repeated or lost tasks do no harm.
 
 Defined results: null and empty pages are responses with an empty payload; a null or clashing id: rows that share an
-id are records of their own (of equal payloads one is the response); a null id is read back as null; a null url has an
+id are records of their own under one record id (of equal payloads all rows of the largest id are responses); a null id is read back as null; a null url has an
 empty target; an empty table writes no package; further columns are ignored. Records of packages from elsewhere have
 null in the fields that they lack, and other types than response have no payload. A package that isn't a whole ZIP, an
 archive member that isn't stored, or a line that names a missing member is a ValueError: nothing is dropped in silence.

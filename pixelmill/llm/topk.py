@@ -1,12 +1,14 @@
 """Operator 5: exact top-k search by distributed histogram selection.
 
-Vectors are quantised to integers and packed into blocks. Each round scores all pairs of a query block and a
-candidate block and adds up, for every query, a histogram of scores over the interval that still holds its k-th
+Vectors are quantised to integers and packed into blocks, candidates by the tasks that read them. Each round scores
+all pairs of a query block and a candidate block and adds up, for every query, a histogram of scores over the interval that still holds its k-th
 value; the bin of the k-th value is the next interval, until it is a single value. A last pass keeps what scores at
 least that much; ties go to the smaller vec_id. A block reports only its bins down to its own k-th score, since the
 k-th score of all candidates is never below that of a block, and passes on at most k rows of a query.
 
-Queries and candidates are both dealt by block, so a task holds one block of each whatever the number of either.
+Candidates are never shuffled: query blocks go to them, broadcast in groups of about GROUP_BYTES (a join each, so more
+queries mean more joins and no larger ones), and a task holds one block of each at a time. What is shuffled grows with
+the queries and their histograms.
 
 Defined results: vectors that are null, empty, or hold a null or non-finite component take no part; a query compares
 with vectors of its own length only; of rows that share a vec_id, one query (the largest vector) and all candidates
@@ -16,10 +18,10 @@ further columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -28,6 +30,8 @@ from pyspark.sql import functions as F
 from pixelmill.llm.common import slices, written
 
 CANDIDATE_BLOCK, QUERY_BLOCK = 8192, 512
+#: Bytes of the query blocks that are broadcast at once, about, and of the candidates that a task packs at once.
+GROUP_BYTES, PACKED_BYTES = 128 << 20, 64 << 20
 BINS = 4096
 #: Scores are clamped to these, so that differences of scores fit a long too.
 LONG = (-(1 << 62), (1 << 62) - 1)
@@ -58,6 +62,32 @@ def blocks(rows: DataFrame, name: str, size: int) -> DataFrame:
     return written(dealt.groupBy("dim", name).applyInArrow(join, f"dim int, {name} long, {name}_ids binary, {name}_xs binary"), name)
 
 
+def packed(vectors: DataFrame, size: int) -> DataFrame:
+    """(dim, cb_ids, cb_xs): up to size vectors of one length in a row, packed where they are read; nothing is shuffled."""
+
+    def row(dim: int, kept: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        ids, xs = zip(*kept, strict=True)
+        return pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "cb_ids": pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), "cb_xs": pa.array([b"".join(xs)], pa.binary())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[int, bytes]]] = {}
+        weight = 0
+        for b in slices(batches):
+            for dim, vec_id, x in zip(b["dim"].to_pylist(), b["vec_id"].to_pylist(), b["x"].to_pylist(), strict=True):
+                own = held.setdefault(dim, [])
+                own.append((vec_id, x))
+                weight += len(x)
+                if len(own) >= size or weight > PACKED_BYTES:  # the fullest goes, whatever the number of lengths
+                    most = max(held, key=lambda d: d * len(held[d]))
+                    done = held.pop(most)
+                    weight -= sum(len(v) for _, v in done)
+                    yield row(most, done)
+        for dim, own in held.items():
+            yield row(dim, own)
+
+    return written(vectors.mapInArrow(run, "dim int, cb_ids binary, cb_xs binary"), "cb")
+
+
 def dot(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Integer inner products: in float64 where all sums are exact there, else in Python's integers, clamped to a long."""
     if not q.size or not c.size or np.abs(q).max() * np.abs(c).max() * q.shape[1] < 1 << 53:
@@ -76,30 +106,29 @@ def scored(ids: bytes, xs: bytes, cand_ids: bytes, cand_xs: bytes, dim: int) ->
             yield (q_ids[i], c_ids[~own], scores[~own]) if own.any() else (q_ids[i], c_ids, scores)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, bins: int = BINS, candidate_block: int = CANDIDATE_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, bins: int = BINS, candidate_block: int = CANDIDATE_BLOCK, query_block: int = QUERY_BLOCK, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best candidates of every query, both tables being (vec_id, dim, x)."""
-    spark = vectors.sparkSession
     q = blocks(queries.groupBy("vec_id").agg(F.max(F.struct("dim", "x")).alias("v")).select("vec_id", "v.dim", "v.x"), "qb", query_block)
-    c = blocks(vectors, "cb", candidate_block)
-    # each side is dealt to every block of the other: rows are blocks, so this stays short
-    left = c.join(q.select("dim", F.col("qb").alias("qb")), "dim")
-    right = q.join(c.select("dim", F.col("cb").alias("cb")), "dim")
+    c = packed(vectors, candidate_block)
+    size = q.agg(F.sum(F.octet_length("qb_ids") + F.octet_length("qb_xs"))).first()[0] or 0
+    groups = -(-size // group_bytes) or 1
 
-    def each(rows: DataFrame, one, schema: str, stateless: bool = False) -> DataFrame:  # noqa: ANN001
+    def each(rows: DataFrame, one: Callable[..., list[tuple]], schema: str, stateless: bool = False) -> DataFrame:
         """one(query id, state of the query or None, candidate ids, scores) for all pairs of blocks; only queries with a state, unless stateless."""
+        names = [x.split()[0] for x in schema.split(", ")]
 
-        def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            out: list[tuple] = []
-            names = [x.split()[0] for x in schema.split(", ")]
-            if len(a) and len(b):
-                x, y = a.iloc[0], b.iloc[0]
-                known = dict(zip(np.frombuffer(y["s_ids"], np.int64).tolist(), np.frombuffer(y["s_vals"], np.int64).reshape(-1, 3).tolist(), strict=True)) if "s_ids" in b.columns and y["s_ids"] is not None else {}
-                for query, ids, scores in scored(y["qb_ids"], y["qb_xs"], x["cb_ids"], x["cb_xs"], int(key[0])):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for x in (b.slice(i, 1).to_pylist()[0] for b in batches for i in range(b.num_rows)):
+                known = dict(zip(np.frombuffer(x["s_ids"], np.int64).tolist(), np.frombuffer(x["s_vals"], np.int64).reshape(-1, 3).tolist(), strict=True)) if "s_ids" in x else {}
+                out: list[tuple] = []
+                for query, ids, scores in scored(x["qb_ids"], x["qb_xs"], x["cb_ids"], x["cb_xs"], x["dim"]):
                     if stateless or int(query) in known:
                         out += one(int(query), known.get(int(query)), ids, scores)
-            return pd.DataFrame(out, columns=names).astype({n: t.replace("long", "int64") for n, t in (x.split() for x in schema.split(", "))})
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(len(names))], names)
 
-        return left.groupBy("dim", "qb", "cb").cogroup(rows.groupBy("dim", "qb", "cb")).applyInPandas(run, schema)
+        group = F.pmod(F.xxhash64("dim", "qb"), F.lit(groups))
+        pairs = [c.join(F.broadcast(rows.where(group == g)), "dim") for g in range(groups)]
+        return reduce(DataFrame.unionAll, [p.mapInArrow(run, schema) for p in pairs])
 
     def with_state(state: DataFrame) -> DataFrame:
         """The query blocks with the states (lo, width, span) of their queries, packed alike."""
@@ -108,8 +137,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, bins: int = BINS
             vals = np.stack([t[n].to_numpy() for n in ("lo", "width", "span")], 1)
             return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), "qb": pa.array([key[1].as_py()], pa.int64()), "s_ids": pa.array([t["query_id"].to_numpy().tobytes()], pa.binary()), "s_vals": pa.array([vals.tobytes()], pa.binary())})
 
-        packed = state.groupBy("dim", "qb").applyInArrow(gather, "dim int, qb long, s_ids binary, s_vals binary")
-        return right.join(packed, ["dim", "qb"])
+        stated = state.groupBy("dim", "qb").applyInArrow(gather, "dim int, qb long, s_ids binary, s_vals binary")
+        return written(q.join(stated, ["dim", "qb"]), "stated")
 
     def top(scores: np.ndarray) -> np.ndarray:
         """Places of the scores from a block's own k-th upward."""
@@ -130,7 +159,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, bins: int = BINS
         keep = keep[np.lexsort((ids[keep], -scores[keep]))[:k]]
         return [(query, int(ids[i]), int(scores[i])) for i in keep]
 
-    ranges = written(each(right, bounds, "query_id long, low long, high long, n long", stateless=True), "ranges")
+    ranges = written(each(q, bounds, "query_id long, low long, high long, n long", stateless=True), "ranges")
     q_of = q.select("dim", "qb", F.explode(_ids_of("qb_ids")).alias("query_id"))
     all_of = ranges.groupBy("query_id").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
     # a query of no more than k candidates takes them all: its interval is the lowest score
@@ -151,8 +180,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, bins: int = BINS
 
 
 def _ids_of(column: str):  # noqa: ANN202
-    @F.pandas_udf("array<long>")
-    def read(packed: pd.Series) -> pd.Series:
-        return packed.map(lambda x: np.frombuffer(x, np.int64))
+    @F.arrow_udf("array<long>")
+    def read(packed: pa.Array) -> pa.Array:
+        return pa.array([np.frombuffer(x, np.int64) for x in packed.to_pylist()], pa.list_(pa.int64()))
 
     return read(F.col(column))

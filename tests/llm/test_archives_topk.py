@@ -149,6 +149,22 @@ def test_topk_with_ties_and_odd_vectors(spark):
     assert topk.search(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_topk_groups_and_plan(spark, monkeypatch):
+    """Queries in many groups and lengths find the same; a task gives its blocks away before it holds much; no plan shuffles candidates."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(0, 1, 1 + i // 100 % 4).round(1)]) for i in range(1200)]
+    vectors = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    good = [(i, [int(np.floor(1024 * v)) for v in x]) for i, x in rows]
+    found = topk.search(vectors, vectors.where("vec_id % 100 = 0"), query_block=1, group_bytes=40)
+    assert sorted(map(tuple, found.collect())) == plain_topk(good, 10)
+    blocks = [(r["dim"], np.frombuffer(r["cb_ids"], np.int64).tolist()) for r in topk.packed(vectors, 50).collect()]
+    assert max(len(ids) for _, ids in blocks) == 50 and sorted((i, d) for d, ids in blocks for i in ids) == [(i, len(x)) for i, x in rows]
+    monkeypatch.setattr(topk, "PACKED_BYTES", 0)
+    assert topk.packed(vectors, 50).count() == len(rows)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" not in plan and "CoGroup" not in plan and plan.count("strategy=broadcast") >= 5
+
+
 def test_huge_components():
     q, c = np.array([[2.0**60, 1.0]]), np.array([[2.0**60, 3.0], [-(2.0**60), 3.0], [0.0, 7.0]])
     assert topk.dot(q, c).tolist() == [[(1 << 62) - 1, -(1 << 62), 7]]
