@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelmill.operators import causal_copies, directional, index_maps, integer_transforms, palette
+from pixelmill.operators import causal_copies, directional, index_maps, integer_transforms, palette, screen_gate
 from pixelmill.operators import chroma_fit as fit
 from pixelmill.plans.raster_queries import BLOCK_SQL, Plan, block_histogram
 from pixelmill.sources import rasters
@@ -148,3 +148,46 @@ def chroma_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = planes.select("image", F.col("samples").alias("luma")).join(planes.select((F.col("image") - 1).alias("image"), F.col("samples").alias("chroma")), "image")
     found = fit.best(fit.fits(both, 32))
     return found.select("image", "block", "direction", "sad", *[F.col("parameters")[k].alias(f"p{k}") for k in range(fit.TERMS)])
+
+
+def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image, height, width, samples): repeating images, the same in two or six colours (every third, or each after it), and planes, which are noise."""
+    coarse = "transform(samples, v -> case image % 3 when 0 then if(v < 128, 30, 220) when 1 then least(250, v div 50 * 50) else v end)"
+    repeated = rasters.repeating_images(spark, sf_dir).select((F.col("image") * 2).alias("image"), "height", "width", F.expr(coarse).alias("samples"))
+    return repeated.unionByName(rasters.stacked_planes(spark, sf_dir).select((F.col("image") * 2 + 1).alias("image"), F.lit(32).alias("height"), F.lit(32).alias("width"), F.col("samples").cast("array<bigint>").alias("samples")), allowMissingColumns=True)
+
+
+QUARTER_ENERGY = "list_sum(list_transform(range(64), lambda k: case when k % 8 > 0 then (v[k + 1] - v[k]) * (v[k + 1] - v[k]) else 0 end + case when k >= 8 then (v[k + 1] - v[k - 7]) * (v[k + 1] - v[k - 7]) else 0 end))"
+
+
+@query(f"""with {PLANES_SQL}, tiled as (
+  select vec_id // 40 as image, list(list_transform(range(64), lambda x: block[x % 20 + 1]) order by vec_id) as p from eb where vec_id % 40 < 12 group by 1 having count(*) = 12
+), imgs as (
+  select image * 2 as image, 40 as h, 64 as w, list_transform(flatten(list_transform(range(40), lambda y: p[y % 12 + 1])), lambda v: case image % 3 when 0 then case when v < 128 then 30 else 220 end when 1 then least(250, v // 50 * 50) else v end) as s from tiled
+  union all select image * 2 + 1, 32, 32, p from planes
+), wins as (
+  select image, y, x, flatten(list_transform(range(8), lambda j: s[(y + j) * w + x + 1 : (y + j) * w + x + 8])) as v, (y + 7) // 16 as r, (x + 7) // 16 as c, h, w from imgs, range(33) ys(y), range(57) xs(x) where y <= h - 8 and x <= w - 8
+), q8 as (
+  select *, {QUARTER_ENERGY} as e, len(list_distinct(v)) as n, list_max(v) - list_min(v) as span from wins where y % 8 = 0 and x % 8 = 0 and y < h // 16 * 16 and x < w // 16 * 16
+), b16 as (
+  select image, y // 16 * 16 as py, x // 16 * 16 as px, sum(e) as mass, len(list_distinct(flatten(list(v)))) as n, list_max(flatten(list(v))) - list_min(flatten(list(v))) as span, count(*) filter (e > 0 and not (n <= 12 and span >= 64)) as photo from q8 group by 1, 2, 3
+), s1 as (
+  select image, count(*) as blocks, count(*) filter (n <= 8 and span >= 64) as few, count(*) filter (n <= 16 and span >= 64) as lenient from b16 group by 1
+), d8 as (select image, count(*) - count(distinct v) as repeats from q8 where e > 0 group by 1), passed as (
+  select s1.image from s1 left join d8 using (image) where lenient / blocks >= 0.02 or coalesce(repeats, 0) / (4 * blocks) >= 0.02
+), f as (
+  select q.image, q.y, q.x, t.y as ref_y, t.x as ref_x, row_number() over (partition by q.image, q.y, q.x order by t.r desc, t.c desc, t.y desc, t.x desc) as k
+  from q8 q join wins t on t.image = q.image and t.v = q.v where q.image in (select image from passed) and ((t.r < q.r and t.c <= q.c + 2 * (q.r - t.r)) or (t.r = q.r and t.c < q.c))
+), moves as (
+  select image, y // 16 * 16 as py, x // 16 * 16 as px, y // 16 * 16 + ref_y - y as ry, x // 16 * 16 + ref_x - x as rx from f where k = 1
+), res as (
+  select a.image, py, px, min(list_sum(list_transform(range(256), lambda k: (s[(py + k // 16) * w + px + k % 16 + 1] - s[(ry + k // 16) * w + rx + k % 16 + 1]) * (s[(py + k // 16) * w + px + k % 16 + 1] - s[(ry + k // 16) * w + rx + k % 16 + 1])))) as res
+  from moves a join imgs i on i.image = a.image where (abs(ry - py) >= 16 or abs(rx - px) >= 16) and ry between 0 and h // 16 * 16 - 16 and rx between 0 and w // 16 * 16 - 16 group by 1, 2, 3
+), g as (
+  select b.*, case when res is null then 0 else greatest(0, mass - res - 1600) end as gain from b16 b left join res using (image, py, px) where b.image in (select image from passed)
+), t as (
+  select image, sum(gain) as gain, sum(photo) filter (gain = 0 and not (n <= 8 and span >= 64)) as photo, count(*) filter (gain > 0) as copied from g group by 1
+) select s1.image, few / blocks >= 0.1 as few_colours, coalesce(copied >= 4 and gain > coalesce(photo, 0) * 32.0 * 40, false) as copies_pay, few / blocks as few_share, cast(gain as bigint) as gain, cast(case when gain is not null then coalesce(photo, 0) * 32.0 * 40 end as double) as loss from s1 left join t using (image)""")
+def screen_gate_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether images are screen content, by colours and by what copies gain, at a quantizer step of 40."""
+    return screen_gate.gate(sheets(spark, sf_dir), 40, superblock=16)
