@@ -6,6 +6,8 @@ of a channel, for one channel where all three are equal, else for three.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,6 +48,11 @@ def fraction(value: Column) -> Column:
     return F.when(whole & (found["n"].between(-MOST_NUMERATOR, MOST_NUMERATOR)), found)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is reckoned once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def fault(headrooms: Column, channels: Column) -> Column:
     """What is wrong with parameters: null if nothing. headrooms: four numbers; channels: one or three arrays of ten."""
     d_zero = F.exists(channels, lambda c: F.exists(F.array(*[c[k] for k in range(1, PER_CHANNEL, 2)]), lambda d: d == 0))
@@ -79,7 +86,7 @@ def parsed(data: Column) -> Column:
     channel = lambda c: F.transform(span(PER_CHANNEL), lambda k: signed(k, number(F.least(c, count - 1) * PER_CHANNEL + k + 4)))
     minimum, writer = (F.hex(F.substring(data, at, 2)) for at in (1, 3))
     early = F.when(data.isNull() | (F.octet_length(data) < HEADER), "truncated").when(minimum != "0000", "unsupported version").when(F.octet_length(data) < need, "truncated").when((writer == "0000") & (F.octet_length(data) > need), "trailing bytes")
-    headrooms, channels = F.transform(span(4), number), F.transform(span(3), channel)
-    error = F.when(early.isNotNull(), early).otherwise(fault(headrooms, channels))
-    good = lambda x: F.when(error.isNull(), x)
-    return F.struct(good(headrooms).alias("headrooms"), good(channels).alias("channels"), good(byte(5).bitwiseAND(BASE_SPACE) > 0).alias("base_space"), error.alias("error"))
+    read = F.struct(F.transform(span(4), number).alias("headrooms"), F.transform(span(3), channel).alias("channels"), (byte(5).bitwiseAND(BASE_SPACE) > 0).alias("base_space"))
+    checked = once(read, lambda r: once(fault(r["headrooms"], r["channels"]), lambda e: F.struct(*[F.when(e.isNull(), r[n]).alias(n) for n in ("headrooms", "channels", "base_space")], e.alias("error"))))
+    none = F.struct(F.lit(None).cast("array<bigint>").alias("headrooms"), F.lit(None).cast("array<array<bigint>>").alias("channels"), F.lit(None).cast("boolean").alias("base_space"), early.alias("error"))
+    return F.when(early.isNull(), checked).otherwise(none)
