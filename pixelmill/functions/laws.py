@@ -105,3 +105,14 @@ def matrix_step(step: Column, weight: Column) -> Column:
 
 def rd_cost(distortion: Column, rate: Column, price: float) -> Column:
     return distortion + rate * price
+
+
+#: Steps of quantizer 0, then of quantizers 1 to 24; every further 24 quantizers double the step.
+WIDE_STEPS = (64, 40, 41, 43, 44, 45, 47, 48, 49, 51, 52, 54, 55, 57, 59, 60, 62, 64, 66, 68, 70, 72, 74, 76, 78)
+
+
+def wide_step(q: Column) -> Column:
+    """Quantizer step of a quantizer from 0 to 255; others are clamped."""
+    at = F.greatest(F.lit(1), F.least(F.lit(255), q)) - 1
+    doubled = F.call_function("shiftleft", F.get(F.array(*map(F.lit, WIDE_STEPS)), at % 24 + 1), F.floor(at / 24).cast("int"))
+    return F.when(q <= 0, WIDE_STEPS[0]).otherwise(doubled)

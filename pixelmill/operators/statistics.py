@@ -59,11 +59,19 @@ def dark_offset(mean: Column, energy: Column) -> Column:
     return F.floor(F.greatest(F.lit(0.0), F.least(F.lit(float(DARK_MOST)), F.log1p(energy * (weight - 1)) * DARK_SCALE)) + 0.5).cast("int")
 
 
-def boost_offset(variance: Column, anchor: Column) -> Column:
+def boost_anchor(samples: DataFrame, value: str) -> DataFrame:
+    """(image_id, anchor): 0.95 of log(1 + variance) of superblocks (image_id, y, x, value) that are frames of their own."""
+    v = F.col(value).cast("long")
+    sums = samples.groupBy("image_id").agg(F.sum(v).alias("s"), F.sum(v * v).alias("ss"), F.count(F.lit(1)).alias("n"))
+    spread = F.greatest(F.lit(0.0), F.col("ss") / F.col("n") - (F.col("s") / F.col("n")) * (F.col("s") / F.col("n")))
+    return sums.select("image_id", (F.log1p(spread) * 0.95).alias("anchor"))
+
+
+def boost_offset(variance: Column, anchor: Column, strength: float = 1.0) -> Column:
     """Quantizer offset of a superblock by its variance: negative for low contrast, positive above the anchor."""
     v = F.log1p(variance)
-    low = F.least((F.lit(BOOST_BELOW) - v) * BOOST_SLOPE, F.lit(BOOST_MOST))
-    high = F.least(F.greatest(v - F.greatest(anchor, F.lit(BOOST_BELOW)), F.lit(0.0)) * CUT_SLOPE, F.lit(CUT_MOST))
+    low = F.least((F.lit(BOOST_BELOW) - v) * (BOOST_SLOPE * strength), F.lit(BOOST_MOST))
+    high = F.least(F.greatest(v - F.greatest(anchor, F.lit(BOOST_BELOW)), F.lit(0.0)) * (CUT_SLOPE * strength), F.lit(CUT_MOST))
     return F.when(v < BOOST_BELOW, -F.floor(low + 0.5)).otherwise(F.floor(high + 0.5)).cast("int")
 
 

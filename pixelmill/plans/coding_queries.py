@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelmill.operators import causal_copies, directional, index_maps, integer_transforms, palette, screen_gate
+from pixelmill.functions import laws
+from pixelmill.operators import adaptive_grid, causal_copies, directional, index_maps, integer_transforms, palette, screen_gate
 from pixelmill.operators import chroma_fit as fit
 from pixelmill.plans.raster_queries import BLOCK_SQL, Plan, block_histogram
 from pixelmill.sources import rasters
@@ -191,3 +192,28 @@ QUARTER_ENERGY = "list_sum(list_transform(range(64), lambda k: case when k % 8 >
 def screen_gate_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether images are screen content, by colours and by what copies gain, at a quantizer step of 40."""
     return screen_gate.gate(sheets(spark, sf_dir), 40, superblock=16)
+
+
+VARIANCE_SQL = "greatest(0, sum(v * v) / count(*) - (sum(v) / count(*)) * (sum(v) / count(*)))"
+STEP_SQL = f"{list(laws.WIDE_STEPS[1:])}[({{0}} - 1) % 24 + 1] << (({{0}} - 1) // 24)"
+GRID_BASE, GRID_UV = 120, -12
+
+
+@query(f"""with recursive {BLOCK_SQL}, strips as (select vec_id // 40 as image, list(block order by vec_id) as rows from eb group by 1 having count(*) = 40), px as (
+  select image, y, x, y // 64 as r, x // 64 as c, greatest(0, least(255, 24 + 40 * ((image + y // 64 * 3 + x // 64) % 5) + ((rows[(y + 8 * (x // 64)) % 40 + 1][x % 64 + 1] - 128) >> ((5 * image + 3 * (y // 64 * 3 + x // 64)) % 7)))) as v
+  from strips, range(128) ys(y), range(160) xs(x)
+), subs as (select image, r, c, {VARIANCE_SQL} as s from px group by image, r, c, y // 8, x // 8), cells as (
+  select image, r, c, list_sort(list(s) || list_transform(range(64 - count(*)), lambda k: avg(s)))[48] as picked from subs group by 1, 2, 3
+), activity as (select image, r, c, ln(1 + {VARIANCE_SQL}) as a from px group by 1, 2, 3), anchors as (select image, 0.95 * avg(a) as anchor from activity group by 1), t as (
+  select image, r, c, r * 3 + c as k, c < 2 as signals, greatest(1, least(255, {GRID_BASE} + cast(case when ln(1 + picked) < 5.549076 then -floor(least((5.549076 - ln(1 + picked)) * 5.0, 18.0) + 0.5) else floor(least(greatest(ln(1 + picked) - greatest(anchor, 5.549076), 0.0) * 6.0, 16.0) + 0.5) end as integer))) as target
+  from cells join anchors using (image)
+), f as (
+  select image, -1::bigint as k, 0 as signal, {GRID_BASE} as q from anchors
+  union all
+  select f.image, t.k, cast(case when signals then sign(target - q) * least(6, (abs(target - q) + 2) // 4) else 0 end as integer) as signal, cast(case when signals then greatest(1, least(255, q + sign(target - q) * least(6, (abs(target - q) + 2) // 4) * 4)) else q end as integer) as q
+  from f join t on t.image = f.image and t.k = f.k + 1
+), g as (select image, r as row, c as col, target, signal, q, {STEP_SQL.format('q')} as step, {STEP_SQL.format(f'greatest(1, least(255, q + {GRID_UV}))')} as chroma_step from f join t using (image, k))
+select *, ({STEP_SQL.format(GRID_BASE)}) / step as scale, ({STEP_SQL.format(GRID_BASE)}) / chroma_step as chroma_scale from g""")
+def adaptive_quantizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets, signalled steps and running quantizers of all superblocks of images of uneven contrast, some at the edge."""
+    return adaptive_grid.grid(rasters.contrast_sheets(spark, sf_dir), GRID_BASE, GRID_UV)

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from pixelmill.functions import gain_maps
 from pixelmill.plans.raster_queries import BLOCK_SQL, Plan
-from pixelmill.sources import boxes, rasters, shared
+from pixelmill.plans.video_queries import PAN_SQL
+from pixelmill.sources import boxes, rasters, shared, y4m
 
 QUERIES: dict[str, tuple[Plan, str | None]] = {}
 
@@ -120,3 +121,54 @@ def container_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def container_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What kind of image each of those files holds, by brands, items and settings."""
     return boxes.kinds(boxes.boxes(boxed_files(spark, sf_dir)), "image")
+
+
+#: Chroma tokens of the written videos, in turn.
+TOKENS = ("420jpeg", "422", "444", "mono")
+
+
+def video_file(stream: int, views: list[list[int]]) -> bytes:
+    """Views of 32 x 32 samples as a Y4M file: chroma by turns (taken from the luma), every third with parameters of frames, every fifth (from the second on) cut short."""
+    token = TOKENS[stream % 4]
+    size = y4m.chroma_size(32, 32, token[:3] if token != "mono" else token)
+    mark = b"FRAME Ip\n" if stream % 3 == 1 else b"FRAME\n"
+    data = f"YUV4MPEG2 W32 H32 F{24 + stream % 3}:1 Ip A1:1 C{token} XNOTE=made\n".encode()
+    data += b"".join(mark + bytes(v) + bytes(v[:size]) + bytes(255 - x for x in v[:size]) for v in views)
+    return data[:-100] if stream % 5 == 2 else data
+
+
+def video_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, stream): Y4M files of the moving views, written by executors to the shared folder."""
+    folder = shared.folder(spark, "videos")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        files, inner = fs.FileSystem.from_uri(folder)
+        files.create_dir(inner, recursive=True)
+        for b in batches:
+            for stream, views in zip(b["stream"].to_pylist(), b["views"].to_pylist(), strict=True):
+                with files.open_output_stream(f"{inner}/{stream}.y4m") as out:
+                    out.write(video_file(stream, views))
+            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{i}.y4m" for i in b["stream"].to_pylist()], pa.string()), b["stream"]], ["path", "stream"])
+
+    views = rasters.pan_frames(spark, sf_dir).groupBy("stream").agg(F.array_sort(F.collect_list(F.struct("frame", "samples"))).alias("v"))
+    views.select("stream", F.col("v.samples").alias("views")).mapInArrow(write, "path string, stream long").write.parquet(f"{folder}-list")
+    return spark.read.schema("path string, stream long").parquet(f"{folder}-list")
+
+
+HEX_SQL = "array_to_string(list_transform({}, lambda n: printf('%02X', n)), '')"
+
+
+@query(f"""with {PAN_SQL}, views as (select stream, frame, list(v order by y, x) as p from pan group by 1, 2), t as (
+  select *, stream % 5 = 2 and frame = 4 as cut, case stream % 4 when 0 then 256 when 1 then 512 when 2 then 1024 end as size from views
+) select stream, frame, ['420', '422', '444', 'mono'][stream % 4 + 1] as chroma, (24 + stream % 3) || ':1' as rate, case when cut then 'truncated frame' end as error,
+  case when not cut then md5({HEX_SQL.format('p')}) end as luma, case when not cut and size is not null then md5({HEX_SQL.format('p[:size]')}) end as blue,
+  case when not cut and size is not null then md5({HEX_SQL.format('list_transform(p[:size], lambda n: 255 - n)')}) end as red from t""")
+def video_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the planes of every frame, read back from Y4M files by ranges; some files are cut short."""
+    files = video_files(spark, sf_dir)
+    read = y4m.frames(files, spark.sparkContext.defaultParallelism)
+    digest = lambda k: F.md5(F.hex(y4m.plane(F.col("planes"), F.col("width"), F.col("height"), F.col("chroma"), k)))
+    stream = F.regexp_extract("path", r"([0-9]+)\.y4m$", 1).cast("long")
+    return read.select(stream.alias("stream"), "frame", "chroma", "rate", "error", digest(0).alias("luma"), digest(1).alias("blue"), digest(2).alias("red"))

@@ -148,11 +148,13 @@ def uv_pair_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""with {pattern_sql(64)}, v as (
   select image_id, y // 8 as bj, x // 8 as bi, greatest(0, sum(luma * luma) / count(*) - (sum(luma) / count(*)) * (sum(luma) / count(*))) as variance from yc group by 1, 2, 3
-), p as (select image_id, ln(1 + list_sort(list(variance))[16]) as v from v group by 1)
-select image_id, cast(case when v < 5.549076 then -floor(least((5.549076 - v) * 5.0, 18.0) + 0.5) else floor(least(greatest(v - greatest(7.0, 5.549076), 0.0) * 6.0, 16.0) + 0.5) end as integer) as delta from p""")
+), p as (select image_id, ln(1 + list_sort(list(variance))[16]) as v from v group by 1), a as (
+  select image_id, 0.95 * ln(1 + greatest(0, sum(luma * luma) / count(*) - (sum(luma) / count(*)) * (sum(luma) / count(*)))) as anchor from yc group by 1
+) select image_id, cast(case when v < 5.549076 then -floor(least((5.549076 - v) * 5.0, 18.0) + 0.5) else floor(least(greatest(v - greatest(anchor, 5.549076), 0.0) * 6.0, 16.0) + 0.5) end as integer) as delta from p join a using (image_id)""")
 def variance_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    picked = blocks.octile(blocks.sub_block_variances(luma(spark, sf_dir, 64), "v"), 2)
-    return picked.select("image_id", statistics.boost_offset(F.col("picked"), F.lit(7.0)).alias("delta"))
+    rows = luma(spark, sf_dir, 64)
+    picked = blocks.octile(blocks.sub_block_variances(rows, "v"), 2)
+    return picked.join(statistics.boost_anchor(rows, "v"), "image_id").select("image_id", statistics.boost_offset(F.col("picked"), F.col("anchor")).alias("delta"))
 
 
 def _laplacian_sql(of: str, v: str) -> str:

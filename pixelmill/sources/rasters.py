@@ -77,3 +77,15 @@ def stacked_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(image, samples): planes of 32 x 32 samples, each the components of 16 successive vectors of 64, one after the other."""
     rows = embed_blocks(spark, sf_dir).select(F.expr("vec_id div 16").alias("image"), F.struct("vec_id", "block").alias("row"))
     return rows.groupBy("image").agg(F.array_sort(F.collect_list("row")).alias("rows")).where(F.size("rows") == 16).select("image", F.flatten("rows.block").alias("samples"))
+
+
+def contrast_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image, height, width, samples): 128 x 160 samples whose squares of 64 differ in contrast and brightness.
+
+    An image is made of 40 vectors of 64 components; a last image of fewer is left out. Square k of image i keeps the
+    distance of a component from 128, divided by 2^((5 * i + 3 * k) % 7), around 24 + 40 * ((i + k) % 5), inside a byte.
+    """
+    rows = embed_blocks(spark, sf_dir).select(F.expr("vec_id div 40").alias("image"), F.struct("vec_id", "block").alias("row"))
+    strips = rows.groupBy("image").agg(F.array_sort(F.collect_list("row")).alias("rows")).where(F.size("rows") == 40)
+    sample = "transform(sequence(0, 159), x -> cast(greatest(0, least(255, 24 + 40 * ((image + y div 64 * 3 + x div 64) % 5) + ((rows[(y + 8 * (x div 64)) % 40].block[x % 64] - 128) >> cast((5 * image + 3 * (y div 64 * 3 + x div 64)) % 7 as int)))) as int))"
+    return strips.select("image", F.lit(128).alias("height"), F.lit(160).alias("width"), F.expr(f"flatten(transform(sequence(0, 127), y -> {sample}))").alias("samples"))
