@@ -17,8 +17,10 @@ from __future__ import annotations
 
 import heapq
 import re
+import sys
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +34,8 @@ CAPACITY = 4096
 #: Bytes of text after which a packing group is closed.
 GROUP_BYTES = 16 << 20
 END_ID = 2
-#: Words whose ids a worker remembers; the memory is emptied when full.
-CACHED_WORDS = 1 << 16
+#: Words, and as many words' letters, whose ids a task remembers: this many of late, and as many from before that.
+CACHED_WORDS = 1 << 17
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -42,8 +44,35 @@ def id_type(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
-class WordIds(dict):
-    """The ids of a white-space-delimited word as little-endian bytes.
+class Remembered(dict):
+    """Values of a function by its argument. Of what was asked for longest ago most is forgotten, so memory is bounded.
+
+    There are two generations: when the young one is full it becomes the old one, and what is asked for again comes
+    back into the young one. Very long arguments aren't remembered.
+    """
+
+    def __init__(self, find: Callable[[bytes | str], bytes]) -> None:
+        self.find, self.old = find, {}
+
+    def __missing__(self, key: bytes | str) -> bytes:
+        ids = self.old.get(key)
+        if ids is None:
+            ids = self.find(key)
+            if len(key) > 64:
+                return ids
+        if len(self) >= CACHED_WORDS:
+            self.old = dict(self)
+            self.clear()
+        self[key] = ids
+        return ids
+
+    def forget(self) -> None:
+        self.old = {}
+        self.clear()
+
+
+class WordIds:
+    """The ids of white-space-delimited words as little-endian bytes.
 
     The tokenizer's pre-tokenizer never joins characters across white space, so the ids of a text are those of its
     words in turn. Only ASCII white space delimits here; every other character reaches the tokenizer. Where the
@@ -58,45 +87,46 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.kind = id_type(self.tokenizer.get_vocab_size())
-        self.letters: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {"": b""}
+        self.words, self.letters, self.marks = Remembered(self.word), Remembered(self.model_ids), Remembered(self.ask)
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]  # of byte-level BPE: these bytes stand for themselves
         others = iter(range(256, 512))
         self.bytes_as = {x: x if x in printable else next(others) for x in range(256)}
         self.short_way = all(self.ask(x) == self.model_ids(y) for x, y in (("Bright", "bright"), ("\u00c9t\u00e9", "\u00e9t\u00e9"), ("stra\u00dfe", "stra\u00dfe"))) and self.ask("one,two") == self.ask("one , two")
 
+    def stored(self, ids: list[int]) -> bytes:
+        found = array("H" if self.kind == "<u2" else "I", ids)
+        if sys.byteorder == "big":
+            found.byteswap()
+        return found.tobytes()
+
     def ask(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        return self.stored(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def model_ids(self, letters: str) -> bytes:
         seen = letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.bytes_as)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(seen)], self.kind).tobytes()
+        return self.stored([t.id for t in self.model.tokenize(seen)])
 
-    def __missing__(self, word: bytes) -> bytes:
+    def word(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
-        if self.short_way and (m := self.PLAIN.fullmatch(text)):
-            letters, marks = m[1].lower(), m[2]
-            if (first := self.letters.get(letters)) is None:
-                first = self.kept(self.letters, letters, self.model_ids(letters))
-            if (last := self.marks.get(marks)) is None:
-                last = self.kept(self.marks, marks, self.ask(marks))
-            return self.kept(self, word, first + last)
-        return self.kept(self, word, self.ask(text))
-
-    @staticmethod
-    def kept(memory: dict, key: bytes | str, ids: bytes) -> bytes:
-        if len(key) <= 64:
-            if len(memory) >= CACHED_WORDS:
-                memory.clear()
-            memory[key] = ids
-        return ids
+        if self.short_way:
+            if text.isalpha() and text.isascii():
+                return self.letters[text.lower()]
+            if m := self.PLAIN.fullmatch(text):
+                letters, marks = m[1].lower(), m[2]
+                return self.letters[letters] + self.marks[marks] if marks else self.letters[letters]
+        return self.ask(text)
+
+    def forget(self) -> None:
+        for memory in (self.words, self.letters, self.marks):
+            memory.forget()
 
     def text(self, data: bytes | None, end_id: int) -> bytes:
-        return b"".join(map(self.__getitem__, (data or b"").split())) + np.array([end_id], self.kind).tobytes()
+        return b"".join(map(self.words.__getitem__, (data or b"").split())) + self.stored([end_id])
 
 
-#: A worker's memory of words, by tokenizer; it outlives a task.
+#: A worker's tokenizers by path; they outlive a task, the words they remember don't.
 KNOWN: dict[str, WordIds] = {}
 
 
@@ -148,16 +178,19 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, group_b
         words = KNOWN.setdefault(tokenizer_path, None) or WordIds(tokenizer_path)
         KNOWN[tokenizer_path] = words
         names, ids, size, at = [], [], 0, TaskContext.get().partitionId() << 40
-        for b in slices(batches):
-            for name, text in zip(b["doc_id"].to_pylist(), b["text"].cast(pa.binary()).to_pylist(), strict=True):
-                names.append(name)
-                ids.append(np.frombuffer(words.text(text, end_id), words.kind))
-                size += len(text or b"") + 1
-                if size >= group_bytes:
-                    found, at = packed(names, ids, at)
-                    yield found
-                    names, ids, size = [], [], 0
-        if ids:
-            yield packed(names, ids, at)[0]
+        try:
+            for b in slices(batches):
+                for name, text in zip(b["doc_id"].to_pylist(), b["text"].cast(pa.binary()).to_pylist(), strict=True):
+                    names.append(name)
+                    ids.append(np.frombuffer(words.text(text, end_id), words.kind))
+                    size += len(text or b"") + 1
+                    if size >= group_bytes:
+                        found, at = packed(names, ids, at)
+                        yield found
+                        names, ids, size = [], [], 0
+            if ids:
+                yield packed(names, ids, at)[0]
+        finally:
+            words.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)

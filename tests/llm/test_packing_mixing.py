@@ -54,6 +54,20 @@ def test_words_equal_the_tokenizer(tokenizer):
         assert np.frombuffer(words.text(text.encode(), 2), words.kind).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 2]
 
 
+def test_words_are_forgotten_by_age(tokenizer, monkeypatch):
+    """Memory is bounded at twice the setting, hot words stay, and nothing of it shows in the ids."""
+    monkeypatch.setattr(packing, "CACHED_WORDS", 8)
+    words, asked = packing.WordIds(tokenizer_path()), []
+    words.words.find = lambda w, find=words.words.find: asked.append(w) or find(w)
+    texts = [f"the w{k}x the {'y' * 70}{k} Name{k}, THE" for k in range(50)]
+    for text in texts:
+        assert np.frombuffer(words.text(text.encode(), 2), words.kind).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 2]
+        assert all(len(m) <= 8 and len(m.old) <= 8 for m in (words.words, words.letters, words.marks))
+    assert asked.count(b"the") == 1 and len(asked) == 2 + 3 * len(texts)
+    words.forget()
+    assert not words.words and not words.words.old and words.text(b"the", 2)
+
+
 def test_pack_round_trip(spark, odd_docs, no_docs, tokenizer):
     rows = packing.pack(odd_docs, tokenizer_path()).collect()
     want: dict = {}
