@@ -24,6 +24,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,8 +35,10 @@ CAPACITY = 4096
 #: Bytes of text after which a packing group is closed.
 GROUP_BYTES = 16 << 20
 END_ID = 2
-#: Words, and as many words' letters, whose ids a task remembers: this many of late, and as many from before that.
-CACHED_WORDS = 1 << 17
+#: Rows of an Arrow batch that are tokenised at once (of 8 MB at most, where one row isn't more).
+SLICE_ROWS = 1 << 14
+#: Words' letters, and as many words of other kinds, whose ids a task remembers: this many of late, and as many from before that.
+CACHED_WORDS = 1 << 18
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -125,6 +128,31 @@ class WordIds:
     def text(self, data: bytes | None, end_id: int) -> bytes:
         return b"".join(map(self.words.__getitem__, (data or b"").split())) + self.stored([end_id])
 
+    def texts(self, texts: pa.Array, end_id: int) -> list[np.ndarray]:
+        """The ids of every text, as text() finds them, but each distinct word is looked at once and its ids are copied to all its places."""
+        split = pc.ascii_split_whitespace(texts)  # with empty words at white-space ends, which have no ids
+        words = split.flatten().dictionary_encode()
+        kinds = [words.dictionary]  # of what is looked up; a word is a piece of each, most of them empty
+        if self.short_way:
+            parts = pc.extract_regex(words.dictionary, f"^{self.PLAIN.pattern.replace('(', '(?P<letters>', 1).replace(')(', ')(?P<marks>')}$")
+            kinds = [pc.if_else(parts.is_valid(), pa.scalar(None, words.dictionary.type), words.dictionary), pc.utf8_lower(pc.struct_field(parts, "letters")), pc.struct_field(parts, "marks")]
+        found, pieces = [b""], []
+        for values, find in zip(kinds, (self.words, self.letters, self.marks), strict=False):
+            values = values.dictionary_encode()
+            pieces.append(pc.fill_null(pc.add(values.indices.cast(pa.int64()), len(found)), 0).to_numpy())
+            found += [find[x] for x in values.dictionary.cast(pa.binary() if find is self.words else pa.string()).to_pylist()]
+        ids, end = np.frombuffer(b"".join(found), self.kind), np.frombuffer(self.stored([end_id]), self.kind)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // ids.itemsize
+        codes = np.stack(pieces, axis=1)[words.indices.to_numpy()].ravel()
+        each = sizes[codes]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        at = np.repeat(((np.cumsum(sizes) - sizes)[codes] - ends[:-1]).astype(np.int32 if ends[-1] < 1 << 31 else np.int64), each)
+        at += np.arange(len(at), dtype=at.dtype)
+        ids = ids[at]
+        counts = pc.fill_null(pc.list_value_length(split), 0).to_numpy()
+        cuts = ends[np.concatenate([[0], np.cumsum(counts)]) * len(pieces)].tolist()
+        return [np.concatenate([ids[i:j], end]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+
 
 #: A worker's tokenizers by path; they outlive a task, the words they remember don't.
 KNOWN: dict[str, WordIds] = {}
@@ -179,14 +207,15 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, group_b
         KNOWN[tokenizer_path] = words
         names, ids, size, at = [], [], 0, TaskContext.get().partitionId() << 40
         try:
-            for b in slices(batches):
-                for name, text in zip(b["doc_id"].to_pylist(), b["text"].cast(pa.binary()).to_pylist(), strict=True):
+            for b in slices(batches, SLICE_ROWS):
+                bytes_ = pc.fill_null(pc.binary_length(b["text"]), 0).to_pylist()
+                for name, found, n in zip(b["doc_id"].to_pylist(), words.texts(b["text"], end_id), bytes_, strict=True):
                     names.append(name)
-                    ids.append(np.frombuffer(words.text(text, end_id), words.kind))
-                    size += len(text or b"") + 1
+                    ids.append(found)
+                    size += n + 1
                     if size >= group_bytes:
-                        found, at = packed(names, ids, at)
-                        yield found
+                        pieces, at = packed(names, ids, at)
+                        yield pieces
                         names, ids, size = [], [], 0
             if ids:
                 yield packed(names, ids, at)[0]

@@ -4,6 +4,7 @@ import zlib
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pixelmill.llm import mixing, packing
@@ -68,6 +69,21 @@ def test_words_are_forgotten_by_age(tokenizer, monkeypatch):
     assert not words.words and not words.words.old and words.text(b"the", 2)
 
 
+def test_batches_ask_for_each_word_once(tokenizer, monkeypatch):
+    """However few words are remembered, a batch's letters go to the model once, and nothing of it shows in the ids."""
+    monkeypatch.setattr(packing, "CACHED_WORDS", 4)
+    words, asked = packing.WordIds(tokenizer_path()), []
+    words.letters.find = lambda w, find=words.letters.find: asked.append(w) or find(w)
+    many = [f"Word{'abcdefghij'[k]} {'klmnopqrst'[k]}et, ÉTÉ!" for k in range(10)]
+    texts = [None, "", " \n\t", *many, *many, " ".join(many) + " ", "\x1ca\x1db \x85z \xa0q\u3000w", "It's x\u0301 a\x0bb 12,34 <|endoftext|> ß ẞ", *many]
+    for way in (True, False):
+        words.short_way, asked[:] = way, []
+        for x, ids in zip(texts, words.texts(pa.array(texts), 2), strict=True):
+            assert ids.tolist() == [*tokenizer.encode(x or "", add_special_tokens=False).ids, 2]
+        assert len(asked) == len(set(asked))
+    assert words.texts(pa.array([], pa.string()), 2) == [] and [x.tolist() for x in words.texts(pa.array([None, ""], pa.string()), 2)] == [[2], [2]]
+
+
 def test_pack_round_trip(spark, odd_docs, no_docs, tokenizer):
     rows = packing.pack(odd_docs, tokenizer_path()).collect()
     want: dict = {}
