@@ -224,7 +224,8 @@ def without_repeats(docs: DataFrame, **how: int) -> DataFrame:
     lost = line_components(docs, **how).where("not kept").groupBy("doc_id", "version").agg(F.collect_set("line_no").alias("gone"))
     lost = written(lost, "gone").toDF(gone_doc, gone_version, gone)
     hit = docs.join(lost, docs["doc_id"].cast("long").eqNullSafe(F.col(gone_doc)) & (version(docs) == F.col(gone_version)), "left")
-    kept = lines_left(F.when(F.col(gone).isNotNull(), F.col("text").cast("string")), F.col(gone))
+    # as if by chance, else the filter would be pushed below and the function called twice, in two workers of a task
+    kept = lines_left.asNondeterministic()(F.when(F.col(gone).isNotNull(), F.col("text").cast("string")), F.col(gone))
     out = hit.withColumn(new, F.when(F.col(gone).isNull(), F.col("text").cast("string")).otherwise(kept))
     out = out.where(F.col(gone).isNull() | F.col(new).rlike(r"[^\x20\x09-\x0D]"))
     columns = [F.col(new).alias("text") if c == "text" else F.length(new).cast(kind).alias("n_chars") if c == "n_chars" else F.col(c) for c, kind in docs.dtypes]

@@ -35,8 +35,8 @@ CAPACITY = 4096
 #: Bytes of text after which a packing group is closed.
 GROUP_BYTES = 16 << 20
 END_ID = 2
-#: Rows of an Arrow batch that are tokenised at once (of 8 MB at most, where one row isn't more).
-SLICE_ROWS = 1 << 14
+#: Rows and bytes of an Arrow batch that are tokenised at once; one row may be longer.
+SLICE_ROWS, SLICE_BYTES = 1 << 14, 4 << 20
 #: Words' letters, and as many words of other kinds, whose ids a task remembers: this many of late, and as many from before that.
 CACHED_WORDS = 1 << 18
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -207,7 +207,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, group_b
         KNOWN[tokenizer_path] = words
         names, ids, size, at = [], [], 0, TaskContext.get().partitionId() << 40
         try:
-            for b in slices(batches, SLICE_ROWS):
+            for b in slices(batches, SLICE_ROWS, SLICE_BYTES):
                 bytes_ = pc.fill_null(pc.binary_length(b["text"]), 0).to_pylist()
                 for name, found, n in zip(b["doc_id"].to_pylist(), words.texts(b["text"], end_id), bytes_, strict=True):
                     names.append(name)

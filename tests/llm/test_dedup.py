@@ -275,3 +275,11 @@ def test_windows_are_told_apart():
         texts = [b"abcabcab\xff\x00bcab"[i : i + chars] for i in range(14 - chars + 1)]
         assert [[a == b for b in texts] for a in texts] == [[bool(a == b) for b in x] for a in x]
         assert len(line_dedup.windows(b"ab"[: chars - 1], chars)) == 0
+
+
+def test_lines_are_taken_out_in_one_pass(spark):
+    """The function that takes lines out is called once a text, for the filter and the result together."""
+    docs = spark.createDataFrame([(1, "one line\nanother"), (2, "one line"), (3, "one line\nmore")], "doc_id long, text string")
+    out = line_dedup.without_repeats(docs, **line_dedup.FINE)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted(map(tuple, out.collect())) == [(1, "one line\nanother"), (3, "more")]
