@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pixelmill.llm.common import free_names
+from pixelmill.llm.common import BROADCAST_ROWS, free_names
 
 #: Documents of a block, at least, and blocks of a schedule, at most (but for a last one of each source).
 BLOCK_DOCS = 64
@@ -117,6 +117,8 @@ def mix_order(docs: DataFrame, weights: dict[str | None, float] | None = None, b
     sizes = named.groupBy(source, part).agg(F.count(F.lit(1)).alias(start))
     before = W.partitionBy(source).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
     starts = sizes.select(F.col(source).alias(s_source), F.col(part).alias(s_part), F.coalesce(F.sum(start).over(before), F.lit(0)).alias(start))
+    if len(counts) << bits + 1 <= BROADCAST_ROWS:  # a row for each hash range at most; a join by shuffle would deal the texts out once more
+        starts = F.broadcast(starts)
     within = W.partitionBy(source, part).orderBy(key, "doc_id")
     ranked = named.withColumn(rank, F.row_number().over(within) - 1)
     ranked = ranked.join(starts, F.col(source).eqNullSafe(F.col(s_source)) & (F.col(part) == F.col(s_part)))
