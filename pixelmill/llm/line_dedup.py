@@ -29,7 +29,7 @@ from pyspark.sql.types import StringType
 
 from pixelmill.llm.common import BROADCAST_ROWS, free_names, slices, small, written
 from pixelmill.llm.components import with_roots
-from pixelmill.llm.linking import linked, shared_keys
+from pixelmill.llm.linking import linked, packed, shared_keys, unpacked_all
 from pixelmill.llm.minhash import mixed, permutations
 
 BANDS = 10
@@ -38,6 +38,8 @@ ROWS = 4
 CHARS = 8
 MIN_WORDS = 5
 PERCENT = 80
+#: Lines of a batch of sketches, at most.
+SKETCHED = 1 << 20
 #: How the query and the pipeline call this: every line that holds a word takes part, and at 5 bytes near copies of
 #: short lines are linked too. Lines share many short shingles by chance; longer bands keep such pairs from meeting, and
 #: so many of them meet a pair at 0.8 with probability 0.9958.
@@ -106,15 +108,23 @@ def places(docs: DataFrame, min_words: int) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            rows = [(i, no, xxhash.xxh3_128_digest(x)) for i, data in enumerate(b["text"].cast(pa.binary()).to_pylist()) for no, x in eligible(data, min_words)]
-            at = pa.array([r[0] for r in rows], pa.int64())
-            yield pa.RecordBatch.from_arrays([b["doc_id"].take(at), b["version"].take(at), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["doc_id", "version", "line_no", "line_id"])
+            numbers, ids, ends = [], [], [0]
+            for data in b["text"].cast(pa.binary()).to_pylist():
+                for no, x in eligible(data, min_words):
+                    numbers.append(no)
+                    ids.append(xxhash.xxh3_128_digest(x))
+                ends.append(len(ids))
+            at = pa.array(np.repeat(np.arange(b.num_rows), np.diff(ends)))
+            yield pa.RecordBatch.from_arrays([b["doc_id"].take(at), b["version"].take(at), pa.array(numbers, pa.int32()), pa.array(ids, pa.binary())], ["doc_id", "version", "line_no", "line_id"])
 
     return sources(docs).mapInArrow(read, "doc_id long, version long, line_no int, line_id binary")
 
 
 def sketches(docs: DataFrame, min_words: int, chars: int, bands: int, rows: int) -> DataFrame:
-    """(line_id, doc_id, version, line_no, times, keys) of each batch's distinct lines, with the first place and the number of places."""
+    """(line_id, doc_id, version, line_no, times, keys) of each batch's distinct lines, with the first place and the number of places.
+
+    keys: a line's bands, packed as 64-bit numbers; one value is carried, written and read much cheaper than an array.
+    """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 4096):
@@ -131,25 +141,50 @@ def sketches(docs: DataFrame, min_words: int, chars: int, bands: int, rows: int)
             for k in range(rows):
                 keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + sig[:, k::rows] + np.arange(1, bands + 1, dtype=np.uint64))
             at = pa.array([i for i, _ in first.values()], pa.int64())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(first) + 1) * bands, bands), pa.int32()), pa.array(keys.view(np.int64).ravel(), pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([xxhash.xxh3_128_digest(x) for x in first], pa.binary()), b["doc_id"].take(at), b["version"].take(at), pa.array([no for _, no in first.values()], pa.int32()), pa.array(times.values(), pa.int64()), lists],
-                ["line_id", "doc_id", "version", "line_no", "times", "keys"],
-            )
+            parts = [pa.array([xxhash.xxh3_128_digest(x) for x in first], pa.binary()), b["doc_id"].take(at), b["version"].take(at), pa.array([no for _, no in first.values()], pa.int32()), pa.array(times.values(), pa.int64())]
+            for k in range(0, len(first), SKETCHED):  # an Arrow array of bytes ends at 2 GB
+                yield pa.RecordBatch.from_arrays([*(x.slice(k, SKETCHED) for x in parts), packed(keys[k : k + SKETCHED])], ["line_id", "doc_id", "version", "line_no", "times", "keys"])
+
+    return sources(docs).mapInArrow(sketch, "line_id binary, doc_id long, version long, line_no int, times long, keys binary")
+
+
+def shared(distinct: DataFrame, keys: DataFrame) -> DataFrame:
+    """(v, key, df) of the lines (v, keys) and those of their keys that are in the table (key, df)."""
 
-    return sources(docs).mapInArrow(sketch, "line_id binary, doc_id long, version long, line_no int, times long, keys array<long>")
+    def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, SKETCHED // 16):
+            found = unpacked_all(b["keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b["v"].to_numpy(), len(found) // b.num_rows)), pa.array(found.view(np.int64))], ["v", "key"])
 
+    return distinct.select("v", "keys").mapInArrow(posted, "v long, key long").join(keys, "key")
 
-def line_texts(docs: DataFrame, ids: DataFrame, min_words: int) -> DataFrame:
-    """(v, line) of the wanted lines (a written table of line_id, v), each once."""
+
+def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(v, line) of the wanted lines, a written table of (v, line_id) and one place (doc_id, version, line_no) each.
+
+    Lines are read where they stand: texts without a wanted line aren't split, and only wanted ones come back. Ids
+    are compared, should two texts of one doc_id have one version.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            lines = list({x: None for data in b["text"].cast(pa.binary()).to_pylist() for _, x in eligible(data, min_words)})
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x) for x in lines], pa.binary()), pa.array(lines, pa.binary())], ["line_id", "line"])
-
-    texts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(read, "line_id binary, line binary")
-    return texts.join(small(ids), "line_id").groupBy("v").agg(F.first("line").alias("line"))
+            vs, lines = [], []
+            for data, places in zip(b["text"].cast(pa.binary()).to_pylist(), b["places"].to_pylist(), strict=True):
+                own = (data or b"").lower().split(b"\n")
+                for place in places:
+                    line = b" ".join(own[place["line_no"]].split()) if place["line_no"] < len(own) else b""
+                    if xxhash.xxh3_128_digest(line) == place["line_id"]:
+                        vs.append(place["v"])
+                        lines.append(line)
+            yield pa.RecordBatch.from_arrays([pa.array(vs, pa.int64()), pa.array(lines, pa.binary())], ["v", "line"])
+
+    at_doc, at_version = F.col("at_doc"), F.col("at_version")
+    by_doc = wanted.groupBy(F.col("doc_id").alias("at_doc"), F.col("version").alias("at_version")).agg(F.collect_list(F.struct("line_no", "line_id", "v")).alias("places"))
+    if wanted.count() <= BROADCAST_ROWS:
+        by_doc = F.broadcast(by_doc)
+    texts = sources(docs).join(by_doc, F.col("doc_id").eqNullSafe(at_doc) & (F.col("version") == at_version)).select("text", "places")
+    # dealt out first, since lines come twice only where rows do
+    return texts.mapInArrow(read, "v long, line binary").repartition("v").groupBy("v").agg(F.first("line").alias("line"))
 
 
 def version(docs: DataFrame) -> Column:
@@ -187,12 +222,12 @@ def line_components(docs: DataFrame, min_words: int = MIN_WORDS, percent: int =
     # dealt out first: nearly all lines of a task are distinct already, so sums before the shuffle would only be a sort more
     distinct = sketches(docs, min_words, chars, bands, rows).repartition("line_id").groupBy("line_id").agg(F.min(place).alias("first"), F.sum("times").alias("times"), F.first("keys").alias("keys"))
     distinct = written(distinct.withColumn("v", F.monotonically_increasing_id()), "distinct")  # short numbers, fixed by the written table
-    shared = small(written(shared_keys(distinct, "keys", total=distinct.count() * bands), "shared"))
-    met = distinct.select("v", F.explode("keys").alias("key")).join(shared, "key").groupBy("v").agg(F.collect_list("key").alias("keys"), F.sum(F.log2("df")).alias("w"))
+    common = small(written(shared_keys(distinct, "keys", total=distinct.count() * bands), "shared"))
+    met = shared(distinct, common).groupBy("v").agg(F.collect_list("key").alias("keys"), F.sum(F.log2("df")).alias("w"))
     met = written(met, "met")  # a row for each line that shares a key, of at most its bands' keys
     postings = met.select(F.explode("keys").alias("key"), "v", F.lit(0).alias("n"), "w")
-    ids = written(distinct.select("line_id", "v").join(met.select("v").hint("shuffle_hash"), "v", "left_semi"), "ids")
-    lines = written(line_texts(docs, ids, min_words), "lines")
+    wanted = written(distinct.select("v", "line_id", "first.*").join(met.select("v").hint("shuffle_hash"), "v", "left_semi"), "wanted")
+    lines = written(line_texts(docs, wanted), "lines")
     comps = written(with_roots(linked(postings, lambda pairs: confirmed(pairs, lines, chars, percent), lambda wanted: lines.join(small(wanted), "v", "left_semi").withColumnRenamed("line", "s"), percent, sized=False, unpack=lambda line: char_shingles(line, chars), swell=8)), "linked")
     # only lines that stand more than once, or are linked, can give way to another
     of = distinct.select("line_id", "first", "times", "v").join(small(comps), "v", "left").where("times > 1 or comp is not null").withColumn("comp", F.coalesce("comp", "v"))

@@ -46,6 +46,23 @@ def unpacked(s: bytes) -> np.ndarray:
     return np.frombuffer(s, np.uint64)
 
 
+def packed(rows: np.ndarray) -> pa.Array:
+    """The rows of a matrix of 64-bit numbers as one value of bytes each."""
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(len(rows) + 1, dtype=np.int32) * np.int32(8 * rows.shape[1])), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def unpacked_all(values: pa.Array) -> np.ndarray:
+    """The unsigned 64-bit numbers of all lists, or of all packed values, one after the other, but for nulls."""
+    if not pa.types.is_binary(values.type):
+        return values.flatten().drop_null().to_numpy().view(np.uint64)
+    values = values.drop_null()
+    if not len(values):
+        return np.empty(0, np.uint64)
+    _, ends, data = values.buffers()
+    ends = np.frombuffer(ends, np.int32)[values.offset : values.offset + len(values) + 1]
+    return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(np.uint64)
+
+
 def counted(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct keys in order, and the sums of their counts."""
     order = np.argsort(keys)
@@ -55,20 +72,20 @@ def counted(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def shared_keys(lists: DataFrame, keys: str, held: int = HELD_KEYS, total: int | None = None) -> DataFrame:
-    """(key, df) of the keys that stand more than once in the lists, a (written) table's column of array<long>.
+    """(key, df) of the keys that stand more than once in the lists, a (written) table's column of array<long> or packed ones.
 
     Keys are hashes, most of which stand once, so rows of one key and a count would be costly: every task sums up what
     it reads and sends a bucket's keys as one value, and so a hot key is one entry for each task. Null lists and keys count
     as none. total: about how many keys there are, where the caller knows that without reading them.
     """
     lists = lists.select(F.col(keys).alias("keys")).where("keys is not null")
-    total = total if total is not None else lists.agg(F.sum(F.size("keys"))).first()[0] or 0
+    total = total if total is not None else lists.agg(F.sum(F.expr("octet_length(keys) div 8") if dict(lists.dtypes)["keys"] == "binary" else F.size("keys"))).first()[0] or 0
     buckets = max(1, -(-total // held))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
         for b in batches:
-            parts.append(b["keys"].flatten().drop_null().to_numpy().view(np.uint64))
+            parts.append(unpacked_all(b["keys"]))
             size += len(parts[-1])
             if size >= held:
                 yield dealt(np.concatenate(parts))

@@ -283,3 +283,41 @@ def test_lines_are_taken_out_in_one_pass(spark):
     out = line_dedup.without_repeats(docs, **line_dedup.FINE)
     assert out._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
     assert sorted(map(tuple, out.collect())) == [(1, "one line\nanother"), (3, "more")]
+
+
+def test_keys_of_lines_are_carried_as_one_value(spark):
+    """Packed keys are counted and posted as lists of them are, nulls and slices too."""
+    docs = spark.createDataFrame([(1, "one line\nanother of them"), (2, "one line\n\nOne  line"), (None, None)], "doc_id long, text string")
+    rows = line_dedup.sketches(docs, 1, 5, 18, 6)
+    assert dict(rows.dtypes)["keys"] == "binary" and {len(r["keys"]) for r in rows.collect()} == {8 * 18}
+    rng = random.Random(8)
+    lists = [[rng.randrange(-50, 50) for _ in range(3)] for _ in range(400)]
+    values = linking.packed(np.array(lists, np.int64))
+    assert linking.unpacked_all(values.slice(7, 90)).view(np.int64).tolist() == [x for some in lists[7:97] for x in some]
+    assert len(linking.unpacked_all(values.slice(0, 0))) == 0
+    table = spark.createDataFrame([(v, x) for v, x in enumerate([bytearray(x) for x in values.to_pylist()] + [None])], "v long, keys binary").repartition(3)
+    want = {}
+    for x in (x for some in lists for x in some):
+        want[x] = want.get(x, 0) + 1
+    for total in (None, 1200):
+        found = linking.shared_keys(table, "keys", 100, total)
+        assert {r["key"]: r["df"] for r in found.collect()} == {x: n for x, n in want.items() if n > 1}
+    posted = line_dedup.shared(table.where("keys is not null"), found).collect()
+    assert sorted((r["v"], r["key"]) for r in posted) == sorted((v, x) for v, some in enumerate(lists) for x in some if want[x] > 1)
+
+
+def test_wanted_lines_are_read_where_they_stand(spark, monkeypatch):
+    """By doc_id, version and number, null ids and repeated rows too, joined by broadcast or shuffle; never another line."""
+    rows = [(None, "x\nA  b\tC "), (None, "x\nA  b\tC "), (None, "other\nlines"), (1, "first\nsecond\nthird"), (1, "another first"), (2, "not wanted"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    places = line_dedup.places(docs, 1).distinct().selectExpr("doc_id", "version", "line_no", "line_id", "monotonically_increasing_id() as v")
+    wanted = common.written(places.where("line_no = 1 or doc_id = 1"), "wanted")
+    number = {(r["doc_id"], r["version"], r["line_no"]): r["v"] for r in wanted.collect()}
+    named = {(r["doc_id"], r["text"]): r["version"] for r in line_dedup.sources(docs).collect()}
+    want = {number[i, named[i, text], no]: line for i, text, no, line in [(None, rows[0][1], 1, b"a b c"), (None, rows[2][1], 1, b"lines"), (1, rows[3][1], 0, b"first"), (1, rows[3][1], 1, b"second"), (1, rows[3][1], 2, b"third"), (1, rows[4][1], 0, b"another first")]}
+    for most in (line_dedup.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", most)
+        got = line_dedup.line_texts(docs, wanted).collect()
+        assert {r["v"]: bytes(r["line"]) for r in got} == want and len(got) == len(want)
+    far = wanted.withColumn("line_no", wanted["line_no"] + 5)  # as if two texts had one version
+    assert line_dedup.line_texts(docs, far).count() == 0
