@@ -40,6 +40,8 @@ MIN_WORDS = 5
 PERCENT = 80
 #: Lines of a batch of sketches, at most.
 SKETCHED = 1 << 20
+#: First bits of keys by which those are left out that no other line has.
+MAP_BITS = 23
 #: How the query and the pipeline call this: every line that holds a word takes part, and at 5 bytes near copies of
 #: short lines are linked too. Lines share many short shingles by chance; longer bands keep such pairs from meeting, and
 #: so many of them meet a pair at 0.8 with probability 0.9958.
@@ -149,12 +151,26 @@ def sketches(docs: DataFrame, min_words: int, chars: int, bands: int, rows: int)
 
 
 def shared(distinct: DataFrame, keys: DataFrame) -> DataFrame:
-    """(v, key, df) of the lines (v, keys) and those of their keys that are in the table (key, df)."""
+    """(v, key, df) of the lines (v, keys) and those of their keys that are in the (written) table (key, df).
+
+    Most keys stand once and are left out where they are unpacked, by a map of the first bits of those in the table, if
+    these are few enough to be broadcast; the join decides.
+    """
+    bits = None
+    if keys.count() <= BROADCAST_ROWS:
+        map_ = np.zeros(1 << MAP_BITS, bool)
+        map_[keys.select("key").toArrow()["key"].to_numpy().view(np.uint64) >> np.uint64(64 - MAP_BITS)] = True
+        bits = distinct.sparkSession.sparkContext.broadcast(np.packbits(map_).tobytes())
 
     def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        map_ = None if bits is None else np.unpackbits(np.frombuffer(bits.value, np.uint8)).view(bool)
         for b in slices(batches, SKETCHED // 16):
             found = unpacked_all(b["keys"])
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b["v"].to_numpy(), len(found) // b.num_rows)), pa.array(found.view(np.int64))], ["v", "key"])
+            vs = np.repeat(b["v"].to_numpy(), len(found) // b.num_rows)
+            if map_ is not None:
+                some = map_[found >> np.uint64(64 - MAP_BITS)]
+                vs, found = vs[some], found[some]
+            yield pa.RecordBatch.from_arrays([pa.array(vs), pa.array(found.view(np.int64))], ["v", "key"])
 
     return distinct.select("v", "keys").mapInArrow(posted, "v long, key long").join(keys, "key")
 

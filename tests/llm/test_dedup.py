@@ -285,7 +285,7 @@ def test_lines_are_taken_out_in_one_pass(spark):
     assert sorted(map(tuple, out.collect())) == [(1, "one line\nanother"), (3, "more")]
 
 
-def test_keys_of_lines_are_carried_as_one_value(spark):
+def test_keys_of_lines_are_carried_as_one_value(spark, monkeypatch):
     """Packed keys are counted and posted as lists of them are, nulls and slices too."""
     docs = spark.createDataFrame([(1, "one line\nanother of them"), (2, "one line\n\nOne  line"), (None, None)], "doc_id long, text string")
     rows = line_dedup.sketches(docs, 1, 5, 18, 6)
@@ -302,8 +302,10 @@ def test_keys_of_lines_are_carried_as_one_value(spark):
     for total in (None, 1200):
         found = linking.shared_keys(table, "keys", 100, total)
         assert {r["key"]: r["df"] for r in found.collect()} == {x: n for x, n in want.items() if n > 1}
-    posted = line_dedup.shared(table.where("keys is not null"), found).collect()
-    assert sorted((r["v"], r["key"]) for r in posted) == sorted((v, x) for v, some in enumerate(lists) for x in some if want[x] > 1)
+    for most in (line_dedup.BROADCAST_ROWS, 0):  # with a map of the keys or without
+        monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", most)
+        posted = line_dedup.shared(table.where("keys is not null"), found).collect()
+        assert sorted((r["v"], r["key"]) for r in posted) == sorted((v, x) for v, some in enumerate(lists) for x in some if want[x] > 1)
 
 
 def test_wanted_lines_are_read_where_they_stand(spark, monkeypatch):
@@ -321,3 +323,27 @@ def test_wanted_lines_are_read_where_they_stand(spark, monkeypatch):
         assert {r["v"]: bytes(r["line"]) for r in got} == want and len(got) == len(want)
     far = wanted.withColumn("line_no", wanted["line_no"] + 5)  # as if two texts had one version
     assert line_dedup.line_texts(docs, far).count() == 0
+
+
+def test_keys_that_stand_once_stay_where_they_are(spark):
+    """What no other line has isn't made a row: the function gives the join a few rows of two thousand."""
+    rows = np.random.default_rng(3).integers(-(2**63), 2**63, (500, 4))
+    rows[1, 2] = rows[7, 0]
+    table = spark.createDataFrame([(v, bytearray(x)) for v, x in enumerate(linking.packed(rows).to_pylist())], "v long, keys binary").repartition(3)
+    found = common.written(linking.shared_keys(table, "keys"), "shared")
+    out = line_dedup.shared(table, found)
+    assert sorted((r["v"], r["key"], r["df"]) for r in out.collect()) == [(1, int(rows[7, 0]), 2), (7, int(rows[7, 0]), 2)]
+    given = []
+
+    class Lines:
+        sparkSession = spark
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, f, schema):
+            given.extend(f(iter(table.toArrow().to_batches())))
+            return out
+
+    line_dedup.shared(Lines(), found)
+    assert 2 <= sum(b.num_rows for b in given) < 20
