@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from pixelmill.llm.common import BROADCAST_ROWS, written
 
+#: Edges of a task of the first round; a table of few edges may lie in many files.
+TASK_EDGES = 1 << 16
+
 
 def stars(edges: DataFrame) -> DataFrame:
     """(v, comp) for every vertex of the (written) edges (a, b) but the roots: comp is the smallest vertex that v reaches.
@@ -20,6 +23,7 @@ def stars(edges: DataFrame) -> DataFrame:
     """
     edges = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rows, open_ = edges.count(), True
+    edges = edges.coalesce(1 + rows // TASK_EDGES)
     while open_:
         few = F.broadcast if 2 * rows <= BROADCAST_ROWS else lambda df: df
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -19,9 +19,11 @@ further columns are carried along.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,38 +65,68 @@ def char_shingles(line: bytes, chars: int) -> np.ndarray:
     return x[new]
 
 
-def line_signatures(lines: list[bytes], count: int, chars: int, part: int = 1 << 17) -> np.ndarray:
-    """MinHash signatures: minima over each line's stretch of the joined shingles, in parts that stay in a cache."""
+def line_hashes(lines: bytes, stops: np.ndarray, chars: int) -> np.ndarray:
+    """32-bit hashes of the shingles that begin at the bytes of joined lines, which end at the stops.
+
+    Where a line ends before a shingle does, its last whole shingle stands instead, which changes no set.
+    """
+    factor = np.uint64((0x9E3779B97F4A7C15 << 8 * (8 - chars)) % (1 << 64))  # what follows a shingle in its eight bytes is shifted out
+    x = ((np.ndarray(len(lines), "<u8", lines + bytes(7), strides=1) * factor) >> np.uint64(32)).astype(np.uint32)
+    x ^= x >> np.uint32(15)
+    x *= np.uint32(0x85EBCA6B)
+    x ^= x >> np.uint32(13)
+    for k in range(1, chars):
+        x[stops - k] = x[stops - chars]
+    return x
+
+
+def line_signatures(lines: list[bytes], count: int, chars: int, part: int = 1 << 16) -> np.ndarray:
+    """MinHash signatures, a column for each line: extremes over its stretch of the joined shingles, in parts that stay in a cache.
+
+    An order of hashes gives four extremes, the least and the greatest as unsigned and as signed numbers: the next ones
+    around the circle of numbers from two points of it, either way. Each is any shingle with the same chance, so two lines
+    agree with the chance of their similarity, as with four orders; rows that follow each other are of different orders.
+    """
     out = np.empty((count, len(lines)), np.uint32)
     if not lines:
-        return out.T
+        return out
     padded = [x.ljust(chars, b"\0") for x in lines]
     sizes = np.array([len(x) for x in padded])
     ends = np.cumsum(sizes)
-    a, b = permutations(count)
+    orders = -(-count // 4)
+    a, b = permutations(orders)
     at = 0
     while at < len(lines):
         to = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + part)))
-        size = sizes[at:to]
-        inside = np.ones(size.sum(), bool)
-        for k in range(1, chars):  # shingles that reach over a line's end
-            inside[np.cumsum(size) - k] = False
-        x = (mixed(windows(b"".join(padded[at:to]), chars)[inside[: len(inside) - chars + 1]]) >> np.uint64(32)).astype(np.uint32)
-        cuts, y = np.cumsum(size - chars + 1) - (size - chars + 1), np.empty_like(x)
-        for k in range(count):
+        stops = np.cumsum(sizes[at:to])
+        x = line_hashes(b"".join(padded[at:to]), stops, chars)
+        cuts, y = stops - sizes[at:to], np.empty_like(x)
+        ways = [(least, y.view(kind), out.view(kind)) for kind in (np.uint32, np.int32) for least in (np.minimum, np.maximum)]
+        for k in range(orders):
             np.multiply(x, a[k], out=y)
             np.add(y, b[k], out=y)
-            np.minimum.reduceat(y, cuts, out=out[k, at:to])
+            for row, (extreme, values, found) in zip(range(k, count, orders), ways):
+                extreme.reduceat(values, cuts, out=found[row, at:to])
         at = to
-    return out.T
+    return out
+
+
+def band_keys(lines: list[bytes], chars: int, bands: int, rows: int) -> np.ndarray:
+    """A row of keys for each line; of a band's rows no two are of one order."""
+    orders = max(rows, -(-bands * rows // 4))
+    sig = line_signatures(lines, 4 * orders, chars)[: bands * rows]
+    keys = np.repeat(np.arange(1, bands + 1, dtype=np.uint64)[:, None], len(lines), axis=1)
+    for k in range(rows):
+        keys = keys * np.uint64(0x9E3779B97F4A7C15) + sig[k::rows]
+    return mixed(keys).T
 
 
 def eligible(data: bytes | None, min_words: int) -> Iterator[tuple[int, bytes]]:
     """Numbers and normal forms of a text's lines that take part."""
     data = (data or b"").lower()
-    odd = any(x in data for x in (b"\t", b"\r", b"\v", b"\f", b"  ", b" \n", b"\n ")) or data.startswith(b" ") or data.endswith(b" ")
+    odd = any(x in data for x in (b"\t", b"\r", b"\v", b"\f", b"  "))
     for no, line in enumerate(data.split(b"\n")):
-        if odd:
+        if odd or line and (line[0] == 32 or line[-1] == 32):
             line = b" ".join(line.split())
         # one space stands between two words now, and none elsewhere
         if min_words <= (1 if line else 0) or line and line.count(b" ") + 1 >= min_words:
@@ -138,10 +170,7 @@ def sketches(docs: DataFrame, min_words: int, chars: int, bands: int, rows: int)
                     times[line] = times.get(line, 0) + 1
                     if line not in first or order((i, no)) < order(first[line]):
                         first[line] = (i, no)
-            sig = line_signatures(list(first), bands * rows, chars)
-            keys = np.zeros((len(first), bands), np.uint64)
-            for k in range(rows):
-                keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + sig[:, k::rows] + np.arange(1, bands + 1, dtype=np.uint64))
+            keys = band_keys(list(first), chars, bands, rows)
             at = pa.array([i for i, _ in first.values()], pa.int64())
             parts = [pa.array([xxhash.xxh3_128_digest(x) for x in first], pa.binary()), b["doc_id"].take(at), b["version"].take(at), pa.array([no for _, no in first.values()], pa.int32()), pa.array(times.values(), pa.int64())]
             for k in range(0, len(first), SKETCHED):  # an Arrow array of bytes ends at 2 GB
@@ -185,12 +214,13 @@ def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             vs, lines = [], []
-            for data, places in zip(b["text"].cast(pa.binary()).to_pylist(), b["places"].to_pylist(), strict=True):
+            places = zip(*(x.to_pylist() for x in b["places"].flatten().flatten()), strict=True)
+            for data, n in zip(b["text"].cast(pa.binary()).to_pylist(), pc.list_value_length(b["places"]).to_pylist(), strict=True):
                 own = (data or b"").lower().split(b"\n")
-                for place in places:
-                    line = b" ".join(own[place["line_no"]].split()) if place["line_no"] < len(own) else b""
-                    if xxhash.xxh3_128_digest(line) == place["line_id"]:
-                        vs.append(place["v"])
+                for no, line_id, v in islice(places, n):
+                    line = b" ".join(own[no].split()) if no < len(own) else b""
+                    if xxhash.xxh3_128_digest(line) == line_id:
+                        vs.append(v)
                         lines.append(line)
             yield pa.RecordBatch.from_arrays([pa.array(vs, pa.int64()), pa.array(lines, pa.binary())], ["v", "line"])
 

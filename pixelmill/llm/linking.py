@@ -178,42 +178,47 @@ def apart(members: DataFrame, elements: Callable[[DataFrame], DataFrame], percen
     dealt = members.join(small(blocks), "leader").select("leader", F.pmod(F.xxhash64("v"), "blocks").alias("block"), "blocks", "v", "comp", (F.col("comp") != F.col("leader_comp")).alias("stray"))
     leads = blocks.select("leader", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "blocks", F.col("leader").alias("v"), F.lit(None).cast("long").alias("comp"), F.lit(False).alias("stray"))
     packed = written(dealt.unionAll(leads).join(sets, "v").groupBy("leader", "block", "blocks").applyInArrow(lambda key, rows: pack(key, rows, unpack), PACKED), "blocks")
-    # a block of strays meets every block of its leader, each pair of blocks in a task of its own
+    # a block of strays meets every block of its leader, each pair of blocks in a task of its own; the only block of a
+    # leader meets itself, where it lies
+    both = [*STRAYS, *PARTS]
+    alone, several = packed.where("blocks = 1 and q_vs is not null").select(*both), packed.where("blocks > 1")
     numbers = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    queries = packed.where("strays").select("leader", F.col("block").alias("q"), numbers.alias("m"), *[F.col(c).alias(f"q_{c}") for c in PARTS])
-    all_of = packed.where("not strays").select("leader", numbers.alias("q"), F.col("block").alias("m"), *PARTS)
+    queries = several.where("q_vs is not null").select("leader", F.col("block").alias("q"), numbers.alias("m"), *STRAYS)
+    all_of = several.select("leader", numbers.alias("q"), F.col("block").alias("m"), *PARTS)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1):
             found = [pair for r in b.to_pylist() for pair in joining(*([Block(r, p) for p in ("q_", "")]), percent)]
             yield pa.RecordBatch.from_pydict({"a": pa.array([min(x) for x in found], pa.int64()), "b": pa.array([max(x) for x in found], pa.int64())})
 
-    return queries.join(all_of, ["leader", "q", "m"]).select(*[f"q_{c}" for c in PARTS], *PARTS).mapInArrow(compare, "a long, b long")
+    return alone.unionAll(queries.join(all_of, ["leader", "q", "m"]).select(*both)).mapInArrow(compare, "a long, b long")
 
 
 #: A block's vertices, their components, the sizes of their sets and of their differences from the leader's, and the latter.
 PARTS = ("vs", "comps", "ns", "ds", "elements")
-PACKED = "leader long, block long, blocks long, strays boolean, " + ", ".join(f"{c} binary" for c in PARTS)
+STRAYS = tuple(f"q_{c}" for c in PARTS)
+PACKED = "leader long, block long, blocks long, " + ", ".join(f"{c} binary" for c in (*PARTS, *STRAYS))
 
 
 def pack(key: tuple, rows: pa.Table, unpack: Callable[[bytes], np.ndarray]) -> pa.Table:
-    """A block's members as one row and, if it has strays, these as another."""
+    """A block's members, and beside them those of them that are strays, if there are any; no row for a block without members."""
     leader = key[0].as_py()
     raw = rows["s"].to_pylist()
     sets = [unpack(s) for s in raw]
     vs, comps, stray = rows["v"].to_pylist(), rows["comp"].to_pylist(), rows["stray"].to_pylist()
     base = min((s for s, c in zip(raw, comps, strict=True) if c is None), default=None)  # any set serves that all blocks share
     base = np.empty(0, np.uint64) if base is None else unpack(base)
-    out: dict[str, list] = {c.split()[0]: [] for c in PACKED.split(", ")}
-    for strays in (False, True):
-        at = [i for i in sorted(range(len(vs)), key=vs.__getitem__) if comps[i] is not None and (stray[i] or not strays)]
+    members = [i for i in sorted(range(len(vs)), key=vs.__getitem__) if comps[i] is not None]
+    row = [leader, key[1].as_py(), key[2].as_py()]
+    for at in (members, [i for i in members if stray[i]]):
         if at:
             d = [np.setxor1d(sets[i], base, assume_unique=True) for i in at]
             parts = (np.array([vs[i] for i in at]), np.array([comps[i] for i in at]), np.array([len(sets[i]) for i in at]), np.array([len(x) for x in d]), np.concatenate(d))
-            for name, x in zip(out, (leader, key[1].as_py(), key[2].as_py(), strays, *(p.tobytes() for p in parts)), strict=True):
-                out[name].append(x)
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), *[pa.binary()] * len(PARTS))
-    return pa.table({name: pa.array(x, kind) for (name, x), kind in zip(out.items(), kinds, strict=True)})
+            row += [p.tobytes() for p in parts]
+        else:
+            row += [None] * len(PARTS)
+    kinds = (*[pa.int64()] * 3, *[pa.binary()] * (2 * len(PARTS)))
+    return pa.table({c.split()[0]: pa.array([x] if members else [], kind) for c, x, kind in zip(PACKED.split(", "), row, kinds, strict=True)})
 
 
 class Block:

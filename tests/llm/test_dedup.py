@@ -4,6 +4,7 @@ import time
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 
 sys.path.insert(0, str(Path(__file__).parent))
 import brute
@@ -347,3 +348,49 @@ def test_keys_that_stand_once_stay_where_they_are(spark):
 
     line_dedup.shared(Lines(), found)
     assert 2 <= sum(b.num_rows for b in given) < 20
+
+
+def test_an_order_of_hashes_gives_four_rows_of_a_signature(monkeypatch):
+    """The query's 108 rows are of 27 orders, those of a band of six different ones; lines at the threshold still meet."""
+    asked = []
+    orders = line_dedup.permutations
+    monkeypatch.setattr(line_dedup, "permutations", lambda count: asked.append(count) or orders(count))
+    rng = random.Random(11)
+    pairs = []
+    while len(pairs) < 1500:
+        x = bytes(rng.choices(b"abcdefghijklmnopqrstuvwxyz ", k=rng.randrange(60, 300)))
+        y = bytearray(x)
+        for at in rng.sample(range(len(x)), max(1, len(x) // 55)):
+            y[at] = ord("#")
+        a, b = (set(line_dedup.char_shingles(s, 5).tolist()) for s in (x, bytes(y)))
+        if len(a & b) * 180 >= 80 * (len(a) + len(b)):  # a similarity of 0.8 or more
+            pairs.append((x, bytes(y)))
+    lines = [x for pair in pairs for x in pair]
+    keys = line_dedup.band_keys(lines, 5, 18, 6)
+    assert asked == [27] and keys.shape == (len(lines), 18)
+    assert (keys[::2] == keys[1::2]).any(1).mean() > 0.99
+    assert not (keys[::2][1:] == keys[1::2][:-1]).any()  # of lines that have next to nothing in common
+
+
+def test_signatures_are_of_sets_of_shingles():
+    """Neither what stands beside a line nor the part it falls into counts, nor how often a shingle stands in it."""
+    lines = [b"a", b"abcab", b"abcabcab", b"abcabcabcabcab", b"hello there, this is a line", b"\xff" * 40, b"\xff" * 9, b"x" * 300]
+    for chars, bands, rows in ((5, 18, 6), (8, 10, 4), (1, 2, 6)):
+        keys = line_dedup.band_keys(lines, chars, bands, rows)
+        assert all((line_dedup.band_keys([x], chars, bands, rows)[0] == k).all() for x, k in zip(lines, keys, strict=True))
+        assert (line_dedup.line_signatures(lines, 40, chars, 1) == line_dedup.line_signatures(lines, 40, chars)).all()
+        sets = [tuple(line_dedup.char_shingles(x, chars).tolist()) for x in lines]
+        assert [[(a == b).all() for b in keys] for a in keys] == [[a == b for b in sets] for a in sets]
+        assert line_dedup.band_keys([], chars, bands, rows).shape == (0, bands)
+
+
+def test_strays_lie_beside_the_members_of_their_block():
+    """One row of a block, so that the only block of a leader is compared where it lies and not shuffled."""
+    sets = [np.array(x, np.uint64).tobytes() for x in ([1, 2, 3], [1, 2, 4], [5, 6, 7])]
+    rows = pa.table({"s": sets, "v": [0, 1, 2], "comp": pa.array([None, 1, 2], pa.int64()), "stray": [False, False, True]})
+    key = tuple(pa.scalar(x, pa.int64()) for x in (0, 0, 1))
+    (row,) = linking.pack(key, rows, linking.unpacked).to_pylist()
+    assert [np.frombuffer(row[c], np.int64).tolist() for c in ("vs", "q_vs")] == [[1, 2], [2]]
+    (row,) = linking.pack(key, rows.slice(0, 2), linking.unpacked).to_pylist()
+    assert row["vs"] and row["q_vs"] is None
+    assert linking.pack(key, rows.slice(0, 1), linking.unpacked).num_rows == 0
