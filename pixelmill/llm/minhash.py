@@ -1,13 +1,18 @@
 """Operator 10: near-duplicate documents by a join of MinHash signature coordinates.
 
-Documents with equal shingle sets collapse first. Each distinct set is then posted under its coordinate-value pairs,
-rarest pairs first; sets that agree in at least `matches` of the coordinates must meet in the first
-`coordinates - matches + 1` of that order, so only that prefix is posted and the frequent rest is skipped. Sets that
-meet have their collisions counted over the whole signatures, and those above the threshold are confirmed on the full
-sets. linking.py compares what meets without emitting all pairs of a group; components follow by union-find.
+Documents with equal shingle sets collapse first. Each distinct set has a key for every pair of its coordinates' values,
+and is posted under its keys, rarest first: sets that share at least SHARED of the keys must meet in all but the last
+SHARED - 1 of that order, so only that prefix is posted and the frequent rest is skipped. A set with fewer keys that
+others have isn't posted at all. Sets that meet have their collisions counted over the whole signatures, and those with
+MATCHES or more are confirmed on the full sets. linking.py compares what meets without emitting all pairs of a group;
+components follow by union-find.
 
-Of two sets with a similarity of exactly 0.8, fewer than 26 of 48 coordinates agree with probability 1e-5, so that
-share of links may be lost at the threshold itself, and practically none above it.
+Keys of one coordinate won't do: texts with nothing in common but a frequent shingle share them, the more so the more
+texts there are, so that what meets grows faster than the input.
+
+Of two sets with a similarity of exactly 0.8, fewer than 25 of 48 coordinates agree with probability 3.3e-6 and fewer
+than 5 of 24 pairs with 2.7e-6, so at most 6e-6 of the links may be lost at the threshold itself, and practically none
+above it.
 
 Defined results: documents without a word or text have n_shingles 0, are linked with nothing and kept; those of fewer
 words than a shingle have one shingle, all their words; rows that share a doc_id count as one document, linked where
@@ -28,7 +33,8 @@ from pixelmill.llm.common import free_names, heavy_and_light, slices, small, wri
 from pixelmill.llm.linking import linked
 
 COORDINATES = 48
-MATCHES = 26
+#: Of the coordinates and of their pairs, as many as sets of the least similarity have in common.
+MATCHES, SHARED = 25, 5
 CACHED_WORDS = 300_000
 SEED = 20240229
 
@@ -96,18 +102,19 @@ def sketched(docs: DataFrame, shingle: int, coordinates: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(sketch, "doc_id long, n long, fp binary, sig array<int>")
 
 
-def prefixes(sets: DataFrame, coordinates: int, matches: int) -> DataFrame:
-    """(key, v, n, w): each set's rarest coordinate-value pairs, as many as the threshold needs, if others share them.
+def prefixes(sets: DataFrame, coordinates: int, shared: int) -> DataFrame:
+    """(key, v, n, w): each set's rarest keys, as many as sets need that share `shared` of them, if others have them.
 
-    w grows with the number of other sets that share any of its pairs.
+    A key is the values of two neighbouring coordinates. w grows with the number of other sets that share any of a set's
+    keys.
     """
-    posted = sets.select("v", "n", F.posexplode("sig").alias("pos", "value"))
-    posted = posted.select("v", "n", (F.shiftleft(F.col("pos").cast("long"), 32) + F.col("value").cast("long") + (1 << 31)).alias("key"))
-    shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    each = posted.join(shared, "key").groupBy("v", "n").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("keys"), F.sum(F.log2("df")).alias("w"))
-    first = F.col("keys.key")  # pairs that no other set has come before these in the order
-    room = F.lit(coordinates - matches + 1 - coordinates) + F.size("keys")
-    return each.where(room > 0).select(F.explode(F.slice(first, F.lit(1), room)).alias("key"), "v", "n", "w")
+    pairs = [F.xxhash64(F.lit(k), *(F.col("sig")[i] for i in range(k, min(k + 2, coordinates)))) for k in range(0, coordinates, 2)]
+    posted = sets.select("v", "n", F.explode(F.array(*pairs)).alias("key"))
+    df = posted.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    each = posted.join(df, "key").groupBy("v", "n").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("keys"), F.sum(F.log2("df")).alias("w"))
+    # keys that no other set has come before these in the order, so the last ones are left out
+    room = F.size("keys") - (shared - 1)
+    return each.where(room > 0).select(F.explode(F.slice(F.col("keys.key"), F.lit(1), room)).alias("key"), "v", "n", "w")
 
 
 def word_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
@@ -144,11 +151,11 @@ def confirmed(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int,
     return both.mapInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordinates: int = COORDINATES, matches: int = MATCHES, shared: int = SHARED) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
     rows = written(sketched(docs, shingle, coordinates), "rows")
     sets = written(rows.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("v"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("times")), "sets")
-    postings = written(prefixes(sets, coordinates, matches), "postings")
+    postings = written(prefixes(sets, coordinates, shared), "postings")
     confirm = lambda pairs: confirmed(pairs, docs, sets, shingle, matches, percent)
     linked_sets = written(linked(postings, confirm, lambda ids: word_sets(docs, ids, shingle), percent), "linked")
     comps = written(sets.select("fp", "v", "times").join(linked_sets, "v", "left").select("fp", F.coalesce("comp", "v").alias("comp"), "times"), "components")

@@ -1,3 +1,4 @@
+import math
 import random
 import sys
 import time
@@ -394,3 +395,45 @@ def test_strays_lie_beside_the_members_of_their_block():
     (row,) = linking.pack(key, rows.slice(0, 2), linking.unpacked).to_pylist()
     assert row["vs"] and row["q_vs"] is None
     assert linking.pack(key, rows.slice(0, 1), linking.unpacked).num_rows == 0
+
+
+def test_texts_that_share_frequent_shingles_are_not_posted(spark, monkeypatch):
+    """What meets has several pairs of coordinates in common; phrases that other texts have, each another one, don't do that."""
+    rng = random.Random(12)
+    phrases = [" ".join(f"p{i}w{k}" for k in range(5)) for i in range(4000)]
+    texts = {i: " ".join(rng.sample(phrases, 50)) for i in range(400)}
+    near = {1000 + i: texts[i] + " and one word more" for i in range(40)}
+    texts |= near
+    asked = []
+    linked = minhash.linked
+    monkeypatch.setattr(minhash, "linked", lambda postings, *more: asked.append(postings) or linked(postings, *more))
+    rows = minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4), shingle=2).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == brute.document_components(texts, 2)
+    posted = [r["v"] for r in asked[0].collect()]
+    alone = [v for v in posted if v not in near and v + 1000 not in near]
+    assert set(posted) >= set(near) and len(set(alone)) < 36  # of 360 texts
+
+
+def test_sets_that_share_enough_keys_meet(spark):
+    """However frequent those keys are, and in whichever order; one key fewer needn't do."""
+    rng = random.Random(13)
+    meet = lambda found, a, b: bool(found.get(a, set()) & found.get(b, set()))
+    for shared in (1, 2, minhash.SHARED):
+        kinds = [rng.randrange(1, 4) for _ in range(24)]  # the first ones of a pair are in all sets
+        pairs = [[(rng.randrange(kinds[k]) - 2**31, k) for k in range(24)] for _ in range(60)]
+        pairs[7] = pairs[3][:shared] + [(5, -k) for k in range(shared, 24)]
+        sets = spark.createDataFrame([(v, 10, [y for x in some for y in x]) for v, some in enumerate(pairs)], "v long, n long, sig array<int>")
+        found = {}
+        for r in minhash.prefixes(sets, 48, shared).collect():
+            found.setdefault(r["v"], set()).add(r["key"])
+        same = lambda a, b: sum(x == y for x, y in zip(pairs[a], pairs[b], strict=True))  # noqa: B023, E731
+        assert same(3, 7) == shared and meet(found, 3, 7)
+        assert all(meet(found, a, b) for a in range(60) for b in range(a) if same(a, b) >= shared)
+
+
+def test_links_lost_by_signatures_are_few():
+    """Fewer than by 26 of 48 coordinates alone from a similarity of 0.8 on, until neither is ever seen."""
+    fewer = lambda n, p, k: sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k))
+    n = minhash.COORDINATES
+    for s in (0.8, 0.82, 0.85, 0.9, 0.95):
+        assert fewer(n, s, minhash.MATCHES) + fewer(n // 2, s * s, minhash.SHARED) < min(6.1e-6, max(1e-15, fewer(n, s, 26)))
