@@ -106,7 +106,8 @@ def palette_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 ) select s_nationkey, count(*) as blocks, count(*) filter (colours between 2 and 8) / count(*) as share, count(*) filter (colours between 2 and 8) / count(*) >= 0.05 as screen from b group by 1""")
 def screen_content_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = rasters.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("image_id"), "s_nationkey")
-    return palette.few_colour_share(luma(spark, sf_dir).join(of, "image_id"), "s_nationkey", size=4)
+    # samples count as few until they are made, so they would be broadcast; by image, they are shuffled once for join and blocks
+    return palette.few_colour_share(luma(spark, sf_dir).join(of.hint("shuffle_hash"), "image_id"), "s_nationkey", size=4)
 
 
 def pair_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
